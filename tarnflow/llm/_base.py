@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnflow.session import ship
+
 #: Text bytes that one vectorised step handles at once in a Python worker.
 SLICE_BYTES = 12 << 20
 
@@ -42,7 +44,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def batches_of(spark: SparkSession, rows: int = 4000) -> None:
-    """Bound the Arrow batches that the JVM hands to Python workers by rows and bytes."""
+    """Bound the Arrow batches that the JVM hands to Python workers by rows and bytes; workers get this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(24 << 20))
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnflow.llm import _base
 
@@ -34,13 +35,69 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_base.documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm import line_dedup
+
+    kept = line_dedup.line_dedup(_base.documents(spark, sf_dir).select("doc_id", "text"), min_chars=40, min_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm import token_files
+
+    return token_files.read(token_files.write(_base.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm import packing
+
+    return packing.pack_documents(_base.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), word_pattern())
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm import langid
+
+    docs = _base.documents(spark, sf_dir)
+    return langid.predict(docs, langid.train(docs))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm import jaccard_join
+
+    return jaccard_join.join(_base.documents(spark, sf_dir), k=4, percent=85)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm import repetition
+
+    return repetition.quality(_base.documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op6_token_counts)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_line_dedup, op5_token_files, op6_token_counts, op7_packing, op8_language_id, op9_jaccard_join, op10_quality_rules)}
+
+
+#: Lines as in the contract of op3: blanks stripped, A-Z lowered.
+LINE_DEDUP_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), shared AS (
+    SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+    SELECT k.doc_id, k.pos, k.line, s.key IS NOT NULL AND k.doc_id <> s.holder AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": LINE_DEDUP_SQL}
