@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tarnflow.session import ship
 
+#: Fixed value: a word, with no white space but the ASCII kinds.
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Text bytes that one vectorised step handles at once in a Python worker.
 SLICE_BYTES = 12 << 20
 

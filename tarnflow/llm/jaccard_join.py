@@ -344,3 +344,10 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     named = _base.materialize(named.select("doc_id", "n", F.coalesce("root", "sid").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
     smallest = named.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("size"), F.min("doc_id").alias("first")).where("size > 1").select("class", "first")
     return named.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.coalesce("first", "doc_id")).alias("component_id"), "n_links")
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, without the documents whose class holds a smaller id."""
+    found = join(docs, k, percent, id_col, text_col)
+    later = found.where("component_id < doc_id").select(F.col("doc_id").alias("__later_id")).distinct()
+    return docs.join(later, F.col(id_col).cast("long") == F.col("__later_id"), "left_anti")

@@ -72,8 +72,9 @@ class Model:
 def _probabilities(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     """(context, symbol, language) from counts and the probabilities of the next shorter contexts."""
     n, d = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-    escape = np.where(n > 0, d / np.maximum(n + d, 1), 1.0)
-    return np.where(counts > 0, counts / np.maximum(n + d, 1), escape * shorter)
+    total = np.maximum(n + d, 1).astype(np.float32)
+    escape = np.where(n > 0, d.astype(np.float32) / total, np.float32(1))
+    return np.where(counts > 0, counts / total, escape * shorter)
 
 
 def build(grams: pd.DataFrame, max_contexts: int) -> Model | None:
@@ -88,14 +89,14 @@ def build(grams: pd.DataFrame, max_contexts: int) -> Model | None:
     classes[seen] = np.arange(m - 1)
     a, b, c, x = (classes[g >> k & 255] for k in (24, 16, 8, 0))
     lang = np.searchsorted(languages, grams["lang"].to_numpy(str))
-    n, k = grams["n"].to_numpy(np.float64), len(languages)
+    n, k = grams["n"].to_numpy(np.float32), len(languages)
 
     def counted(context: np.ndarray, size: int) -> np.ndarray:
-        out = np.zeros((size, m, k))
+        out = np.zeros((size, m, k), np.float32)
         np.add.at(out, (context, x, lang), n)
         return out
 
-    flat = np.full((1, m, k), 1 / 256)
+    flat = np.full((1, m, k), 1 / 256, np.float32)
     zero = _probabilities(counted(np.zeros_like(x), 1), flat)
     one = _probabilities(counted(c, m), zero)
     two_keys, two_at = np.unique(b * m + c, return_inverse=True)
@@ -105,7 +106,7 @@ def build(grams: pd.DataFrame, max_contexts: int) -> Model | None:
     weight = np.bincount(inv3, n)
     top = np.sort(all3[np.argsort(-weight, kind="stable")[:max_contexts]])
     inside = np.isin(key3, top)
-    g3 = np.zeros((len(top), m, k))
+    g3 = np.zeros((len(top), m, k), np.float32)
     np.add.at(g3, (np.searchsorted(top, key3[inside]), x[inside], lang[inside]), n[inside])
     three = _probabilities(g3, two[np.searchsorted(two_keys, top % (m * m))])
     costs = np.concatenate([one, two, three])
@@ -177,7 +178,9 @@ def judge(m: Model | None, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
 
 
 def keep_known(docs: DataFrame, model: Model | None, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with at least ``min_score``."""
+    """The rows of ``docs``, all columns, whose language is known with at least ``min_score``; all if there is no model."""
+    if model is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

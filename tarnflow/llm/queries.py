@@ -23,6 +23,12 @@ def word_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm import media_chunks
+
+    return media_chunks.media(_base.documents(spark, sf_dir))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnflow.llm import byte_bpe
 
@@ -42,6 +48,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm import substring_dedup
+
+    return substring_dedup.passages(_base.documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnflow.llm import token_files
 
@@ -78,7 +90,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_line_dedup, op5_token_files, op6_token_counts, op7_packing, op8_language_id, op9_jaccard_join, op10_quality_rules)}
+    own = (op1_media_chunks, op2_byte_bpe, op3_line_dedup, op4_substring_dedup, op5_token_files, op6_token_counts, op7_packing, op8_language_id, op9_jaccard_join, op10_quality_rules, pipeline)
+    return {f.__name__: f for f in own}
 
 
 #: Lines as in the contract of op3: blanks stripped, A-Z lowered.
