@@ -41,7 +41,7 @@ def texture_group(sand: Column, silt: Column, clay: Column, ksat: Column | None
 
 def drainage_groups(hydgrp: Column) -> Column:
     """``struct(drained, undrained, is_dual)`` of a group such as ``C`` or ``B/D``; nulls where it is not known."""
-    parts = F.filter(F.transform(F.split(F.upper(hydgrp), "/"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.upper(hydgrp), "/"), lambda s: F.trim(s)), lambda s: s != "")
     code = lambda s: sum((F.when(s == k, v).otherwise(0) for k, v in GROUPS.items()), F.lit(0))
     a, z = code(F.try_element_at(parts, F.lit(1))), code(F.try_element_at(parts, F.lit(-1)))
     ok = (F.size(parts) > 0) & (a > 0) & (z > 0)

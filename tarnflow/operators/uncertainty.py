@@ -66,7 +66,7 @@ def exposure(daily: DataFrame) -> DataFrame:
         "all_days": F.lit(True), "mid_range": (q >= p[1]) & (q <= p[3]), "low_tail": q <= p[0], "high_tail": q >= p[4],
         "low_flow_events": q <= 0.2 * F.col("mean"), "high_flow_events": q > 9 * p[2], "zero_days": q <= 0, "baseflow_days": q <= p[2],
     }
-    tokens = F.filter(F.transform(F.split(F.coalesce("qualifiers", F.lit("")), ","), F.trim), lambda s: s != "")
+    tokens = F.filter(F.transform(F.split(F.coalesce("qualifiers", F.lit("")), ","), lambda s: F.trim(s)), lambda s: s != "")
     y = x.join(t, "basin_id").select(
         "basin_id", F.array_contains(tokens, "e").alias("e"), (F.size(F.filter(tokens, lambda s: s != "e")) > 0).alias("o"), (F.size(tokens) > 0).alias("any"), (F.coalesce("approval", F.lit("")) == "P").alias("prov"),
         F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in sets.items())))).alias("day_set"),
