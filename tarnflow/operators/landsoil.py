@@ -107,3 +107,9 @@ def unit_shares(cells: DataFrame) -> DataFrame:
     has = F.col("drained").isNotNull()
     share = lambda c: F.avg(F.when(has, F.when(c, 100.0).otherwise(0.0)))
     return cells.groupBy("raster_id").agg(F.count_distinct("mukey").alias("n_units"), F.avg(F.when(has, 1.0).otherwise(0.0)).alias("coverage"), *(share(F.col("drained") == v).alias(f"group_{k.lower()}_pct") for k, v in GROUPS.items()), share(F.col("is_dual")).alias("dual_pct"))
+
+
+def parse_table(payload: Column) -> Column:
+    """Records, as maps, of a service's answer ``{"Table": [[names], [values], ...]}``."""
+    rows = F.from_json(payload, "Table array<array<string>>")["Table"]
+    return F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.map_from_arrays(rows[0], r))

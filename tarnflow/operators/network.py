@@ -147,3 +147,20 @@ def set_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def boxes_overlap(a: str, b: str) -> Column:
     return F.expr(f"{a}.x0 <= {b}.x1 AND {a}.x1 >= {b}.x0 AND {a}.y0 <= {b}.y1 AND {a}.y1 >= {b}.y0")
+
+
+def refine_terminal(edges: DataFrame, inside: DataFrame, outlets: DataFrame) -> DataFrame:
+    """``(outlet, comid)`` of what drains to an outlet through cells of its own unit only; ``inside (comid)``."""
+    kept = edges.join(inside, "comid", "left_semi")
+    return upstream(kept, outlets)
+
+
+def smallest_holding(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``(point_id, unit_id)``: the smallest unit ``(unit_id, x0, y0, x1, y1, area)`` that holds a point; units are few."""
+    j = points.join(F.broadcast(boxes), F.expr("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"))
+    return j.groupBy("point_id").agg(F.min(F.struct("area", "unit_id"))["unit_id"].alias("unit_id"))
+
+
+def merge_tiles(tiles: DataFrame) -> DataFrame:
+    """One row for each ``tile_id`` of ``(tile_id, source_rank, payload)``: that of the first source, in order of ids."""
+    return tiles.groupBy("tile_id").agg(F.min(F.struct("source_rank", "payload")).alias("t"), F.count("*").alias("n_sources")).select("tile_id", "t.payload", "n_sources")

@@ -93,3 +93,11 @@ def complete_only(daily: DataFrame, report: DataFrame, freq: str, custom: int |
     """The rows of complete periods, with their ``period``."""
     keep = report.where("is_complete").select("basin_id", "period")
     return daily.withColumn("period", label(F.col("d"), freq, custom)).join(keep, ["basin_id", "period"], "left_semi")
+
+
+def convention(freq: str, custom: int | None = None) -> str:
+    """How a kind of period is cut and named."""
+    if freq == "month":
+        return "calendar month, named yyyy-MM"
+    m = start_month(freq, custom)
+    return f"year from the first day of month {m}, named by the year in which it {'ends' if freq == 'water' else 'begins'}"

@@ -88,3 +88,11 @@ def c_factor(cover: Column) -> Column:
     for name, value in COVER:
         out = out.when(F.contains(key, F.lit(name)), value)
     return out.otherwise(DEFAULT_COVER)
+
+
+def design_storm(area_km2: Column, tc_hr: Column, cn: Column, rain_mm: Column) -> dict[str, Column]:
+    """Runoff, peak and timing of a design storm."""
+    ok = (area_km2 > 0) & (tc_hr > 0)
+    q = curve_number_runoff(rain_mm, cn)
+    tp = F.when(ok, 0.6 * tc_hr + 0.133 * tc_hr / 2)
+    return {"runoff_mm": q, "runoff_coefficient": F.when(rain_mm > 0, q / rain_mm).otherwise(0.0), "time_to_peak_hr": tp, "base_time_hr": 2.67 * tp, "peak_discharge_cms": 0.208 * area_km2 * q / tp, "runoff_volume_m3": q / 1000 * area_km2 * 1e6}

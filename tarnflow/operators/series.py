@@ -98,3 +98,18 @@ def extent(daily: DataFrame) -> DataFrame:
 
 def gauge_area_ok(gauge: Column, polygon: Column, tolerance: float = 1.10) -> Column:
     return F.abs(F.ln(gauge / polygon)) <= F.ln(F.lit(tolerance))
+
+
+def gap_notes(ranges: DataFrame) -> DataFrame:
+    """``(basin_id, note)`` in words, from ``missing_ranges``."""
+    a = ranges.groupBy("basin_id").agg(F.count("*").alias("n"), F.sum("n_days").alias("days"), F.max("n_days").alias("longest"))
+    return a.select("basin_id", F.format_string("%d days missing in %d ranges, the longest of %d days", "days", "n", "longest").alias("note"))
+
+
+def annual_persistence(daily: DataFrame) -> DataFrame:
+    """``(basin_id, n_pairs, lag1)``: correlation of the mean flow of consecutive water years."""
+    from tarnflow.operators import periods
+
+    y = daily.where("q IS NOT NULL").groupBy("basin_id", periods.label(F.col("d"), "water").alias("wy")).agg(F.avg("q").alias("m"))
+    pairs = y.join(y.select("basin_id", (F.col("wy") + 1).alias("wy"), F.col("m").alias("before")), ["basin_id", "wy"])
+    return pairs.groupBy("basin_id").agg(F.count("*").alias("n_pairs"), F.corr("m", "before").alias("lag1"))

@@ -113,3 +113,11 @@ def fill_dem(cells: DataFrame) -> DataFrame:
     v = F.when(F.col("value") >= -500, F.col("value"))
     m = cells.groupBy("raster_id").agg(F.median(v).alias("_m"))
     return cells.join(m, "raster_id").withColumn("value", F.coalesce(v, "_m")).drop("_m")
+
+
+def boundary_edges(cells: DataFrame) -> DataFrame:
+    """``(raster_id, row, col, side)`` of the cell edges around a mask ``(raster_id, row, col)``: those no neighbour shares."""
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), (F.col("row") + r).alias("nr"), (F.col("col") + c).alias("nc")) for s, r, c in (("n", -1, 0), ("s", 1, 0), ("w", 0, -1), ("e", 0, 1))))
+    e = cells.select("raster_id", "row", "col", F.explode(sides).alias("s")).select("raster_id", "row", "col", "s.*")
+    there = cells.select("raster_id", F.col("row").alias("nr"), F.col("col").alias("nc"))
+    return e.join(there, ["raster_id", "nr", "nc"], "left_anti").select("raster_id", "row", "col", "side")

@@ -629,3 +629,60 @@ def streaming_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return streams.run_available(streams.daily_counts(stream), "tarnflow_daily_counts").withColumn("total", F.round("total", 4))
+
+
+@query(f"""WITH {DENSE}, gaps AS (SELECT basin_id, d - CAST(row_number() OVER (PARTITION BY basin_id ORDER BY d) AS INTEGER) AS g FROM dense WHERE q IS NULL), r AS (SELECT basin_id, g, count(*) AS k FROM gaps GROUP BY 1, 2)
+SELECT basin_id, printf('%d days missing in %d ranges, the longest of %d days', CAST(sum(k) AS BIGINT), count(*), max(k)) AS note FROM r GROUP BY 1""")
+def gap_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.gap_notes(series.missing_ranges(daily_flow(spark, sf_dir)))
+
+
+@query(f"""WITH {DAILY}, y AS (SELECT basin_id, year(d) + CASE WHEN month(d) >= 10 THEN 1 ELSE 0 END AS wy, avg(q) AS m FROM daily GROUP BY 1, 2)
+SELECT a.basin_id, count(*) AS n_pairs, round(corr(a.m, b.m), 6) AS lag1 FROM y a JOIN y b ON a.basin_id = b.basin_id AND a.wy = b.wy + 1 GROUP BY 1""")
+def annual_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.annual_persistence(daily_flow(spark, sf_dir)).withColumn("lag1", F.round("lag1", 6))
+
+
+@query("""WITH x AS (SELECT p_partkey, 5.0 + p_size AS a, p_size / 4.0 AS tc, 40 + p_size AS cn, p_retailprice / 20 AS p FROM part), s AS (SELECT *, 25400.0 / cn - 254.0 AS s, 0.6 * tc + 0.133 * tc / 2 AS tp FROM x), q AS (SELECT *, CASE WHEN p <= 0.2 * s THEN 0 ELSE (p - 0.2 * s) ** 2 / (p + 0.8 * s) END AS q FROM s)
+SELECT p_partkey, round(q, 6) AS runoff_mm, round(q / p, 6) AS runoff_coefficient, round(tp, 6) AS time_to_peak_hr, round(2.67 * tp, 6) AS base_time_hr, round(0.208 * a * q / tp, 6) AS peak_discharge_cms, round(q / 1000 * a * 1e6, 4) AS runoff_volume_m3 FROM q""")
+def design_storm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("p_size")
+    c = runoff.design_storm(5.0 + s, s / 4.0, 40 + s, F.col("p_retailprice") / 20)
+    return table(spark, sf_dir, "part").select("p_partkey", *(F.round(v, 4 if k == "runoff_volume_m3" else 6).alias(k) for k, v in c.items()))
+
+
+@query(f"WITH {_GRID}, m AS (SELECT r, c FROM grid WHERE v > 20), e AS (SELECT r, c, unnest(['n', 's', 'w', 'e']) AS side, unnest([r - 1, r + 1, r, r]) AS nr, unnest([c, c, c - 1, c + 1]) AS nc FROM m) SELECT 0 AS raster_id, e.r AS \"row\", e.c AS col, side FROM e ANTI JOIN m ON m.r = e.nr AND m.c = e.nc")
+def mask_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terrain.boundary_edges(_grid(spark, sf_dir).where("value > 20").select("raster_id", "row", "col"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, kept AS (SELECT * FROM edges WHERE area_km2 > 5), up(outlet, comid) AS (SELECT comid, comid FROM kept WHERE comid IN (2, 3, 17) UNION ALL SELECT u.outlet, e.comid FROM up u JOIN kept e ON e.nextdown = u.comid) SELECT outlet, comid FROM up")
+def terminal_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir)
+    return network.refine_terminal(e, e.where("area_km2 > 5").select("comid"), spark.createDataFrame([(2,), (3,), (17,)], "comid long"))
+
+
+@query("""WITH b AS (SELECT n_nationkey AS u, n_nationkey * 4.0 - 8 AS x0, n_regionkey * 4.0 - 6 AS y0, n_nationkey * 4.0 + 16 AS x1, n_regionkey * 4.0 + 7 AS y1, (n_nationkey * 7 % 11) AS a FROM nation), p AS (SELECT s_suppkey AS k, (s_suppkey * 37 % 1000) / 10.0 AS x, (s_suppkey * 53 % 200) / 10.0 AS y FROM supplier)
+SELECT k AS point_id, CAST(arg_min(u, struct_pack(a := a, u := u)) AS INTEGER) AS unit_id FROM p JOIN b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1""")
+def unit_at_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r, s = F.col("n_nationkey"), F.col("n_regionkey"), F.col("s_suppkey")
+    boxes = table(spark, sf_dir, "nation").select(n.cast("int").alias("unit_id"), (n * 4.0 - 8).alias("x0"), (r * 4.0 - 6).alias("y0"), (n * 4.0 + 16).alias("x1"), (r * 4.0 + 7).alias("y1"), (n * 7 % 11).alias("area"))
+    points = table(spark, sf_dir, "supplier").select(s.alias("point_id"), ((s * 37 % 1000) / 10.0).alias("x"), ((s * 53 % 200) / 10.0).alias("y"))
+    return network.smallest_holding(points, boxes)
+
+
+@query("SELECT l_partkey AS tile_id, arg_min(l_shipmode_, struct_pack(a := l_suppkey * 10 + l_linenumber, b := l_shipmode_)) AS payload, count(*) AS n_sources FROM (SELECT l_partkey, l_suppkey, l_linenumber, l_returnflag || l_linestatus AS l_shipmode_ FROM lineitem) GROUP BY 1")
+def tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("tile_id"), (F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("source_rank"), F.concat("l_returnflag", "l_linestatus").alias("payload"))
+    return network.merge_tiles(t)
+
+
+@query("""SELECT s_suppkey, 'basin:' || substr(sha256(concat_ws('|', 'gauge:' || s_suppkey, 'v1', 'hybrid')), 1, 16) AS ref, s_suppkey % 700 > 300 OR s_suppkey % 9 = 0 OR (100 + s_suppkey % 60) / 100.0 > 1.25 AS unreliable, 80 + s_suppkey % 20 < 0.9 * 100 AS off_reach,
+CASE WHEN 3000 < 2 * (s_suppkey * 31 % 4000) THEN 'no_room' WHEN s_suppkey * 31 % 4000 <= 1000 THEN 'fetch' ELSE 'ask' END AS staging FROM supplier""")
+def outlet_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    line = F.when(s % 9 != 0, s % 700)
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", reliability.basin_ref(F.concat(F.lit("gauge:"), s.cast("string")), F.lit("v1"), F.lit("hybrid")).alias("ref"), reliability.unsnapped_unreliable(100 + s % 60, F.lit(40.0), F.lit(60.0), line).alias("unreliable"),
+        reliability.off_reach(80 + s % 20, F.lit(100.0)).alias("off_reach"), reliability.staging(s * 31 % 4000, F.lit(3000.0), "tiered", 1000.0).alias("staging"),
+    )
