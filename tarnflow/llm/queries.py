@@ -79,6 +79,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_base.documents(spark, sf_dir), k=4, percent=85)
 
 
+def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op9_jaccard_join`` without its count of links, which SQL does not give."""
+    return op9_jaccard_join(spark, sf_dir).drop("n_links")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnflow.llm import repetition
 
@@ -90,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_media_chunks, op2_byte_bpe, op3_line_dedup, op4_substring_dedup, op5_token_files, op6_token_counts, op7_packing, op8_language_id, op9_jaccard_join, op10_quality_rules, pipeline)
+    own = (op1_media_chunks, op2_byte_bpe, op3_line_dedup, op4_substring_dedup, op5_token_files, op6_token_counts, op7_packing, op8_language_id, op9_jaccard_join, op10_quality_rules, jaccard_components, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -112,5 +117,23 @@ FROM judged GROUP BY doc_id
 """
 
 
+#: Classes as in the contract of op9, from all pairs that share a shingle.
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached(x, y) AS (
+    SELECT doc_id, doc_id FROM sets UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y
+)
+SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM sets s JOIN reached r ON r.x = s.doc_id GROUP BY s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL}
+    return {"op3_line_dedup": LINE_DEDUP_SQL, "jaccard_components": JACCARD_SQL}
