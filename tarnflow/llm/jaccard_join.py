@@ -40,6 +40,7 @@ SEEDS = 4  #: hashes by which a set may be dealt
 GROWTH = 1.5  #: of band limits
 BLOCK = 256  #: sets compared with as many others at once
 SALTS = 8
+BROADCAST_ROWS = 500_000  #: rows of two numbers that are broadcast; more are shuffled
 FILTER_BITS = 1 << 25  #: of the filter that selects documents to read again: a fixed 4 MB, whatever the input
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -140,19 +141,28 @@ def bitmap(s: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(on, bitorder="little").view(np.uint64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The narrower bitmap of the same set."""
+    return bits if len(bits) == words else np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
 def enough(inter, a, b, percent: int):
     return 100 * inter >= percent * (a + b - inter)
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Bound the overlap by bit counts, then intersect."""
-    a, b = len(x), len(y)
+def may_link(x: np.ndarray, a: int, y: np.ndarray, b: int, percent: int) -> bool:
+    """Whether two bitmaps, of sets of ``a`` and ``b`` shingles, leave room for a link: a bit that only one of them has
+    stands for a shingle that the other does not have."""
     if not enough(min(a, b), a, b, percent):
         return False
-    w = width(max(a, b))
-    bx, by = bitmap(x, w), bitmap(y, w)
-    most = min(a - int(np.bitwise_count(bx & ~by).sum()), b - int(np.bitwise_count(by & ~bx).sum()))
-    return bool(enough(most, a, b, percent)) and bool(enough(len(np.intersect1d(x, y, assume_unique=True)), a, b, percent))
+    w = min(len(x), len(y))
+    x, y = folded(x, w), folded(y, w)
+    most = min(a - int(np.bitwise_count(x & ~y).sum()), b - int(np.bitwise_count(y & ~x).sum()))
+    return bool(enough(most, a, b, percent))
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    return bool(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -230,7 +240,7 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``(sid, shingles)`` of the sets ``wanted (doc_id, sid)``: read again, only documents that pass the filter."""
+    """``(sid, n, bits, shingles)`` of the sets ``wanted (doc_id, sid)``: read again, only documents that pass the filter."""
     spark = docs.sparkSession
     chosen = spark.sparkContext.broadcast(_filter_of(wanted))
 
@@ -240,66 +250,116 @@ def _arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             b = b.filter(pa.array((chosen.value[at >> 6] >> (at & 63)) & 1 == 1))
             for c in _base.sliced([b]):
                 s = shingle_sets(c.column("text"), k)
-                yield _base.record_batch(["doc_id", "sid", "shingles"], [c.column("doc_id"), pa.array([set_id(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())])
+                maps = pa.array([bitmap(x, width(len(x))).tobytes() for x in s], pa.binary())
+                yield _base.record_batch(["doc_id", "sid", "n", "bits", "shingles"], [c.column("doc_id"), pa.array([set_id(x) for x in s], pa.int64()), pa.array([len(x) for x in s], pa.int64()), maps, pa.array([x.tobytes() for x in s], pa.binary())])
+
+    read = docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, "doc_id long, sid long, n long, bits binary, shingles binary")
+    return read.join(_small(wanted), [read.doc_id.eqNullSafe(wanted.doc_id), read.sid == wanted.sid], "left_semi").select("sid", "n", "bits", "shingles")
 
-    read = docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, "doc_id long, sid long, shingles binary")
-    return read.join(wanted, [read.doc_id.eqNullSafe(wanted.doc_id), read.sid == wanted.sid], "left_semi").dropDuplicates(["sid"]).select("sid", "shingles")
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row: broadcast up to a limit, so that wide tables need no shuffle to meet it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _with_both(pairs: DataFrame, data: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs (v, parent)`` with the columns of both, those of the parent with a prefix; a parent of very many is salted."""
+    left = data.select(F.col("sid").alias("v"), *columns).join(_small(pairs), "v").withColumn("salt", F.pmod(F.col("v"), F.lit(SALTS)))
+    named = _base.materialize(pairs.select(F.col("parent").alias("sid")).distinct(), "pivots")
+    parents = data.select("sid", *columns).join(_small(named), "sid", "left_semi")
+    right = parents.select(F.col("sid").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in columns), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return left.join(right, ["parent", "salt"]).select("v", "parent", *columns, *(f"p_{c}" for c in columns))
+
+
+def _words64(value) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(v, parent)`` that are links."""
-    left = pairs.join(arrays.withColumnRenamed("sid", "v"), "v").withColumn("salt", F.pmod(F.col("v"), F.lit(SALTS)))
-    pivots = arrays.join(pairs.select(F.col("parent").alias("sid")).distinct(), "sid")
-    right = pivots.select(F.col("sid").alias("parent"), F.col("shingles").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    """The pairs ``(v, parent)`` that are links: bitmaps first, arrays only of the pairs that these leave."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [may_link(_words64(x), a, _words64(y), z, percent) for x, a, y, z in zip(b.column("bits"), b.column("n").to_pylist(), b.column("p_bits"), b.column("p_n").to_pylist())]
+            yield b.select(["v", "parent"]).filter(pa.array(ok, pa.bool_()))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column("shingles"), b.column("other"))]
+            ok = [linked(_words64(x), _words64(y), percent) for x, y in zip(b.column("shingles"), b.column("p_shingles"))]
             yield b.select(["v", "parent"]).filter(pa.array(ok, pa.bool_()))
 
-    return left.join(right, ["parent", "salt"]).select("v", "parent", "shingles", "other").mapInArrow(run, "v long, parent long")
+    left = _base.materialize(_with_both(pairs, arrays, ["n", "bits"]).mapInArrow(bounded, "v long, parent long").distinct(), "bounded")
+    return _with_both(left, arrays, ["shingles"]).mapInArrow(exact, "v long, parent long").distinct()
 
 
-def _block_links(members: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between classes among ``members (cluster, sid, class)``, block against block."""
-    sized = members.join(arrays, "sid").withColumn("n", (F.length("shingles") / 8).cast("long"))
+def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """``(cluster, i, j, block, sid, class)``: every pair of blocks of ``members (cluster, sid, class, n)`` that sizes allow."""
     order = Window.partitionBy("cluster").orderBy("n", "sid")
-    placed = _base.materialize(sized.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)), "blocks")
+    placed = _base.materialize(members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)), "blocks")
     blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("class").alias("c0"), F.max("class").alias("c1"))
     x, y = blocks.alias("x"), blocks.alias("y")
     near = x.join(y, F.expr(f"x.cluster = y.cluster AND x.block <= y.block AND 100 * x.hi >= {percent} * y.lo AND (x.c0 <> y.c0 OR x.c1 <> y.c1 OR x.c0 <> x.c1)"))
-    near = near.selectExpr("x.cluster", "x.block AS i", "y.block AS j")
-    sides = near.selectExpr("cluster", "i", "j", "explode(array_distinct(array(i, j))) AS block")
-    rows = sides.join(placed, ["cluster", "block"]).select("cluster", "i", "j", "block", "sid", "class", "shingles")
-
-    def compare(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        block, sid, cls = (table[c].to_numpy() for c in ("block", "sid", "class"))
-        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table["shingles"]]
-        n = np.array([len(s) for s in sets])
+    sides = near.selectExpr("x.cluster AS cluster", "x.block AS i", "y.block AS j").selectExpr("cluster", "i", "j", "explode(array_distinct(array(i, j))) AS block")
+    return _base.materialize(sides.join(placed, ["cluster", "block"]).select("cluster", "i", "j", "block", "sid", "class"), "block-pairs")
+
+
+def _candidates_of(maps: np.ndarray, n: np.ndarray, a: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of ``others`` the bit counts leave for set ``a``."""
+    shared = np.bitwise_count(maps[others] & maps[a]).sum(axis=1, dtype=np.int64)
+    only_a = int(np.bitwise_count(maps[a]).sum()) - shared
+    only_b = np.bitwise_count(maps[others]).sum(axis=1, dtype=np.int64) - shared
+    return others[enough(np.minimum(n[a] - only_a, n[others] - only_b), n[a], n[others], percent)]
+
+
+def _facing(table: pa.Table, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each set of the first block and those of the second that are of another class, no pair twice."""
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    block = table["block"].to_numpy()
+    second = np.flatnonzero(block == j)
+    for a in np.flatnonzero(block == i).tolist():
+        others = second[group[second] != group[a]]
+        if i == j:
+            others = others[others > a]
+        if len(others):
+            yield a, others
+
+
+def _block_links(members: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between classes among ``members (cluster, sid, class)``, block against block.
+
+    First by bitmaps alone, which leaves the sets that still have a possible partner; then these by their arrays.
+    """
+
+    def bounded(table: pa.Table) -> pa.Table:
+        n, group = table["n"].to_numpy(), np.unique(table["class"].to_numpy(), return_inverse=True)[1]
+        raw = [_words64(v) for v in table["bits"]]
+        w = min(map(len, raw))
+        maps, alive = np.stack([folded(x, w) for x in raw]), np.zeros(len(n), bool)
+        for a, others in _facing(table, group):
+            left = _candidates_of(maps, n, a, others, percent)
+            if len(left):
+                alive[a] = alive[left] = True
+        return table.select(["cluster", "sid", "class"]).filter(pa.array(alive))
+
+    def exact(table: pa.Table) -> pa.Table:
+        sid, group = table["sid"].to_numpy(), np.unique(table["class"].to_numpy(), return_inverse=True)[1]
+        sets = [_words64(v) for v in table["shingles"]]
+        n = np.array([len(x) for x in sets])
         w = width(int(n.max()))
-        maps = np.stack([bitmap(s, w) for s in sets])
-        group = np.unique(cls, return_inverse=True)[1]
-        a_rows, b_rows = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out = []
-        for a in a_rows.tolist():
-            others = b_rows[group[b_rows] != group[a]]
-            if i == j:
-                others = others[others > a]
-            if not len(others):
-                continue
-            both = maps[others] & maps[a]
-            shared = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
-            only_a = int(np.bitwise_count(maps[a]).sum()) - shared
-            only_b = np.bitwise_count(maps[others]).sum(axis=1, dtype=np.int64) - shared
-            most = np.minimum(n[a] - only_a, n[others] - only_b)
-            for b in others[enough(most, n[a], n[others], percent)].tolist():
-                if group[a] != group[b] and enough(len(np.intersect1d(sets[a], sets[b], assume_unique=True)), n[a], n[b], percent):
+        maps, out = np.stack([bitmap(x, w) for x in sets]), []
+        for a, others in _facing(table, group):
+            for b in _candidates_of(maps, n, a, others, percent).tolist():
+                if group[a] != group[b] and linked(sets[a], sets[b], percent):
                     out.append((sid[a], sid[b]))
                     group[group == group[b]] = group[a]
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+    sized = members.join(arrays.select("sid", "n"), "sid")
+    rows = arrays.select("sid", "n", "bits").join(_small(_block_pairs(sized, percent)), "sid")
+    alive = _base.materialize(rows.groupBy("cluster", "i", "j").applyInArrow(bounded, "cluster long, sid long, class long").distinct(), "alive")
+    again = alive.join(arrays.select("sid", "n"), "sid")
+    rows = arrays.select("sid", "shingles").join(_small(_block_pairs(again, percent)), "sid")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(exact, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
