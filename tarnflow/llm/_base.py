@@ -18,7 +18,7 @@ from tarnflow.session import ship
 #: Fixed value: a word, with no white space but the ASCII kinds.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Text bytes that one vectorised step handles at once in a Python worker.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 9 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,9 @@ import pyarrow.compute as pc
 import regex
 
 LEAF = 3  #: up to so many symbols are merged directly
-REMEMBERED = 24  #: longer strings are not kept in the memo
-MEMO = 1_200_000  #: strings that a worker remembers before it starts anew
+REMEMBERED = 10  #: longer strings are not kept in the memo of a tree
+MEMO = 500_000  #: strings that a tree remembers before it starts anew
+PIECES = 350_000  #: pieces in each of the two generations that a worker remembers
 END = 256  #: offset of the symbols that carry the end-of-word mark
 
 
@@ -159,6 +160,7 @@ class Coder:
     def __init__(self, piece: Callable[[str, bool], bytes], whole: Callable[[str], bytes], first_differs: bool = True, runs_matter: bool = True):
         self.piece, self.whole, self.first_differs, self.runs_matter = piece, whole, first_differs, runs_matter
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         if isinstance(texts, pa.ChunkedArray):
@@ -170,15 +172,14 @@ class Coder:
         coded = flat.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         words = coded.dictionary.to_pylist()
-        known, piece = self.known, self.piece
-        units = []
-        for w in words:
-            u = known.get(w)
+        if len(self.known) > PIECES:
+            self.known, self.older = {}, self.known
+        known, older, piece = self.known, self.older, self.piece
+        units = list(map(known.get, words))
+        for k, u in enumerate(units):
             if u is None:
-                if len(known) > MEMO // 2:
-                    known.clear()
-                u = known[w] = piece(w, False)
-            units.append(u)
+                w = words[k]
+                units[k] = known[w] = older.get(w) or piece(w, False)
         starts_at = offsets[:-1]
         if self.first_differs:
             firsts, where = np.unique(index[starts_at], return_inverse=True)
@@ -214,6 +215,10 @@ def byte_rank_coder(path: str, pattern: str) -> Coder:
     find = regex.compile(pattern).findall
 
     def ids(text: str) -> bytes:
+        if _word(text):
+            s = text.encode().decode("latin-1")
+            r = ranks.get(s)
+            return packed((r,) if r is not None else tree.encode(s))
         found = []
         for m in find(text):
             s = m.encode().decode("latin-1")
@@ -228,18 +233,33 @@ def byte_rank_coder(path: str, pattern: str) -> Coder:
 _unusual = re.compile("[^\\x00-\\x1b\\x20-\\xff]|<\\|").search
 
 
-def merge_list_coder(path: str, pattern: str) -> Coder:
-    """The ids of the tokenizer library for a byte-level file without normaliser; unusual pieces go to the library itself."""
-    from tokenizers import Tokenizer
+#: Whether a string is one pre-token under all patterns here: letters, with a space in front or not.
+_word = re.compile("[ ]?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 
-    tree, library = from_merges(path), Tokenizer.from_file(path)
-    find = regex.compile(pattern).findall
+
+def _asking(path: str) -> Callable[[str], bytes]:
+    """Ids by the tokenizer library itself, loaded when a text first needs it."""
+    loaded = []
 
     def ask(text: str) -> bytes:
-        return packed(library.encode(text, add_special_tokens=False).ids)
+        if not loaded:
+            from tokenizers import Tokenizer
+
+            loaded.append(Tokenizer.from_file(path))
+        return packed(loaded[0].encode(text, add_special_tokens=False).ids)
+
+    return ask
+
+
+def merge_list_coder(path: str, pattern: str) -> Coder:
+    """The ids of the tokenizer library for a byte-level file without normaliser; unusual pieces go to the library itself."""
+    tree, ask = from_merges(path), _asking(path)
+    find = regex.compile(pattern).findall
 
     def piece(chunk: str, first: bool) -> bytes:
         s = chunk if first else " " + chunk
+        if _word(s):
+            return packed(tree.encode(s.encode().decode("latin-1")))
         if _unusual(s):
             return ask(s)
         return packed(chain.from_iterable(tree.encode(m.encode().decode("latin-1")) for m in find(s)))
@@ -253,19 +273,16 @@ WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 def word_end_coder(path: str) -> Coder:
     """The ids of the tokenizer library for a lower-casing file with end-of-word marks, which drops white space."""
-    from tokenizers import Tokenizer
-
-    tree, library = from_merges(path), Tokenizer.from_file(path)
+    tree, ask = from_merges(path), _asking(path)
     find = regex.compile(WORD_END_PATTERN).findall
 
-    def ask(text: str) -> bytes:
-        return packed(library.encode(text, add_special_tokens=False).ids)
-
     def word(m: str) -> tuple[int, ...]:
         s = m.encode().decode("latin-1")
         return tree.encode(s[:-1] + chr(ord(s[-1]) + END))
 
     def piece(chunk: str, first: bool) -> bytes:
+        if _word(chunk):
+            return packed(word(chunk.lower()))
         if _unusual(chunk):
             return ask(chunk)
         return packed(chain.from_iterable(map(word, find(chunk.lower()))))

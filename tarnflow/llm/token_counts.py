@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from tarnflow.llm import _base
 
 MARK = "▁"  #: the space mark of the library
-REMEMBERED = 700_000  #: pre-tokens that a worker remembers before it starts anew
+REMEMBERED = 400_000  #: pre-tokens that a worker remembers before it starts anew
 
 
 class Counter:
