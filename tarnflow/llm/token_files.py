@@ -5,8 +5,8 @@ an index of the documents in a skippable frame, then a seek table in a last skip
 seekable zstandard format: compressed size, content size and checksum (low half of XXH64 of the content) of every
 frame.  A reader takes the table from the end of the file and decompresses only the frames it wants.
 
-Documents are encoded once into a table, dealt out by ranges of ids, sorted within each range and written, one file a
-task, under a name of that attempt alone; only files that a finished task reports count, so retries and lost executors
+Ranges of ids come from the ids alone.  Documents are encoded into frames, dealt out by range, sorted within each and
+written, one file a range, under a name of that attempt alone; only files that a finished task reports count, so retries and lost executors
 leave nothing half-written behind.  File lengths are bounded by ``docs_per_file`` (by ids, evenly sampled).
 
 Null or empty text: only the end id.  Null ids come first.  Rows that repeat an id stay separate, next to each other.
@@ -44,6 +44,7 @@ class Writer:
     """Append frames; ``close`` adds index and seek table and moves the file to its name."""
 
     def __init__(self, path: str):
+        self.name = path
         self.fs, self.path = open_fs(path)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.out = self.fs.open_output_stream(self.path + ".part")
@@ -100,11 +101,22 @@ class Reader:
         return [np.frombuffer(self.raw(int(k)), "<u4") for k in np.flatnonzero((self.ids == doc_id) & self.valid)]
 
 
+def _bounds(ids: DataFrame, n_files: int) -> np.ndarray:
+    """Largest id of each range but the last: from the ids alone, one number for each file."""
+    dealt = ids.where("doc_id IS NOT NULL").repartitionByRange(n_files, "doc_id")
+    tops = dealt.groupBy(F.spark_partition_id()).agg(F.max("doc_id").alias("top")).toPandas()["top"]
+    return np.sort(tops.to_numpy(np.int64))[:-1]
+
+
 def write(docs: DataFrame, path: str, end_id: int, docs_per_file: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write files in ascending order of ids; returns their list ``(path, first_id, n_docs, n_ids, start)``."""
     spark = docs.sparkSession
     out = _base.scratch(spark, "token-files")
     end = struct.pack("<I", end_id)
+    _base.batches_of(spark)
+    plain = _base.id_text(docs, id_col, text_col)
+    n_files = max(1, -(-plain.count() // docs_per_file))
+    bounds = spark.sparkContext.broadcast(_bounds(plain.select("doc_id"), n_files))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, pack = bpe.coder("word_end", path), zstandard.ZstdCompressor(level=LEVEL, write_checksum=False).compress
@@ -115,28 +127,34 @@ def write(docs: DataFrame, path: str, end_id: int, docs_per_file: int = 20_000,
                 n.append(len(data) // 4)
                 checksums.append(xxhash.xxh64_intdigest(data) & 0xFFFFFFFF)
                 frames.append(pack(data))
-            yield _base.record_batch(["doc_id", "n", "checksum", "frame"], [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(checksums, pa.int64()), pa.array(frames, pa.binary())])
+            keys = b.column("doc_id")
+            part = np.searchsorted(bounds.value, keys.fill_null(-(1 << 63)).to_numpy())
+            yield _base.record_batch(["part", "doc_id", "n", "checksum", "frame"], [pa.array(part.astype(np.int64)), keys, pa.array(n, pa.int64()), pa.array(checksums, pa.int64()), pa.array(frames, pa.binary())])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, w, first, total = f"{out}/{uuid.uuid4().hex}.ids.zst", None, None, 0
+        """One file for each range, from rows sorted by range and id."""
+        w, first, total, now = None, None, 0, None
+
+        def done() -> pa.RecordBatch:
+            w.close()
+            return _base.record_batch(["path", "part", "first_id", "n_docs", "n_ids"], [pa.array([w.name]), pa.array([now], pa.int64()), pa.array([first], pa.int64()), pa.array([len(w.docs)], pa.int64()), pa.array([total], pa.int64())])
+
         for b in batches:
-            for doc_id, n, checksum, frame in zip(*(c.to_pylist() for c in b.columns)):
-                if w is None:
-                    w, first = Writer(name), doc_id
+            for part, doc_id, n, checksum, frame in zip(*(c.to_pylist() for c in b.columns)):
+                if part != now:
+                    if w is not None:
+                        yield done()
+                    w, first, total, now = Writer(f"{out}/{uuid.uuid4().hex}.ids.zst"), doc_id, 0, part
                 w.add(doc_id, n, checksum, frame)
                 total += n
         if w is not None:
-            w.close()
-            yield _base.record_batch(["path", "first_id", "n_docs", "n_ids"], [pa.array([name]), pa.array([first], pa.int64()), pa.array([len(w.docs)], pa.int64()), pa.array([total], pa.int64())])
+            yield done()
 
-    _base.batches_of(spark)
-    plain = _base.id_text(docs, id_col, text_col)
-    encoded = _base.materialize(plain.mapInArrow(encode, "doc_id long, n long, checksum long, frame binary"), "token-frames")
-    n_files = max(1, -(-encoded.count() // docs_per_file))
-    ordered = encoded.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "n", "checksum")
-    files = _base.materialize(ordered.mapInArrow(save, "path string, first_id long, n_docs long, n_ids long"), "token-manifest")
-    before = Window.orderBy(F.asc_nulls_first("first_id")).rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
+    encoded = plain.mapInArrow(encode, "part long, doc_id long, n long, checksum long, frame binary")
+    ordered = encoded.repartition(n_files, "part").sortWithinPartitions("part", "doc_id", "n", "checksum")
+    files = _base.materialize(ordered.mapInArrow(save, "path string, part long, first_id long, n_docs long, n_ids long"), "token-manifest")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")).drop("part")
 
 
 def read(files: DataFrame) -> DataFrame:
