@@ -188,3 +188,25 @@ def test_chains_against_all_chains():
         got = substring_dedup.chains(p, q)
         if max(best) >= 3:
             assert got and max(map(score, got)) == pytest.approx(max(best), abs=1e-9)
+
+
+def fresh(seed):
+    """Words that no other text has."""
+    import random
+
+    rng = random.Random(seed)
+    return lambda n: [f"{rng.choice('abcdef')}{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def covered(found, doc):
+    return {k for r in found if r.doc_id == doc for k in range(r.start_word, r.end_word)}
+
+
+@pytest.mark.parametrize(("length", "between", "times"), [(50, 26, 2), (50, 34, 2), (100, 30, 6)])
+def test_passages_with_other_words_between(spark, length, between, times):
+    new = fresh(length + between)
+    shared = [new(length) for _ in range(times)]
+    texts = [[w for s in shared for w in new(between) + s] + new(between) for _ in range(2)]
+    found = substring_dedup.passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    (doc,) = {r.doc_id for r in found}
+    assert {k for s in range(times) for k in range(s * (length + between) + between, (s + 1) * (length + between))} <= covered(found, doc)
