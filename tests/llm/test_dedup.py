@@ -210,3 +210,34 @@ def test_passages_with_other_words_between(spark, length, between, times):
     found = substring_dedup.passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
     (doc,) = {r.doc_id for r in found}
     assert {k for s in range(times) for k in range(s * (length + between) + between, (s + 1) * (length + between))} <= covered(found, doc)
+
+
+def test_passage_of_shared_lines(spark):
+    """Each line of the passage also stands alone in other texts, so that its seeds have other holders."""
+    new = fresh(5)
+    lines = [new(20) for _ in range(3)]
+    data = [(k, " ".join(new(15) + lines[k % 3] + new(40))) for k in range(30)]
+    data += [(100 + k, " ".join(new(30) + sum(lines, []) + new(30))) for k in range(4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    found = substring_dedup.passages(docs).collect()
+    whole = [d for d in range(100, 104) if set(range(30, 90)) <= covered(found, d)]
+    assert len(whole) == 3 and not any(r.doc_id < 100 for r in found)
+
+
+def test_windows_against_all_runs(spark):
+    """Random texts over few lines: of every run of 50 words that several texts have, one place is left."""
+    import random
+
+    rng, new = random.Random(9), fresh(9)
+    lines = [new(rng.randint(3, 25)) for _ in range(40)]
+    data = [(k, sum((rng.choice(lines) for _ in range(rng.randint(2, 30))), [])) for k in range(60)]
+    found = substring_dedup.passages(spark.createDataFrame([(k, " ".join(w)) for k, w in data], "doc_id long, text string")).collect()
+    gone = {k: covered(found, k) for k, _ in data}
+    runs = defaultdict(list)
+    for k, w in data:
+        for a in range(len(w) - 49):
+            runs[tuple(w[a : a + 50])].append((k, set(range(a, a + 50)) <= gone[k]))
+    shared = [v for v in runs.values() if len({k for k, _ in v}) > 1]
+    assert shared
+    for v in shared:
+        assert len({k for k, covers in v if not covers}) <= 1
