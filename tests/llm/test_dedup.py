@@ -241,3 +241,14 @@ def test_windows_against_all_runs(spark):
     assert shared
     for v in shared:
         assert len({k for k, covers in v if not covers}) <= 1
+
+
+def test_passage_twice_in_one_text(spark):
+    new = fresh(3)
+    passage, data = new(70), []
+    for k in range(4):
+        data.append((k, " ".join(new(20) + passage + new(60) + passage + new(20))))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert len({r.doc_id for r in substring_dedup.passages(docs).collect()}) >= 3
+    together = " ".join(r.text for r in substring_dedup.cleaned(docs).collect())
+    assert together.count(" ".join(passage[5:65])) == 1
