@@ -252,3 +252,25 @@ def test_passage_twice_in_one_text(spark):
     assert len({r.doc_id for r in substring_dedup.passages(docs).collect()}) >= 3
     together = " ".join(r.text for r in substring_dedup.cleaned(docs).collect())
     assert together.count(" ".join(passage[5:65])) == 1
+
+
+@pytest.mark.parametrize(("length", "every", "rate"), [(60, 6, 0), (60, 5, 0), (80, 6, 0), (60, 0, 0.15), (80, 0, 0.15), (60, 0, 0.1)])
+def test_recall_of_edited_passages(spark, length, every, rate):
+    """Against brute force: all pairs of texts with one passage each, which match by as many words as were left."""
+    import random
+
+    rng, new = random.Random(length + every), fresh(length * 10 + every)
+    data, edited = [], set()
+    for k in range(100):
+        p = new(length)
+        changed = {i for i in range(length) if (every and i % every == every - 1) or rng.random() < rate}
+        q = [new(1)[0] if i in changed else x for i, x in enumerate(p)]
+        inner = sorted(set(range(length)) - changed)
+        n = inner[-1] - inner[0] + 1
+        if n >= 50 and len(inner) >= 0.8 * n:
+            edited.add(k)
+        data += [(2 * k, " ".join(new(40) + p + new(40))), (2 * k + 1, " ".join(new(30) + q + new(50)))]
+    found = substring_dedup.passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    caught = {r.doc_id // 2 for r in found}
+    assert all(r.doc_id // 2 == r.ref_doc_id // 2 for r in found)
+    assert len(edited) > 60 and len(caught & edited) >= 0.95 * len(edited)
