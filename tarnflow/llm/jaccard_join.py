@@ -39,6 +39,7 @@ from tarnflow.llm.repetition import words_of
 SEEDS = 4  #: hashes by which a set may be dealt
 GROWTH = 1.5  #: of band limits
 BLOCK = 256  #: sets compared with as many others at once
+COLUMNS = 4096  #: shingles that a count of overlaps takes at once
 SALTS = 8
 BROADCAST_ROWS = 500_000  #: rows of two numbers that are broadcast; more are shuffled
 FILTER_BITS = 1 << 25  #: of the filter that selects documents to read again: a fixed 4 MB, whatever the input
@@ -292,13 +293,14 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return _with_both(left, arrays, ["shingles"]).mapInArrow(exact, "v long, parent long").distinct()
 
 
-def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """``(cluster, i, j, block, sid, class)``: every pair of blocks of ``members (cluster, sid, class, n)`` that sizes allow."""
+def _block_pairs(members: DataFrame, percent: int, within: bool = False) -> DataFrame:
+    """``(cluster, i, j, block, sid, class)``: every pair of blocks of ``members (cluster, sid, class, n)`` that sizes allow;
+    blocks that are of one class only ``within`` classes."""
     order = Window.partitionBy("cluster").orderBy("n", "sid")
     placed = _base.materialize(members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)), "blocks")
     blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("class").alias("c0"), F.max("class").alias("c1"))
     x, y = blocks.alias("x"), blocks.alias("y")
-    near = x.join(y, F.expr(f"x.cluster = y.cluster AND x.block <= y.block AND 100 * x.hi >= {percent} * y.lo AND (x.c0 <> y.c0 OR x.c1 <> y.c1 OR x.c0 <> x.c1)"))
+    near = x.join(y, F.expr(f"x.cluster = y.cluster AND x.block <= y.block AND 100 * x.hi >= {percent} * y.lo AND ({str(within).lower()} OR x.c0 <> y.c0 OR x.c1 <> y.c1 OR x.c0 <> x.c1)"))
     sides = near.selectExpr("x.cluster AS cluster", "x.block AS i", "y.block AS j").selectExpr("cluster", "i", "j", "explode(array_distinct(array(i, j))) AS block")
     return _base.materialize(sides.join(placed, ["cluster", "block"]).select("cluster", "i", "j", "block", "sid", "class"), "block-pairs")
 
@@ -362,11 +364,62 @@ def _block_links(members: DataFrame, arrays: DataFrame, percent: int) -> DataFra
     return rows.groupBy("cluster", "i", "j").applyInArrow(exact, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of every set of one side with every set of the other."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    i, j = np.repeat(np.arange(len(left)), list(map(len, left))), np.repeat(np.arange(len(right)), list(map(len, right)))
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(left), len(right)), np.int64)
+    sides = []
+    for v, rows in ((x, i), (y, j)):
+        at = np.minimum(np.searchsorted(both, v), max(0, len(both) - 1))
+        there = both[at] == v if len(both) else np.zeros(len(v), bool)
+        by = np.argsort(at[there], kind="stable")
+        sides.append((at[there][by], rows[there][by]))
+    for a in range(0, len(both), COLUMNS):
+        dense = []
+        for (at, rows), sets in zip(sides, (left, right)):
+            lo, hi = np.searchsorted(at, [a, a + COLUMNS])
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[rows[lo:hi], at[lo:hi] - a] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)  # whole numbers below 2**24
+    return out
+
+
+def _link_counts(tied: DataFrame, arrays: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """``(sid, n_links)``: in how many documents each set has other sets that it links with; ``tied (a, b)`` joins all
+    sets that share a tile."""
+
+    def count(table: pa.Table) -> pa.Table:
+        block, copies, sid = table["block"].to_numpy(), table["copies"].to_numpy(), table["sid"].to_numpy()
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        sets = [_words64(v) for v in table["shingles"]]
+        n = np.array([len(v) for v in sets])
+        ok = enough(overlaps([sets[a] for a in x], [sets[b] for b in y]), n[x][:, None], n[y][None, :], percent)
+        if i == j:
+            np.fill_diagonal(ok, False)
+            ids, numbers = sid[x], ok @ copies[y]
+        else:
+            ids, numbers = np.concatenate([sid[x], sid[y]]), np.concatenate([ok @ copies[y], copies[x] @ ok])
+        return pa.table({"sid": pa.array(ids, pa.int64()), "n_links": pa.array(numbers, pa.int64())}).filter(pa.array(numbers > 0))
+
+    clusters = graph.components(tied).select(F.col("v").alias("sid"), F.col("root").alias("cluster"))
+    one_each = arrays.dropDuplicates(["sid"])
+    members = clusters.join(one_each.select("sid", "n"), "sid").withColumn("class", F.col("sid"))
+    pairs = _block_pairs(members, percent, within=True)
+    rows = one_each.select("sid", "shingles").join(copies, "sid").join(_small(pairs), "sid")
+    counted = rows.groupBy("cluster", "i", "j").applyInArrow(count, "sid long, n_links long")
+    return _base.materialize(counted.groupBy("sid").agg(F.sum("n_links").alias("n_links")), "link-counts")
+
+
+def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """``(doc_id, n_shingles, component_id, n_links)`` for each row.
 
     Sets link when ``100 * intersection >= percent * union``.  ``component_id`` is the smallest id that links reach;
-    ``n_links`` counts the verified links that tie the row's set to others (a spanning set of links, not all of them).
+    ``n_links`` counts all links of the row's set: other documents with the same set or one that links with it; null
+    without ``count_links``, for users of the classes alone.
     """
     spark = docs.sparkSession
     _base.batches_of(spark)
@@ -399,15 +452,22 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
         more = _base.materialize(_block_links(members, arrays, percent), "block-links")
         all_links = all_links.union(more)
         classes = graph.components(all_links)
-    ties = all_links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
-    named = rows.join(classes.withColumnRenamed("v", "sid"), "sid", "left").join(ties, "sid", "left")
-    named = _base.materialize(named.select("doc_id", "n", F.coalesce("root", "sid").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
+    named = rows.join(classes.withColumnRenamed("v", "sid"), "sid", "left")
+    if count_links:
+        copies = rows.where("sid IS NOT NULL").groupBy("sid").agg((F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("long"))).alias("copies"))
+        tied = ranked.join(pivots, "tile").select(F.col("sid").alias("a"), F.col("low").alias("b"))
+        counts = _link_counts(tied, arrays, copies, percent)
+        number = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("n_links", F.lit(0))
+        named = named.join(copies, "sid", "left").join(counts, "sid", "left").withColumn("n_links", number.cast("long"))
+    else:
+        named = named.withColumn("n_links", F.lit(None).cast("long"))
+    named = _base.materialize(named.select("doc_id", "n", F.coalesce("root", "sid").alias("class"), "n_links"), "named")
     smallest = named.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("size"), F.min("doc_id").alias("first")).where("size > 1").select("class", "first")
     return named.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.coalesce("first", "doc_id")).alias("component_id"), "n_links")
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without the documents whose class holds a smaller id."""
-    found = join(docs, k, percent, id_col, text_col)
+    found = join(docs, k, percent, id_col, text_col, count_links=False)
     later = found.where("component_id < doc_id").select(F.col("doc_id").alias("__later_id")).distinct()
     return docs.join(later, F.col(id_col).cast("long") == F.col("__later_id"), "left_anti")

@@ -274,3 +274,15 @@ def test_recall_of_edited_passages(spark, length, every, rate):
     caught = {r.doc_id // 2 for r in found}
     assert all(r.doc_id // 2 == r.ref_doc_id // 2 for r in found)
     assert len(edited) > 60 and len(caught & edited) >= 0.95 * len(edited)
+
+
+def test_jaccard_counts_all_links(spark):
+    """Five texts that all link, steps that only neighbours link, copies, and over 256 texts in one class."""
+    w = [f"w{i}" for i in range(400)]
+    data = [(k, " ".join([*w[:60], f"x{k}"])) for k in range(5)] + [(9, " ".join([*w[:60], "x0"]))]
+    data += [(100 + k, " ".join(w[100 + k : 140 + k])) for k in range(12)] + [(200, "alone"), (201, ""), (202, None)]
+    data += [(1000 + k, " ".join([*w[200:260], f"y{k}"])) for k in range(300)]
+    sets = {i: {tuple(t[a : a + 4]) for a in range(len(t) - 3)} or ({tuple(t)} if t else set()) for i, t in ((i, (x or "").split()) for i, x in data)}
+    want = {a: sum(a != b and bool(x & y) and 100 * len(x & y) >= 85 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+    got = {r.doc_id: r.n_links for r in jaccard_join.join(spark.createDataFrame(data, "doc_id long, text string"), 4, 85).collect()}
+    assert got == want and want[0] == 5 and want[1000] == 299
