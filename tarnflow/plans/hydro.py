@@ -215,12 +215,12 @@ def plotting_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def flood_frequency_mle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.flood_frequency(_maxima(spark, sf_dir), "gumbel", "mle", n_bootstrap=50)
+    return frequency.flood_frequency(_maxima(spark, sf_dir), "gumbel", "mle")
 
 
 @query()
 def flood_frequency_lp3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.flood_frequency(_maxima(spark, sf_dir), "lp3", n_bootstrap=20)
+    return frequency.flood_frequency(_maxima(spark, sf_dir), "lp3")
 
 
 @query()
@@ -298,7 +298,7 @@ def qualifier_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def flow_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return uncertainty.flow_intervals(_all_regions(spark, sf_dir), resamples=200, min_years=3)
+    return uncertainty.flow_intervals(_all_regions(spark, sf_dir), min_years=3)
 
 
 @query()
@@ -499,6 +499,13 @@ def upstream_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.upstream(_edges(spark, sf_dir), spark.createDataFrame([(2,), (3,), (17,)], "comid long"))
 
 
+@query(f"WITH RECURSIVE {_EDGES}, up(outlet, comid) AS (SELECT comid, comid FROM edges UNION ALL SELECT u.outlet, e.comid FROM up u JOIN edges e ON e.nextdown = u.comid) SELECT outlet, comid FROM up")
+def upstream_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``upstream_closure`` of all units."""
+    e = _edges(spark, sf_dir)
+    return network.upstream(e, e.select("comid"))
+
+
 @query(f"WITH RECURSIVE {_EDGES}, dn(comid, outlet) AS (SELECT comid, comid FROM edges UNION ALL SELECT d.comid, e.nextdown FROM dn d JOIN edges e ON e.comid = d.outlet WHERE e.nextdown > 0) SELECT d.outlet AS comid, count(*) AS n_upstream, sum(e.area_km2) AS area_km2 FROM dn d JOIN edges e ON e.comid = d.comid GROUP BY 1")
 def upstream_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.upstream_totals(_edges(spark, sf_dir))
@@ -662,6 +669,13 @@ def terminal_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.refine_terminal(e, e.where("area_km2 > 5").select("comid"), spark.createDataFrame([(2,), (3,), (17,)], "comid long"))
 
 
+@query(f"WITH RECURSIVE {_EDGES}, kept AS (SELECT * FROM edges WHERE area_km2 > 5), up(outlet, comid) AS (SELECT comid, comid FROM kept UNION ALL SELECT u.outlet, e.comid FROM up u JOIN kept e ON e.nextdown = u.comid) SELECT outlet, comid FROM up")
+def terminal_refinement_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``terminal_refinement`` of all units."""
+    e = _edges(spark, sf_dir)
+    return network.refine_terminal(e, e.where("area_km2 > 5").select("comid"), e.select("comid"))
+
+
 @query("""WITH b AS (SELECT n_nationkey AS u, n_nationkey * 4.0 - 8 AS x0, n_regionkey * 4.0 - 6 AS y0, n_nationkey * 4.0 + 16 AS x1, n_regionkey * 4.0 + 7 AS y1, (n_nationkey * 7 % 11) AS a FROM nation), p AS (SELECT s_suppkey AS k, (s_suppkey * 37 % 1000) / 10.0 AS x, (s_suppkey * 53 % 200) / 10.0 AS y FROM supplier)
 SELECT k AS point_id, CAST(arg_min(u, struct_pack(a := a, u := u)) AS INTEGER) AS unit_id FROM p JOIN b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1""")
 def unit_at_point(spark: SparkSession, sf_dir: str) -> DataFrame:
