@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 import re
 from array import array
 from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -26,8 +28,10 @@ import regex
 
 LEAF = 3  #: up to so many symbols are merged directly
 REMEMBERED = 10  #: longer strings are not kept in the memo of a tree
-MEMO = 500_000  #: strings that a tree remembers before it starts anew
-PIECES = 350_000  #: pieces in each of the two generations that a worker remembers
+MEMO = 150_000  #: strings that a tree remembers before it starts anew
+PIECES = 120_000  #: pieces in a generation beyond which a worker starts a new one; it keeps two
+LONGEST = 64  #: characters of a piece that is remembered
+SHORT = 24  #: symbols up to which a scan for the lowest rank is faster than a heap
 END = 256  #: offset of the symbols that carry the end-of-word mark
 
 
@@ -37,10 +41,12 @@ class TreeBPE:
     def __init__(self, initial: dict[int, int], spelled: list[str], pair: Callable[[int, int], tuple[int, int] | None]):
         self.initial, self.spelled, self.pair = initial, spelled, pair
         self.memo: dict[str, tuple[int, ...]] = {}
-        self.stable: dict[int, bool] = {}
+        self.joined: dict[int, tuple[int, ...]] = {}
 
     def merged(self, s: str) -> tuple[int, ...]:
         """Plain greedy merging, for leaves and windows."""
+        if len(s) > SHORT:
+            return self.heaped(s)
         ids, pair = [self.initial[ord(c)] for c in s], self.pair
         ranks = [pair(a, b) for a, b in zip(ids, ids[1:])]
         while True:
@@ -55,50 +61,80 @@ class TreeBPE:
             if k < len(ranks):
                 ranks[k] = pair(ids[k], ids[k + 1])
 
-    def holds(self, a: int, b: int) -> bool:
+    def heaped(self, s: str) -> tuple[int, ...]:
+        """The same for long strings: possible merges wait in a heap by rank and place, tokens form a linked list."""
+        ids, pair, n = [self.initial[ord(c)] for c in s], self.pair, len(s)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(p[0], i, ids[i], ids[i + 1], p[1]) for i in range(n - 1) if (p := pair(ids[i], ids[i + 1]))]
+        heapify(waiting)
+        while waiting:
+            _, i, a, b, made = heappop(waiting)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue  # one of the two is gone already
+            ids[i], ids[j] = made, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if p := pair(made, ids[k]):
+                    heappush(waiting, (p[0], i, made, ids[k], p[1]))
+            h = before[i]
+            if h >= 0 and (p := pair(ids[h], made)):
+                heappush(waiting, (p[0], h, ids[h], made, p[1]))
+        return tuple(x for x in ids if x >= 0)
+
+    def both(self, a: int, b: int) -> tuple[int, ...]:
+        """The encoding of the text of two tokens."""
         key = a << 20 | b
-        known = self.stable.get(key)
+        known = self.joined.get(key)
         if known is None:
-            if len(self.stable) > MEMO:
-                self.stable.clear()
-            known = self.stable[key] = self.merged(self.spelled[a] + self.spelled[b]) == (a, b)
+            if len(self.joined) > MEMO:
+                self.joined.clear()
+            known = self.joined[key] = self.merged(self.spelled[a] + self.spelled[b])
         return known
 
-    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
+    def holds(self, a: int, b: int) -> bool:
+        return self.both(a, b) == (a, b)
+
+    def join(self, left: tuple[int, ...], right: tuple[int, ...], own: dict[str, tuple[int, ...]] | None = None) -> tuple[int, ...]:
+        """While the two tokens at the boundary don't hold, take one more token from the right: the window around the
+        boundary grows to the left until it holds there, then the boundary moves on behind it."""
         if self.holds(left[-1], right[0]):
             return left + right
-        i = j = 1
-        while True:
-            window = self.window("".join(self.spelled[t] for t in left[-i:] + right[:j]))
-            fixed_left = i == len(left) or self.holds(left[-i - 1], window[0])
-            fixed_right = j == len(right) or self.holds(window[-1], right[j])
-            if fixed_left and fixed_right:
-                return left[: len(left) - i] + window + right[j:]
-            if not fixed_left:
-                i = min(2 * i, len(left))
-            if not fixed_right:
-                j = min(2 * j, len(right))
-
-    def window(self, s: str) -> tuple[int, ...]:
-        if len(s) > REMEMBERED:
-            return self.merged(s)
-        known = self.memo.get(s)
+        out, at = list(left), 0
+        while at < len(right) and not self.holds(out[-1], right[at]):
+            i, window = 1, self.both(out[-1], right[at])
+            while i < len(out) and not self.holds(out[-i - 1], window[0]):
+                i = min(2 * i, len(out))
+                window = self.window("".join(self.spelled[t] for t in [*out[-i:], right[at]]), own)
+            out[-i:] = window
+            at += 1
+        return (*out, *right[at:])
+
+    def window(self, s: str, own: dict[str, tuple[int, ...]] | None) -> tuple[int, ...]:
+        memo = self.memo if len(s) <= REMEMBERED else own
+        known = memo.get(s) if memo is not None else None
         if known is None:
-            known = self.memo[s] = self.merged(s)
+            known = self.merged(s)
+            if memo is not None:
+                memo[s] = known
         return known
 
-    def encode(self, s: str) -> tuple[int, ...]:
-        known = self.memo.get(s)
+    def encode(self, s: str, own: dict[str, tuple[int, ...]] | None = None) -> tuple[int, ...]:
+        """``own`` remembers the longer parts of one string, of which repetitive strings have few different ones."""
+        n = len(s)
+        memo = self.memo if n <= REMEMBERED else own
+        known = memo.get(s) if memo is not None else None
         if known is None:
-            n = len(s)
             if n <= LEAF:
                 known = self.merged(s)
             else:
-                known = self.join(self.encode(s[: n // 2]), self.encode(s[n // 2 :]))
-            if n <= REMEMBERED:
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-                self.memo[s] = known
+                own = {} if own is None and n > LONGEST else own
+                known = self.join(self.encode(s[: n // 2], own), self.encode(s[n // 2 :], own), own)
+            if memo is not None:
+                if memo is self.memo and len(memo) > MEMO:
+                    memo.clear()
+                memo[s] = known
         return known
 
 
@@ -152,16 +188,29 @@ def from_merges(path: str) -> TreeBPE:
 class Coder:
     """Texts to ids, a batch at a time: texts are cut at spaces, each distinct piece of a batch is encoded once.
 
-    ``piece(chunk, first)`` gives the ids of one piece as a bytes object of little-endian 32-bit ids;
+    ``pieces(chunks, first)`` gives the ids of each piece as a bytes object of little-endian 32-bit ids;
     ``whole(text)`` those of a text where cuts at spaces could change the result: one in which a piece before the
-    last is empty or ends in white space, so that the cut lies inside a run of white space.
+    last is empty or ends in white space, so that the cut lies inside a run of white space.  Two generations of short
+    pieces outlive a batch, bounded in number and length.
     """
 
-    def __init__(self, piece: Callable[[str, bool], bytes], whole: Callable[[str], bytes], first_differs: bool = True, runs_matter: bool = True):
-        self.piece, self.whole, self.first_differs, self.runs_matter = piece, whole, first_differs, runs_matter
+    def __init__(self, pieces: Callable[[list[str], bool], list[bytes]], whole: Callable[[str], bytes], first_differs: bool = True, runs_matter: bool = True):
+        self.pieces, self.whole, self.first_differs, self.runs_matter = pieces, whole, first_differs, runs_matter
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _remembered(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > PIECES:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        units = [known.get(w) or older.get(w) for w in words]
+        new = [k for k, u in enumerate(units) if u is None]
+        for k, u in zip(new, self.pieces([words[k] for k in new], False)):
+            units[k] = u
+        if len(known) + len(words) <= 3 * PIECES:
+            known.update((w, u) for w, u in zip(words, units) if len(w) <= LONGEST)
+        return units
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
@@ -172,20 +221,13 @@ class Coder:
         coded = flat.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         words = coded.dictionary.to_pylist()
-        if len(self.known) > PIECES:
-            self.known, self.older = {}, self.known
-        known, older, piece = self.known, self.older, self.piece
-        units = list(map(known.get, words))
-        for k, u in enumerate(units):
-            if u is None:
-                w = words[k]
-                units[k] = known[w] = older.get(w) or piece(w, False)
+        units = self._remembered(words)
         starts_at = offsets[:-1]
         if self.first_differs:
             firsts, where = np.unique(index[starts_at], return_inverse=True)
             index = index.copy()
             index[starts_at] = len(units) + where
-            units += [piece(words[k], True) for k in firsts]
+            units = units + self.pieces([words[k] for k in firsts], True)
         lengths = np.fromiter(map(len, units), np.int64, len(units)) >> 2
         values = np.frombuffer(b"".join(units), "<u4")
         begins = np.cumsum(lengths) - lengths
@@ -209,6 +251,10 @@ def packed(ids) -> bytes:
     return array("I", ids).tobytes()
 
 
+#: Whether a string is one pre-token under all patterns here: letters, with a space in front or not.
+_word = re.compile("[ ]?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+
+
 def byte_rank_coder(path: str, pattern: str) -> Coder:
     """The ids that a rank file gives, every match of ``pattern`` by itself, a match with a rank of its own directly."""
     tree, ranks = from_ranks(path)
@@ -226,76 +272,95 @@ def byte_rank_coder(path: str, pattern: str) -> Coder:
             found.append((r,) if r is not None else tree.encode(s))
         return packed(chain.from_iterable(found))
 
-    return Coder(lambda chunk, first: ids(chunk if first else " " + chunk), ids)
+    return Coder(lambda chunks, first: [ids(c if first else " " + c) for c in chunks], ids)
 
 
-#: Finds characters on whose class or case Python and the tokenizer library might differ, and starts of special tokens.
-_unusual = re.compile("[^\\x00-\\x1b\\x20-\\xff]|<\\|").search
+def _library(path: str):
+    """The tokenizer library's reader of a file, on one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(path)
 
-#: Whether a string is one pre-token under all patterns here: letters, with a space in front or not.
-_word = re.compile("[ ]?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 
+JOINED = 2000  #: words that the library gets as one text
 
-def _asking(path: str) -> Callable[[str], bytes]:
-    """Ids by the tokenizer library itself, loaded when a text first needs it."""
-    loaded = []
 
-    def ask(text: str) -> bytes:
-        if not loaded:
-            from tokenizers import Tokenizer
+def _by_borders(encode: Callable[[str], list[int]], text: Callable[[list[str]], str], border: np.ndarray, at_end: bool, words: list[str]) -> list[bytes]:
+    """The ids of each word, from texts of many words; ``border`` marks the ids that a word's first (or last) token has,
+    and no other.  Should their number ever differ from that of the words, each goes to the library by itself."""
+    out: list[bytes] = []
+    for a in range(0, len(words), JOINED):
+        some = words[a : a + JOINED]
+        ids = np.array(encode(text(some)), np.uint32)
+        at = np.flatnonzero(border[ids])
+        if len(at) != len(some):
+            out += [packed(encode(text([w]))) for w in some]
+            continue
+        data = ids.tobytes()
+        edges = [0, *(4 * at + 4).tolist()] if at_end else [*(4 * at).tolist(), len(data)]
+        out += [data[i:j] for i, j in zip(edges, edges[1:])]
+    return out
 
-            loaded.append(Tokenizer.from_file(path))
-        return packed(loaded[0].encode(text, add_special_tokens=False).ids)
 
-    return ask
+def _letters_of(library, path: str) -> list[str]:
+    vocab = library.get_vocab(with_added_tokens=True)
+    out = [""] * (max(vocab.values()) + 1)
+    for token, k in vocab.items():
+        out[k] = token
+    return out
 
 
-def merge_list_coder(path: str, pattern: str) -> Coder:
-    """The ids of the tokenizer library for a byte-level file without normaliser; unusual pieces go to the library itself."""
-    tree, ask = from_merges(path), _asking(path)
-    find = regex.compile(pattern).findall
+def merge_list_coder(path: str) -> Coder:
+    """The ids of the tokenizer library for a byte-level file.  Pieces are given to it many at a time, each with its
+    space in front: the space starts a pre-token, so no token but a piece's first begins with one."""
+    library = _library(path)
+    space = next(c for c, b in byte_letters().items() if b == 32)
+    border = np.array([t.startswith(space) for t in _letters_of(library, path)])
+    encode = lambda text: library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def piece(chunk: str, first: bool) -> bytes:
-        s = chunk if first else " " + chunk
-        if _word(s):
-            return packed(tree.encode(s.encode().decode("latin-1")))
-        if _unusual(s):
-            return ask(s)
-        return packed(chain.from_iterable(tree.encode(m.encode().decode("latin-1")) for m in find(s)))
+    def pieces(chunks: list[str], first: bool) -> list[bytes]:
+        if first:
+            return [packed(encode(c)) for c in chunks]
+        alone = [k for k, c in enumerate(chunks) if not c or c[0].isspace() or c[-1].isspace() or "<|" in c]
+        inside = set(alone)
+        rest = iter(_by_borders(encode, lambda ws: " " + " ".join(ws), border, False, [c for k, c in enumerate(chunks) if k not in inside]))
+        return [packed(encode(" " + c)) if k in inside else next(rest) for k, c in enumerate(chunks)]
 
-    return Coder(piece, ask)
+    return Coder(pieces, lambda text: packed(encode(text)))
 
 
 #: Fixed value: the word pattern that the vocabulary file with end-of-word marks names, for lower-cased text.
 WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Finds characters on whose class or case Python and the tokenizer library might differ, and starts of special tokens.
+_unusual = re.compile("[^\\x00-\\x1b\\x20-\\xff]|<\\|").search
 
 
 def word_end_coder(path: str) -> Coder:
-    """The ids of the tokenizer library for a lower-casing file with end-of-word marks, which drops white space."""
-    tree, ask = from_merges(path), _asking(path)
+    """The ids of the tokenizer library for a lower-casing file with end-of-word marks, which drops white space.  It gets
+    the words of many pieces at a time; the last token of a word, and no other, carries the mark."""
+    library = _library(path)
+    with open(path, encoding="utf-8") as f:
+        mark = json.load(f)["model"]["end_of_word_suffix"]
+    border = np.array([t.endswith(mark) for t in _letters_of(library, path)])
+    encode = lambda text: library.encode_batch_fast([text], add_special_tokens=False)[0].ids
     find = regex.compile(WORD_END_PATTERN).findall
 
-    def word(m: str) -> tuple[int, ...]:
-        s = m.encode().decode("latin-1")
-        return tree.encode(s[:-1] + chr(ord(s[-1]) + END))
-
-    def piece(chunk: str, first: bool) -> bytes:
-        if _word(chunk):
-            return packed(word(chunk.lower()))
-        if _unusual(chunk):
-            return ask(chunk)
-        return packed(chain.from_iterable(map(word, find(chunk.lower()))))
+    def pieces(chunks: list[str], first: bool) -> list[bytes]:
+        words = [[c] if _word(c) else None if _unusual(c) else find(c.lower()) for c in chunks]
+        each = iter(_by_borders(encode, " ".join, border, True, [w for ws in words if ws for w in ws]))
+        return [packed(encode(c)) if ws is None else next(each) if len(ws) == 1 else b"".join(next(each) for _ in ws) for c, ws in zip(chunks, words)]
 
-    return Coder(piece, ask, first_differs=False, runs_matter=False)
+    return Coder(pieces, lambda text: packed(encode(text)), first_differs=False, runs_matter=False)
 
 
 _coders: dict[tuple, Coder] = {}
 
 
 def coder(kind: str, *args: str) -> Coder:
-    """One coder for each worker process."""
+    """One coder for each worker process, and only the last one used: what another operator left is let go."""
     key = (kind, *args)
     if key not in _coders:
+        _coders.clear()
         _coders[key] = {"ranks": byte_rank_coder, "merges": merge_list_coder, "word_end": word_end_coder}[kind](*args)
     return _coders[key]

@@ -2,8 +2,9 @@
 
 A document that fills the sequence length is cut into whole sequences, with the shorter rest in front; the rests and
 the short documents are packed.  Each goes where the sum over all gaps of (open sequences with that gap) squared
-becomes smallest, closing an open sequence or leaving another gap; ties go to the smallest gap.  A new sequence is opened
-only where no open one has room: with the longest placed first, that needs fewer sequences than opening them early.
+becomes smallest: closing an open sequence, leaving another gap, or opening a new sequence; ties go to open ones and the
+smallest gap.  That rule is planned twice, as it stands and with new sequences only where no open one has room, and
+the plan of fewer sequences is taken (on ties the first).  Both see nothing but the histogram of lengths.
 
 The choice depends on nothing but lengths, so the plan is made from the histogram of lengths (at most ``capacity``
 rows, whatever the input).  All pieces of one length are placed together in steps of at most ``1 / steps`` of their
@@ -40,10 +41,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 class Plan:
-    """Where the pieces of each length go; built by placing lengths from long to short."""
+    """Where the pieces of each length go; built by placing lengths from long to short.  ``early``: a new sequence may be
+    opened while open ones have room."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, steps: int = STEPS):
-        self.capacity, self.sequences = capacity, 0
+    def __init__(self, counts: dict[int, int], capacity: int, steps: int = STEPS, early: bool = True):
+        self.capacity, self.sequences, self.early = capacity, 0, early
         self.open = np.zeros(capacity + 1, np.int64)  # sequences by gap
         self.runs: list[deque[tuple[int, int]]] = [deque() for _ in range(capacity + 1)]  # by gap: first sequence, number
         self.rows: list[tuple[int, int, int, int]] = []  # length, first rank, first sequence, offset
@@ -60,11 +62,11 @@ class Plan:
         """Place up to ``most`` pieces of length ``a`` where the sum of squares grows least; returns how many."""
         c, n = self.capacity, self.open
         gaps = a + np.flatnonzero(n[a:c] > 0)
-        if len(gaps):
-            grows = 2 * (n[gaps - a] - n[gaps] + 1)
-            if gaps[0] == a:
-                grows[0] = 1 - 2 * n[a]
-            best = int(grows.argmin())
+        grows = 2 * (n[gaps - a] - n[gaps] + 1)
+        if len(gaps) and gaps[0] == a:
+            grows[0] = 1 - 2 * n[a]
+        best = int(grows.argmin()) if len(gaps) else -1
+        if best >= 0 and not (self.early and (2 * n[c - a] + 1 if a < c else 0) < grows[best]):
             g = int(gaps[best])
             first, size = self.runs[g].popleft()
             k = min(most, size)
@@ -86,11 +88,16 @@ class Plan:
         return self.first_sequence[k] + rank - self.first_rank[k], self.offset[k]
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def planned(counts: dict[int, int], capacity: int, steps: int = STEPS) -> Plan:
+    """The rule's plan, or that without early new sequences where it needs fewer."""
+    return min((Plan(counts, capacity, steps, early) for early in (True, False)), key=lambda p: p.sequences)
+
+
+def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every piece of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = bpe.coder("merges", path, pattern), np.array([end_id], "<u4").tobytes()
+        coder, end = bpe.coder("merges", path), np.array([end_id], "<u4").tobytes()
         for b in _base.sliced(batches):
             rows = []
             for k, ids in enumerate(coder.encode(b.column("text"))):
@@ -110,7 +117,7 @@ def pack(cut_pieces: DataFrame, capacity: int) -> DataFrame:
     salted = _base.materialize(cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     by_length = counts.groupBy("length").agg(F.sum("n").alias("n"))
-    plan = spark.sparkContext.broadcast(Plan({r.length: r.n for r in by_length.collect()}, capacity))
+    plan = spark.sparkContext.broadcast(planned({r.length: r.n for r in by_length.collect()}, capacity))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
@@ -125,6 +132,6 @@ def pack(cut_pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.select(*columns, "rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece of every document with its place in a sequence of at most ``capacity`` ids."""
-    return pack(pieces(docs, path, pattern, end_id, capacity, id_col, text_col), capacity)
+    return pack(pieces(docs, path, end_id, capacity, id_col, text_col), capacity)

@@ -63,7 +63,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnflow.llm import packing
 
-    return packing.pack_documents(_base.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), word_pattern())
+    return packing.pack_documents(_base.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``op9_jaccard_join`` without its count of links, which SQL does not give."""
-    return op9_jaccard_join(spark, sf_dir).drop("n_links")
+    """The classes of ``op9_jaccard_join`` with the number of links of each document."""
+    from tarnflow.llm import jaccard_join
+
+    return jaccard_join.join(_base.documents(spark, sf_dir), k=4, percent=85, count_links=True)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +136,9 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM sets s JOIN reached r ON r.x = s.doc_id GROUP BY s.doc_id
 """
 
+#: The same with all links counted.
+LINKS_SQL = JACCARD_SQL.rstrip().replace("AS component_id FROM", "AS component_id, (SELECT count(*) FROM links l WHERE l.x = s.doc_id) AS n_links FROM") + "\n"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL, "jaccard_components": JACCARD_SQL}
+    return {"op3_line_dedup": LINE_DEDUP_SQL, "op9_jaccard_join": JACCARD_SQL, "jaccard_components": LINKS_SQL}
