@@ -5,8 +5,8 @@ an index of the documents in a skippable frame, then a seek table in a last skip
 seekable zstandard format: compressed size, content size and checksum (low half of XXH64 of the content) of every
 frame.  A reader takes the table from the end of the file and decompresses only the frames it wants.
 
-Ranges of ids come from the ids alone.  Documents are encoded into frames, dealt out by range, sorted within each and
-written, one file a range, under a name of that attempt alone; only files that a finished task reports count, so retries and lost executors
+Ranges of ids come from the ids alone.  Documents are encoded into frames, each range goes to a task of its own, which
+sorts and writes it as one file, under a name of that attempt alone; only files that a finished task reports count, so retries and lost executors
 leave nothing half-written behind.  File lengths are bounded by ``docs_per_file`` (by ids, evenly sampled).
 
 Null or empty text: only the end id.  Null ids come first.  Rows that repeat an id stay separate, next to each other.
@@ -151,7 +151,7 @@ def write(docs: DataFrame, path: str, end_id: int, docs_per_file: int = 20_000,
             yield done()
 
     encoded = plain.mapInArrow(encode, "part long, doc_id long, n long, checksum long, frame binary")
-    ordered = encoded.repartition(n_files, "part").sortWithinPartitions("part", "doc_id", "n", "checksum")
+    ordered = encoded.repartitionById(n_files, F.col("part").cast("int")).sortWithinPartitions("part", "doc_id", "n", "checksum")
     files = _base.materialize(ordered.mapInArrow(save, "path string, part long, first_id long, n_docs long, n_ids long"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")).drop("part")
