@@ -13,6 +13,24 @@ from tarnflow.operators import series
 ALPHA, PASSES, REFLECT = 0.925, 3, 30
 
 
+BLOCK = 64  #: days whose states are one product
+
+
+def recursion(first: float, steps: np.ndarray, alpha: float) -> np.ndarray:
+    """``f[0] = first``, ``f[t] = alpha f[t-1] + steps[t-1]``, a block of days at a time."""
+    n = len(steps)
+    powers = alpha ** np.arange(BLOCK + 1)
+    weights = np.tril(powers[np.abs(np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK)))])
+    blocks = np.zeros(-(-n // BLOCK) * BLOCK)
+    blocks[:n] = steps
+    own = blocks.reshape(-1, BLOCK) @ weights.T
+    state, out = first, np.empty_like(own)
+    for k, row in enumerate(own):
+        out[k] = row + state * powers[1:]
+        state = out[k, -1]
+    return np.concatenate([[first], out.ravel()[:n]])
+
+
 def filter_segment(q: np.ndarray, alpha: float = ALPHA, passes: int = PASSES, reflect: int = REFLECT) -> np.ndarray:
     """Baseflow of one segment without gaps; both ends are reflected, passes run forward and backward in turn, each from its first value.
 
@@ -21,17 +39,10 @@ def filter_segment(q: np.ndarray, alpha: float = ALPHA, passes: int = PASSES, re
     """
     y = np.concatenate([q[1 : reflect + 1][::-1], q, q[-reflect - 1 : -1][::-1]]).astype(float)
     for k in range(passes):
-        if k % 2:
-            y = y[::-1]
-        steps = (1 + alpha) / 2 * np.diff(y)
-        f, state = np.empty(len(y)), y[0]
-        f[0] = state
-        for t, s in enumerate(steps.tolist(), 1):
-            state = alpha * state + s
-            f[t] = state
+        y = y[::-1] if k % 2 else y
+        f = recursion(y[0], (1 + alpha) / 2 * np.diff(y), alpha)
         y = np.where(f > 0, y - f, y)
-        if k % 2:
-            y = y[::-1]
+        y = y[::-1] if k % 2 else y
     return np.maximum(y[reflect : reflect + len(q)], 0.0)
 
 

@@ -79,8 +79,8 @@ def zones(cn: Column) -> list[Column]:
 
 def curve_number_stats(cells: DataFrame) -> DataFrame:
     """Statistics of ``cn`` for each ``raster_id``: over cells inside the basin, or over all if none is inside."""
-    inside = F.max(F.when(F.col("inside") & F.col("cn").isNotNull(), 1)).over(Window.partitionBy("raster_id"))
-    x = cells.withColumn("_in", inside).where("cn IS NOT NULL AND (inside OR _in IS NULL)")
+    has = cells.where("inside AND cn IS NOT NULL").groupBy("raster_id").agg(F.lit(1).alias("_in"))
+    x = cells.where("cn IS NOT NULL").join(has, "raster_id", "left").where("inside OR _in IS NULL")
     p = F.percentile("cn", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
     a = x.groupBy("raster_id").agg(
         F.avg("cn").alias("cn_mean"), F.min("cn").cast("double").alias("cn_min"), F.max("cn").cast("double").alias("cn_max"), F.stddev_pop("cn").alias("cn_std"), p.alias("p"),

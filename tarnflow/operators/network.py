@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,16 +11,18 @@ from pyspark.sql import functions as F
 D8 = {1: (0, 1), 2: (1, 1), 4: (1, 0), 8: (1, -1), 16: (0, -1), 32: (-1, -1), 64: (-1, 0), 128: (-1, 1)}
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder if there is one."""
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder; only a session without ``spark.checkpoint.dir`` gets one of its own."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        spark.sparkContext.setCheckpointDir(at)
-        return df.checkpoint()
-    return df.cache()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnflow-"))
+    return df.checkpoint()
+
+
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share."""
+    saved(spark.range(0))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def upstream(edges: DataFrame, outlets: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -26,36 +30,34 @@ def upstream(edges: DataFrame, outlets: DataFrame, max_rounds: int = 10_000) ->
 
     A frontier is joined with the edges until it is empty; for whole basins at once use ``upstream_totals``.
     """
-    seen = _saved(edges.join(outlets.select(F.col("comid")), "comid", "left_semi").select(F.col("comid").alias("outlet"), "comid").distinct())
+    seen = saved(edges.join(outlets.select(F.col("comid")), "comid", "left_semi").select(F.col("comid").alias("outlet"), "comid").distinct())
     front = seen
     for _ in range(max_rounds):
         step = edges.select("comid", F.col("nextdown").alias("to")).join(front.withColumnRenamed("comid", "to"), "to").select("outlet", "comid").distinct()
-        front = _saved(step.join(seen, ["outlet", "comid"], "left_anti"))
+        front = saved(step.join(seen, ["outlet", "comid"], "left_anti"))
         if front.isEmpty():
             return seen
-        seen = _saved(seen.union(front))
+        seen = saved(seen.union(front))
     raise ValueError("the network is deeper than max_rounds")
 
 
-def downstream_pairs(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``(comid, outlet)`` of every node and all that it drains through, by doubling paths: rounds are the logarithm of the depth."""
-    pairs = _saved(edges.select("comid", F.col("comid").alias("outlet"), F.lit(0).alias("hops")))
-    jump = _saved(edges.join(edges.select(F.col("comid").alias("nextdown")), "nextdown", "left_semi").where("nextdown <> comid").select("comid", F.col("nextdown").alias("to")))
+def upstream_totals(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``(comid, n_upstream, area_km2)``: units and area that drain through each unit, itself included.
+
+    After ``k`` rounds a unit has the sum over all that reach it in fewer than ``2 ** k`` steps; it then adds the sums of
+    the units exactly that far above it.  A round has a row for each unit, and rounds are the logarithm of the depth.
+    """
+    sums = saved(edges.select("comid", F.lit(1).cast("long").alias("n"), F.col("area_km2").cast("double").alias("a")))
+    jump = saved(edges.where("nextdown <> comid").select("comid", F.col("nextdown").alias("to")).join(edges.select(F.col("comid").alias("to")), "to", "left_semi").select("comid", "to"))
     for _ in range(max_rounds):
         if jump.isEmpty():
-            return pairs.select("comid", "outlet")
-        more = jump.join(pairs.withColumnRenamed("comid", "to"), "to").select("comid", "outlet", F.lit(0).alias("hops"))
-        pairs = _saved(pairs.union(more).distinct())
-        jump = _saved(jump.join(jump.select(F.col("comid").alias("to"), F.col("to").alias("further")), "to").select("comid", F.col("further").alias("to")))
+            return sums.select("comid", F.col("n").alias("n_upstream"), F.col("a").alias("area_km2"))
+        gain = jump.join(sums, "comid").groupBy("to").agg(F.sum("n").alias("dn"), F.sum("a").alias("da"))
+        sums = saved(sums.join(gain, sums["comid"] == gain["to"], "left").select("comid", (F.col("n") + F.coalesce("dn", F.lit(0))).alias("n"), (F.col("a") + F.coalesce("da", F.lit(0.0))).alias("a")))
+        jump = saved(jump.join(jump.select(F.col("comid").alias("to"), F.col("to").alias("further")), "to").select("comid", F.col("further").alias("to")))
     raise ValueError("the network has a cycle or is too deep")
 
 
-def upstream_totals(edges: DataFrame) -> DataFrame:
-    """``(comid, n_upstream, area_km2)``: units and area that drain through each unit, itself included."""
-    pairs = downstream_pairs(edges)
-    return pairs.join(edges.select("comid", "area_km2"), "comid").groupBy(F.col("outlet").alias("comid")).agg(F.count("*").alias("n_upstream"), F.sum("area_km2").alias("area_km2"))
-
-
 def d8_edges(cells: DataFrame) -> DataFrame:
     """``(raster_id, row, col, to_row, to_col)``; cells with other codes drain nowhere."""
     table = F.create_map(*(x for k, (r, c) in D8.items() for x in (F.lit(k), F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")))))
@@ -100,8 +102,12 @@ def snap(outlets: DataFrame, cells: DataFrame, radius: float, expected: bool = F
 
 def snap_area_gated(outlets: DataFrame, cells: DataFrame, radius: float, tolerance: float = 0.1) -> DataFrame:
     """The nearest stream cell within ``tolerance`` of the expected area; the plain snap, marked, where there is none."""
-    j = outlets.alias("o").join(cells.alias("c"), F.expr(f"abs(c.x - o.x) <= {radius} AND abs(c.y - o.y) <= {radius} AND c.upa >= 1 AND abs(c.upa - o.expected_km2) <= {tolerance} * o.expected_km2"))
-    j = j.select("o.outlet_id", "c.row", "c.col", "c.upa", F.hypot(F.col("c.x") - F.col("o.x"), F.col("c.y") - F.col("o.y")).alias("dist"), (F.abs(F.col("c.upa") - F.col("o.expected_km2")) / F.col("o.expected_km2")).alias("rel")).where(F.col("dist") <= radius)
+    near = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    o = outlets.withColumn("dx", near).withColumn("dy", near).select("outlet_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "expected_km2", (F.floor(F.col("x") / radius) + F.col("dx")).alias("tx"), (F.floor(F.col("y") / radius) + F.col("dy")).alias("ty"))
+    c = cells.where("upa >= 1").withColumn("tx", F.floor(F.col("x") / radius)).withColumn("ty", F.floor(F.col("y") / radius))
+    off = F.abs(F.col("upa") - F.col("expected_km2"))
+    j = o.join(c, ["tx", "ty"]).where(off <= tolerance * F.col("expected_km2"))
+    j = j.select("outlet_id", "row", "col", "upa", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")).alias("dist"), (off / F.col("expected_km2")).alias("rel")).where(F.col("dist") <= radius)
     w = Window.partitionBy("outlet_id").orderBy(F.round("dist", 3), "rel", "row", "col")
     gated = j.withColumn("n", F.row_number().over(w)).where("n = 1").select("outlet_id", "row", "col", "dist", "upa", F.lit("area_gated").alias("quality"))
     plain = snap(outlets, cells, radius).withColumn("quality", F.lit("nearest_stream_area_gate_no_match"))
@@ -155,12 +161,50 @@ def refine_terminal(edges: DataFrame, inside: DataFrame, outlets: DataFrame) ->
     return upstream(kept, outlets)
 
 
-def smallest_holding(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``(point_id, unit_id)``: the smallest unit ``(unit_id, x0, y0, x1, y1, area)`` that holds a point; units are few."""
-    j = points.join(F.broadcast(boxes), F.expr("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"))
+def in_tiles(boxes: DataFrame, size: float) -> DataFrame:
+    """Boxes ``(..., x0, y0, x1, y1)`` once for each tile ``(tx, ty)`` that they touch."""
+    span = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(z) / size)))
+    return boxes.withColumn("tx", span("x0", "x1")).withColumn("ty", span("y0", "y1"))
+
+
+def smallest_holding(points: DataFrame, boxes: DataFrame, size: float = 10.0) -> DataFrame:
+    """``(point_id, unit_id)``: the smallest unit ``(unit_id, x0, y0, x1, y1, area)`` that holds a point; they meet by tiles."""
+    p = points.withColumn("tx", F.floor(F.col("x") / size)).withColumn("ty", F.floor(F.col("y") / size))
+    j = p.join(in_tiles(boxes, size), ["tx", "ty"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
     return j.groupBy("point_id").agg(F.min(F.struct("area", "unit_id"))["unit_id"].alias("unit_id"))
 
 
+def overlapping(views: DataFrame, boxes: DataFrame, size: float = 10.0) -> DataFrame:
+    """``(preset, code)`` of views and boxes, both ``(name, x0, y0, x1, y1)``, that overlap; they meet by tiles."""
+    v, b = in_tiles(views, size).alias("v"), in_tiles(boxes, size).alias("b")
+    return v.join(b, ["tx", "ty"]).where(boxes_overlap("v", "b")).select("preset", "code").distinct()
+
+
+def layer(features: DataFrame, views: DataFrame, most: int, size: float = 1.0) -> DataFrame:
+    """What a map shows of each view ``(view_id, x0, y0, x1, y1)``: of the features ``(feature_id, x0, y0, x1, y1, weight)``
+    that touch it the ``most`` heaviest, with their rank and the number found."""
+    v, f = in_tiles(views, size).alias("v"), in_tiles(features, size).alias("f")
+    j = v.join(f, ["tx", "ty"]).where(boxes_overlap("v", "f")).select("view_id", "feature_id", "weight").distinct()
+    w = Window.partitionBy("view_id")
+    j = j.withColumn("rank", F.row_number().over(w.orderBy(F.desc("weight"), "feature_id"))).withColumn("n_found", F.count("*").over(w))
+    return j.where(F.col("rank") <= most).select("view_id", "feature_id", "rank", "n_found")
+
+
+def looked_up(wanted: DataFrame, units: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(comid, uparea, length_km, status)`` of each wanted id: its unit's area and its reach, or what is missing."""
+    j = wanted.select("comid").distinct().join(units.select("comid", "uparea"), "comid", "left").join(lines.select("comid", "length_km"), "comid", "left")
+    return j.withColumn("status", F.when(F.col("uparea").isNull(), "missing").when(F.col("length_km").isNull(), "no_line").otherwise("found"))
+
+
+def best_area_match(candidates: DataFrame, most: int = 60) -> DataFrame:
+    """Of the reaches ``(outlet_id, comid, seq, area_km2, expected_km2)`` found around an outlet, the first being where it
+    lies, the one whose area is nearest to the expected one, among the first ``most``; ties go to the earlier one."""
+    off = F.abs(F.col("area_km2") - F.col("expected_km2"))
+    best = F.min(F.when(off.isNotNull(), F.struct(off.alias("off"), "seq", "comid", "area_km2")))
+    a = candidates.where(F.col("seq") < most).groupBy("outlet_id").agg(best.alias("b"), F.min(F.struct("seq", "comid"))["comid"].alias("start"), F.count("*").alias("n_candidates"))
+    return a.select("outlet_id", F.coalesce("b.comid", "start").alias("comid"), "b.area_km2", "n_candidates", (F.col("b.comid") != F.col("start")).alias("moved"))
+
+
 def merge_tiles(tiles: DataFrame) -> DataFrame:
     """One row for each ``tile_id`` of ``(tile_id, source_rank, payload)``: that of the first source, in order of ids."""
     return tiles.groupBy("tile_id").agg(F.min(F.struct("source_rank", "payload")).alias("t"), F.count("*").alias("n_sources")).select("tile_id", "t.payload", "n_sources")

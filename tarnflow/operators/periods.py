@@ -62,14 +62,18 @@ def absent(d: Column, calendar: str) -> Column:
     return leap & (F.month(d) == 12) & (F.dayofmonth(d) == 31)
 
 
-def completeness(daily: DataFrame, freq: str, min_fraction: float | None = None, custom: int | None = None, calendar: str = "standard") -> DataFrame:
+def completeness(daily: DataFrame, freq: str, min_fraction: float | None = None, custom: int | None = None, calendar: str = "standard", known_absent: DataFrame | None = None) -> DataFrame:
     """``(basin_id, period, observed_days, expected_days, fraction, is_complete)`` of every period in each basin's span.
 
     One shuffle on the basin and period; empty periods come from a spine made of each basin's first and last label.
+    Days that the source can never hold, by its calendar or listed in ``known_absent (basin_id, d)``, are not expected.
     """
     share = MIN_FRACTION[freq] if min_fraction is None else min_fraction
     if not 0 < share <= 1:
         raise ValueError("min_fraction must be in (0, 1]")
+    if known_absent is not None:
+        known_absent = known_absent.select("basin_id", "d").distinct().where(~absent(F.col("d"), calendar))
+        daily = daily.join(known_absent, ["basin_id", "d"], "left_anti")
     counted = daily.groupBy("basin_id", label(F.col("d"), freq, custom).alias("period")).agg(F.count_distinct(F.when(finite(F.col("q")).isNotNull() & ~absent(F.col("d"), calendar), F.col("d"))).cast("int").alias("n"))
     span = counted.groupBy("basin_id").agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
     if freq == "month":
@@ -84,6 +88,9 @@ def completeness(daily: DataFrame, freq: str, min_fraction: float | None = None,
         first = first_day(p, freq, custom)
         december = F.when(first <= F.make_date(F.year(first), F.lit(12), F.lit(31)), F.make_date(F.year(first), F.lit(12), F.lit(31)))
         days = days - F.when((december <= last) & absent(december, calendar), 1).otherwise(0)
+    if known_absent is not None:
+        lost = known_absent.groupBy("basin_id", label(F.col("d"), freq, custom).alias("period")).agg(F.count("*").alias("lost"))
+        spine, days = spine.join(lost, ["basin_id", "period"], "left"), days - F.coalesce("lost", F.lit(0))
     out = spine.join(counted, ["basin_id", "period"], "left").select("basin_id", "period", F.coalesce("n", F.lit(0)).alias("observed_days"), days.cast("int").alias("expected_days"))
     fraction = F.col("observed_days") / F.col("expected_days")
     return out.withColumn("fraction", fraction).withColumn("is_complete", fraction >= share - 1e-12)

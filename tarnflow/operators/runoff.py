@@ -15,6 +15,11 @@ DEFAULT_COVER = 0.1
 US_TO_SI = 0.1317
 
 
+def severity(loss: Column) -> Column:
+    """Band of a yearly soil loss in tonnes a hectare: below 2, 10, 50 and above."""
+    return F.when(loss < 2, "low").when(loss < 10, "moderate").when(loss < 50, "high").when(loss >= 50, "severe")
+
+
 def storage(cn: Column) -> Column:
     """Retention S in mm."""
     return F.when((cn > 0) & (cn <= 100), 25400.0 / cn - 254.0)

@@ -63,10 +63,38 @@ def missing_ranges(daily: DataFrame, reasons: DataFrame | None = None, default:
     return grouped.groupBy("basin_id", "_g", "reason").agg(F.min("d").alias("start"), F.max("d").alias("end"), F.count("*").alias("n_days")).select("basin_id", "start", "end", "n_days", "reason")
 
 
+#: Spellings of a unit of mm per day, without blanks.
+MM_PER_DAY = ("mm/day", "mm/d", "mmday-1", "mmd-1", "mmday^-1", "mm.day-1", "kg/m2/day", "kgm-2day-1", "kgm-2d-1", "kg/m^2/day")
+
+
 def unit_is_mm_per_day(unit: Column) -> Column:
-    """Whether a unit means mm per day, whatever its case, blanks and superscripts."""
-    plain = F.lower(F.regexp_replace(F.translate(unit, "⁻¹·", "-1 "), r"[\s.]", ""))
-    return plain.isin("mm/day", "mm/d", "mmday-1", "mmd-1", "mmperday", "kgm-2d-1", "kg/m2/day")
+    """Whether a unit means mm per day, whatever its case and blanks; a raised 2 is a 2."""
+    return F.regexp_replace(F.replace(F.lower(unit), F.lit("²"), F.lit("2")), r"\s", "").isin(*MM_PER_DAY)
+
+
+def effective_unit(declared: Column, of_product: Column) -> Column:
+    """The unit to judge a series by: what it declares, else what its product has; null if neither says."""
+    return F.coalesce(F.nullif(declared, F.lit("")), F.nullif(of_product, F.lit("")))
+
+
+def accepted_coverage(coverage: DataFrame) -> DataFrame:
+    """Of what a data service says of its series ``(basin_id, field, value)``, one row a basin with the fields in use:
+    requested and received days, the range and the calendar; a count that is no whole number counts as absent."""
+    text = lambda n: F.max(F.when(F.col("field") == n, F.col("value")))
+    number = lambda n: F.try_to_number(F.when(F.rlike(text(n), F.lit("^[0-9]{1,9}$")), text(n)), F.lit("999999999")).cast("long")
+    return coverage.groupBy("basin_id").agg(number("expected_days").alias("expected_days"), number("received_days").alias("received_days"), text("start").alias("start"), text("end").alias("end"), text("calendar").alias("calendar"))
+
+
+def served(daily: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """``(basin_id, d, q, units, qualifier, approval)`` as served; codes ``(basin_id, d, seq, qualifier, approval)`` are the
+    first of their day, empty where a day has none, null for basins without any."""
+    base = daily.select("basin_id", "d", F.when(finite(F.col("q")).isNotNull(), F.col("q")).alias("q"), F.lit("m3/s").alias("units"))
+    if codes is None:
+        return base.withColumn("qualifier", F.lit(None).cast("string")).withColumn("approval", F.lit(None).cast("string"))
+    first = codes.groupBy("basin_id", "d").agg(F.min(F.struct("seq", "qualifier", "approval")).alias("c"))
+    some = codes.select("basin_id").distinct().withColumn("known", F.lit(""))
+    j = base.join(first, ["basin_id", "d"], "left").join(some, "basin_id", "left")
+    return j.select("basin_id", "d", "q", "units", F.coalesce("c.qualifier", "known").alias("qualifier"), F.coalesce("c.approval", "known").alias("approval"))
 
 
 def precipitation_problem(p: DataFrame, unit: str | None = None) -> DataFrame:
@@ -96,6 +124,27 @@ def extent(daily: DataFrame) -> DataFrame:
     return valid.groupBy("basin_id").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("n_days"), F.sha2(joined, 256).alias("digest"))
 
 
+def python_repr(x: Column) -> Column:
+    """The shortest text that gives a double again, as digests have it: plain below 1e16, exponents of two digits."""
+    java = x.cast("string")
+    mantissa, power = F.split_part(java, F.lit("E"), F.lit(1)), F.split_part(java, F.lit("E"), F.lit(2)).cast("int")
+    digits = F.regexp_replace(F.ltrim(mantissa, F.lit("-")), r"\.0$|\.", "")
+    sign = F.when(F.startswith(mantissa, F.lit("-")), "-").otherwise("")
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = F.when(F.length(digits) > power + 1, F.concat(sign, F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))).otherwise(F.concat(sign, F.rpad(digits, power + 1, F.lit("0")), F.lit(".0")))
+    far = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    return F.when(~F.contains(java, F.lit("E")), java).when((power >= -4) & (power < 0), small).when((power >= 0) & (power < 16), large).otherwise(far)
+
+
+def provenance(p: DataFrame, unit: str | None = None) -> DataFrame:
+    """Record of each precipitation series as received: extent, days, total, whether it is usable and why not, and the
+    digest over lines of day, tab and shortest number, each ended."""
+    line = F.struct("d", F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit("\t"), python_repr(F.col("p")), F.lit("\n")).alias("l"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda s: s["l"]), "")
+    a = p.where("p IS NOT NULL").groupBy("basin_id").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.sum("p").alias("total"), F.sha2(text, 256).alias("digest"))
+    return a.join(precipitation_problem(p, unit), "basin_id").withColumn("usable", F.col("reason").isNull())
+
+
 def gauge_area_ok(gauge: Column, polygon: Column, tolerance: float = 1.10) -> Column:
     return F.abs(F.ln(gauge / polygon)) <= F.ln(F.lit(tolerance))
 

@@ -125,15 +125,26 @@ def elasticity(paired: DataFrame, min_years: int = 3, min_fraction: float = 0.95
     return x.select("basin_id", "n_years", F.when(F.col("n_years") >= min_years, F.col("m")).alias("stream_elas"))
 
 
-def extract(daily: DataFrame, precipitation: DataFrame | None = None) -> DataFrame:
-    """All signatures of every basin in one plan; what cannot be computed is null."""
-    from tarnflow.operators.baseflow import baseflow_index
+def extract(daily: DataFrame, precipitation: DataFrame | None = None, unit: str | None = None, min_fraction: float = 0.95) -> DataFrame:
+    """All signatures of every basin, and where they come from; what cannot be computed is null.
 
-    out = daily.select("basin_id").distinct()
+    Both series are written once and read by all parts.  Precipitation that its gate refuses gives neither runoff ratio nor
+    elasticity, and its reason; elasticity needs a runoff ratio.
+    """
+    from tarnflow.operators.baseflow import baseflow_index, warmup_biased
+    from tarnflow.operators.network import saved
+
+    daily = saved(daily.select("basin_id", "d", F.col("q").cast("double").alias("q")))
+    out = daily.groupBy("basin_id").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"))
     for part in (flow_stats(daily), event_stats(daily), timing_stats(daily).drop("n_years"), fdc_slopes(daily), baseflow_index(daily)):
         out = out.join(part, "basin_id", "left")
+    out = out.withColumn("baseflow_warmup_biased", warmup_biased(F.col("n_days")))
     if precipitation is not None:
-        paired = series.align(daily, precipitation)
-        out = out.join(water_balance(paired).select("basin_id", "runoff_ratio", F.col("reason").alias("water_balance_reason")), "basin_id", "left")
-        out = out.join(elasticity(paired).select("basin_id", "stream_elas"), "basin_id", "left")
+        p = saved(precipitation.select("basin_id", "d", F.col("p").cast("double").alias("p")))
+        gate = series.precipitation_problem(p, unit).select("basin_id", F.col("reason").alias("gate"))
+        paired = saved(series.align(daily, p.join(gate.where("gate IS NULL"), "basin_id", "left_semi")))
+        balance = water_balance(paired, min_fraction=min_fraction).select("basin_id", "runoff_ratio", "n_years", "reason")
+        j = out.join(gate, "basin_id", "left").join(balance, "basin_id", "left").join(elasticity(paired, min_fraction=min_fraction).select("basin_id", "stream_elas"), "basin_id", "left")
+        why = F.coalesce(F.concat(F.lit("precipitation_"), F.col("gate")), "reason", F.when(F.col("runoff_ratio").isNull(), "overlap"))
+        out = j.withColumn("stream_elas", F.when(F.col("runoff_ratio").isNotNull(), F.col("stream_elas"))).withColumn("water_balance_reason", why).withColumnRenamed("n_years", "water_balance_years").drop("gate", "reason")
     return out

@@ -62,7 +62,7 @@ def shape_indices(area: Column, perimeter: Column, length: Column) -> dict[str,
 def relief(cells: DataFrame, outlets: DataFrame, radius: int = 3) -> DataFrame:
     """``(raster_id, z_max, z_outlet, h_m)``: the outlet's height is the least in the smallest ring that has a value."""
     tops = cells.groupBy("raster_id").agg(F.max("value").alias("z_max"))
-    near = cells.alias("c").join(F.broadcast(outlets).alias("o"), F.expr(f"c.raster_id = o.raster_id AND abs(c.row - o.row) <= {radius} AND abs(c.col - o.col) <= {radius} AND c.value IS NOT NULL"))
+    near = cells.alias("c").join(outlets.alias("o"), F.expr(f"c.raster_id = o.raster_id AND abs(c.row - o.row) <= {radius} AND abs(c.col - o.col) <= {radius} AND c.value IS NOT NULL"))
     ring = F.greatest(F.abs(F.col("c.row") - F.col("o.row")), F.abs(F.col("c.col") - F.col("o.col")))
     ring = F.when(ring <= 1, F.when(ring == 0, 0).otherwise(1)).otherwise(ring)
     low = near.groupBy("c.raster_id").agg(F.min(F.struct(ring.alias("ring"), F.col("c.value").alias("z")))["z"].alias("z_outlet"))
@@ -84,34 +84,51 @@ def advanced_indices(area: Column, shape_factor: Column, channel_slope: Column,
     return {"hkr": F.when(steep & (density > 0), area / (channel_slope * F.sqrt(density))), "gray": F.when(steep, centroid_km / F.sqrt(channel_slope)), "murphey": F.when(area > 0, shape_factor / area)}
 
 
-def polygon_measures(vertices: DataFrame) -> DataFrame:
-    """``(basin_id, area, perimeter, cx, cy)`` of rings ``(basin_id, seq, x, y)`` in metres, open or closed."""
-    w = Window.partitionBy("basin_id").orderBy("seq")
-    first = Window.partitionBy("basin_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(first)) for c in ("x", "y"))
-    e = vertices.withColumn("nx", nx).withColumn("ny", ny).withColumn("k", F.col("x") * F.col("ny") - F.col("nx") * F.col("y"))
-    a = e.groupBy("basin_id").agg((F.sum("k") / 2).alias("s"), F.sum(F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))).alias("perimeter"), F.sum((F.col("x") + F.col("nx")) * F.col("k")).alias("mx"), F.sum((F.col("y") + F.col("ny")) * F.col("k")).alias("my"))
-    return a.select("basin_id", F.abs("s").alias("area"), "perimeter", F.try_divide(F.col("mx"), 6 * F.col("s")).alias("cx"), F.try_divide(F.col("my"), 6 * F.col("s")).alias("cy"))
+def _ring_edges(vertices: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges ``(*keys, x1, y1, x2, y2)`` of closed rings; ``ring`` is one of the keys where the table has it."""
+    by = [*keys, "ring"] if "ring" in vertices.columns else keys
+    w = Window.partitionBy(*by).orderBy("seq")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(whole)) for c in ("x", "y"))
+    return vertices.select(*by, F.col("x").alias("x1"), F.col("y").alias("y1"), nx.alias("x2"), ny.alias("y2"))
 
 
-def inside_ring(cells: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Cells ``(raster_id, row, col, x, y)`` with ``inside``: whether the centre lies in the ring of its raster, by ray casting.
+def polygon_measures(vertices: DataFrame) -> DataFrame:
+    """``(basin_id, area, perimeter, cx, cy)`` of rings ``(basin_id[, ring, hole], seq, x, y)`` in metres, open or closed.
 
-    Edges are joined by the raster and the band of heights they span, then crossings are counted; rings are small.
+    Rings of one basin add up, those with ``hole`` count against the area and the centre; the perimeter is that of all.
     """
-    w = Window.partitionBy("raster_id").orderBy("seq")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = vertices.select("raster_id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce(F.lead("x").over(w), F.first("x").over(whole)).alias("x2"), F.coalesce(F.lead("y").over(w), F.first("y").over(whole)).alias("y2"))
+    by = ["basin_id", "ring"] if "ring" in vertices.columns else ["basin_id"]
+    k = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
+    e = _ring_edges(vertices, ["basin_id"]).withColumn("k", k)
+    r = e.groupBy(*by).agg((F.sum("k") / 2).alias("s"), F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("p"), F.sum((F.col("x1") + F.col("x2")) * F.col("k")).alias("mx"), F.sum((F.col("y1") + F.col("y2")) * F.col("k")).alias("my"))
+    if "hole" in vertices.columns:
+        r = r.join(vertices.groupBy(*by).agg(F.max("hole").alias("hole")), by)
+        sign = F.when(F.col("hole"), -1).otherwise(1) * F.signum("s")
+    else:
+        sign = F.signum("s")
+    a = r.groupBy("basin_id").agg(F.sum(F.col("s") * sign).alias("a"), F.sum("p").alias("perimeter"), F.sum(F.col("mx") * sign).alias("mx"), F.sum(F.col("my") * sign).alias("my"))
+    return a.select("basin_id", F.col("a").alias("area"), "perimeter", F.try_divide(F.col("mx"), 6 * F.col("a")).alias("cx"), F.try_divide(F.col("my"), 6 * F.col("a")).alias("cy"))
+
+
+def inside_ring(cells: DataFrame, vertices: DataFrame, band: float = 1.0) -> DataFrame:
+    """Cells ``(raster_id, row, col, x, y)`` with ``inside``: whether the centre lies in the rings of its raster, by ray
+    casting; a hole is a ring within a ring.
+
+    Edges go to the bands of ``band`` heights that they span, so a cell meets only those that its ray may cross.
+    """
+    e = _ring_edges(vertices, ["raster_id"]).where("y1 <> y2")
+    e = e.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band)))).drop("ring")
     crosses = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    at = F.col("x1") + (F.col("y") - F.col("y1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    at = F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
     n = F.count(F.when(crosses & (F.col("x") < at), 1))
-    return cells.join(edges, "raster_id", "left").groupBy("raster_id", "row", "col", "x", "y").agg((n % 2 == 1).alias("inside"))
+    return cells.withColumn("band", F.floor(F.col("y") / band)).join(e, ["raster_id", "band"], "left").groupBy("raster_id", "row", "col", "x", "y").agg((n % 2 == 1).alias("inside"))
 
 
 def fill_dem(cells: DataFrame) -> DataFrame:
-    """Heights below -500 are missing; missing ones take the raster's median."""
+    """Heights below -500 are missing; missing ones take the raster's median; ``flat`` marks rasters of less than 1 m of relief."""
     v = F.when(F.col("value") >= -500, F.col("value"))
-    m = cells.groupBy("raster_id").agg(F.median(v).alias("_m"))
+    m = cells.groupBy("raster_id").agg(F.median(v).alias("_m"), F.coalesce(F.max(v) - F.min(v) < 1.0, F.lit(True)).alias("flat"))
     return cells.join(m, "raster_id").withColumn("value", F.coalesce(v, "_m")).drop("_m")
 
 

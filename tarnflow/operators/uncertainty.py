@@ -40,17 +40,78 @@ def flow_intervals(daily: DataFrame, resamples: int = RESAMPLES, level: float =
     return x.groupBy("basin_id").applyInPandas(run, f"basin_id {kind}, statistic string, value double, ci_low double, ci_high double, n_years long, reason string")
 
 
-def resampled_ratio(paired: DataFrame, num: str, den: str, resamples: int = 200, level: float = LEVEL) -> DataFrame:
-    """``(basin_id, ratio, ci_low, ci_high)`` of sums over drawn water years; draws come from hashes, all in Spark."""
-    years = paired.groupBy("basin_id", periods.label(F.col("d"), "water").alias("wy")).agg(F.sum(num).alias("a"), F.sum(den).alias("b"))
-    listed = years.groupBy("basin_id").agg(F.array_sort(F.collect_list(F.struct("wy", "a", "b"))).alias("y"))
-    draws = listed.select("basin_id", "y", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
-    draws = draws.select("basin_id", "rep", "y", F.explode(F.sequence(F.lit(0), F.size("y") - 1)).alias("i"))
-    pick = F.element_at("y", (F.pmod(F.xxhash64("rep", "i"), F.size("y")) + 1).cast("int"))
-    one = draws.select("basin_id", "rep", pick.alias("s")).groupBy("basin_id", "rep").agg((F.sum("s.a") / F.sum("s.b")).alias("r"))
-    ends = one.groupBy("basin_id").agg(F.percentile("r", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("p"))
-    total = years.groupBy("basin_id").agg((F.sum("a") / F.sum("b")).alias("ratio"))
-    return total.join(ends, "basin_id").select("basin_id", "ratio", F.col("p")[0].alias("ci_low"), F.col("p")[1].alias("ci_high"))
+#: Fixed value: a relative change of precipitation below this makes a year's elasticity unstable.
+NEAR_ZERO = 0.02
+
+
+def yearly(daily: DataFrame, num: str, den: str) -> DataFrame:
+    """``(basin_id, wy, n, a, b, whole)``: days and sums of each water year; ``whole`` if it has enough of its days."""
+    y = daily.where(f"{num} IS NOT NULL AND {den} IS NOT NULL").groupBy("basin_id", periods.label(F.col("d"), "water").alias("wy")).agg(F.count("*").alias("n"), F.sum(num).alias("a"), F.sum(den).alias("b"))
+    return y.withColumn("whole", F.col("n") / periods.period_days(F.col("wy"), "water") >= COMPLETE - 1e-12)
+
+
+def drawn_years(years: DataFrame, resamples: int) -> DataFrame:
+    """Each basin's years drawn as often as it has years, ``resamples`` times: ``(basin_id, rep, i, y)``.
+
+    The year of a draw follows from its number and place alone, by a fixed linear rule, so a lost task draws the same again.
+    """
+    listed = years.groupBy("basin_id").agg(F.array_sort(F.collect_list(F.struct("wy", "n", "a", "b"))).alias("ys"))
+    draws = listed.select("basin_id", "ys", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep")).select("basin_id", "rep", "ys", F.explode(F.sequence(F.lit(0), F.size("ys") - 1)).alias("i"))
+    x = (F.col("rep").cast("long") * 7919 + F.col("i").cast("long") * 104729 + 12345) * 48271 % 2147483647
+    x = x * 48271 % 2147483647
+    return draws.select("basin_id", "rep", "i", F.element_at("ys", (F.floor(x / 65536) % F.size("ys") + 1).cast("int")).alias("y"))
+
+
+def _with_refusal(point: DataFrame, reps: DataFrame, years: DataFrame, name: str, level: float, min_years: int) -> DataFrame:
+    """One row a basin with the same columns whether or not there is an interval."""
+    ends = reps.where("r IS NOT NULL").groupBy("basin_id").agg(F.percentile("r", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("p"), F.count("*").alias("n_valid"))
+    groups = years.groupBy("basin_id").agg(F.count(F.when(F.col("whole"), 1)).alias("n_years"), F.count(F.when(~F.col("whole"), 1)).alias("n_partial"), F.sum("n").alias("n_days"))
+    ok = F.col("n_years") >= min_years
+    j = groups.join(point, "basin_id").join(ends, "basin_id", "left")
+    return j.select("basin_id", F.lit(name).alias("statistic"), "value", F.when(ok, F.col("p")[0]).alias("ci_low"), F.when(ok, F.col("p")[1]).alias("ci_high"), "n_days", "n_years", "n_partial", F.when(ok, F.coalesce("n_valid", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_valid"), (~ok).alias("refused"), F.when(~ok, "too_few_complete_years").alias("reason"))
+
+
+def ratio_interval(daily: DataFrame, num: str, den: str, name: str, resamples: int = RESAMPLES, level: float = LEVEL, min_years: int = MIN_YEARS) -> DataFrame:
+    """Interval of ``sum(num) / sum(den)`` over drawn water years (baseflow index, runoff ratio); partial years are drawn too
+    but do not count towards ``min_years``, below which it is refused."""
+    years = yearly(daily, num, den)
+    reps = drawn_years(years, resamples).groupBy("basin_id", "rep").agg(F.try_divide(F.sum("y.a"), F.sum("y.b")).alias("r"))
+    point = years.groupBy("basin_id").agg(F.try_divide(F.sum("a"), F.sum("b")).alias("value"))
+    return _with_refusal(point, reps, years, name, level, min_years)
+
+
+def elasticity_interval(paired: DataFrame, resamples: int = RESAMPLES, level: float = LEVEL, min_years: int = MIN_YEARS) -> DataFrame:
+    """Interval of the streamflow elasticity: of each drawn set of years the median over them of the relative change of flow
+    for that of precipitation, from the means over all drawn days.  ``n_near_zero`` years have hardly a change of precipitation."""
+    years = yearly(paired, "q", "p")
+    change = lambda c, t: F.try_divide(F.col(c) - F.col(t), F.col(t))
+
+    def median(rows: DataFrame, by: list[str]) -> DataFrame:
+        t = rows.groupBy(*by).agg((F.sum("a") / F.sum("n")).alias("tq"), (F.sum("b") / F.sum("n")).alias("tp"))
+        e = rows.withColumn("mq", F.col("a") / F.col("n")).withColumn("mp", F.col("b") / F.col("n")).join(t, by)
+        return e.withColumn("dp", change("mp", "tp")).withColumn("e", periods.finite(F.try_divide(change("mq", "tq"), F.col("dp"))))
+
+    reps = median(drawn_years(years, resamples).select("basin_id", "rep", "y.n", "y.a", "y.b"), ["basin_id", "rep"]).groupBy("basin_id", "rep").agg(F.median("e").alias("r"))
+    one = median(years, ["basin_id"]).groupBy("basin_id").agg(F.median("e").alias("value"), F.count(F.when(F.abs("dp") < NEAR_ZERO, 1)).alias("near"))
+    out = _with_refusal(one.select("basin_id", "value"), reps, years, "stream_elas", level, min_years)
+    return out.join(one.select("basin_id", F.col("near").alias("n_near_zero")), "basin_id").withColumn("degraded", F.col("refused") | (F.col("n_near_zero") > 0))
+
+
+def baseflow_interval(daily: DataFrame, **options) -> DataFrame:
+    """Interval of the baseflow index: the filter runs once over the series, then water years are drawn."""
+    from tarnflow.operators.baseflow import lyne_hollick
+
+    flow = lyne_hollick(daily).where("baseflow IS NOT NULL AND q IS NOT NULL").withColumn("base", F.greatest(F.lit(0.0), F.least("baseflow", "q")))
+    return ratio_interval(flow, "base", "q", "baseflow_index", **options)
+
+
+def resampled_ratio(paired: DataFrame, num: str, den: str, resamples: int = RESAMPLES, level: float = LEVEL, min_years: int = MIN_YEARS) -> DataFrame:
+    """``(basin_id, ratio, ci_low, ci_high, n_years, reason)`` of sums over drawn complete water years; refused below ``min_years``."""
+    whole = yearly(paired, num, den).where("whole").select("basin_id", "wy")
+    used = paired.withColumn("wy", periods.label(F.col("d"), "water")).join(whole, ["basin_id", "wy"], "left_semi").drop("wy")
+    r = ratio_interval(used, num, den, "ratio", resamples, level, min_years)
+    every = paired.select("basin_id").distinct().join(r, "basin_id", "left")
+    return every.select("basin_id", F.col("value").alias("ratio"), "ci_low", "ci_high", F.coalesce("n_years", F.lit(0)).alias("n_years"), F.coalesce("reason", F.when(F.col("n_years").isNull(), "too_few_complete_years")).alias("reason"))
 
 
 def exposure(daily: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ shipped that day; networks, rasters, soils and candidates come from parts, suppl
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -272,17 +273,17 @@ def _all_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lh_baseflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseflow.lyne_hollick(_all_regions(spark, sf_dir)).select("basin_id", "d", F.round("baseflow", 4).alias("baseflow"))
+    return baseflow.lyne_hollick(_all_regions(spark, sf_dir)).select("basin_id", "d", F.round("baseflow", 2).alias("baseflow"))
 
 
 @query()
 def baseflow_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseflow.baseflow_index(_all_regions(spark, sf_dir))
+    return baseflow.baseflow_index(_all_regions(spark, sf_dir)).withColumn("baseflow_index", F.round("baseflow_index", 8))
 
 
 @query()
 def signatures_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signatures.extract(daily_flow(spark, sf_dir), precipitation(spark, sf_dir))
+    return signatures.extract(daily_flow(spark, sf_dir), precipitation(spark, sf_dir), "mm/day")
 
 
 @query(f"""WITH {DAILY}, f AS (SELECT *, CASE WHEN day(d) % 5 = 0 THEN 'e' WHEN day(d) % 7 = 0 THEN 'e,Ice' WHEN day(d) % 11 = 0 THEN 'Bkw' ELSE '' END AS ql, CASE WHEN year(d) >= 2000 THEN 'P' ELSE 'A' END AS ap FROM daily),
@@ -536,9 +537,14 @@ def snap_expected_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.snap(*_snap_tables(spark, sf_dir), 300.0, expected=True).withColumn("dist", F.round("dist", 6))
 
 
-@query()
+@query(f"""WITH {_CELLS_XY}, j AS (SELECT o.*, c.r, c.c, c.upa, sqrt((c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y)) AS dist FROM outlets o JOIN cells c ON abs(c.x - o.x) <= 300 AND abs(c.y - o.y) <= 300),
+g AS (SELECT *, row_number() OVER (PARTITION BY outlet_id ORDER BY round(dist, 3), abs(upa - expected) / expected, r, c) AS n FROM j WHERE dist <= 300 AND upa >= 1 AND abs(upa - expected) <= 0.1 * expected),
+k AS (SELECT *, CASE WHEN upa >= 1 THEN 0 WHEN upa > 0 THEN 1 ELSE 2 END AS kind FROM j WHERE dist <= 300), b AS (SELECT *, min(kind) OVER (PARTITION BY outlet_id) AS bk FROM k), m AS (SELECT *, max(ln(1 + upa)) OVER (PARTITION BY outlet_id) AS mx FROM b WHERE kind = bk),
+s AS (SELECT *, row_number() OVER (PARTITION BY outlet_id ORDER BY dist / 300 - 0.2 * ln(1 + upa) / greatest(mx, 1), r, c) AS n FROM m)
+SELECT outlet_id, r AS "row", c AS col, round(dist, 6) AS dist, upa, 'area_gated' AS quality FROM g WHERE n = 1
+UNION ALL SELECT outlet_id, r, c, round(dist, 6), upa, 'nearest_stream_area_gate_no_match' FROM s WHERE n = 1 AND outlet_id NOT IN (SELECT outlet_id FROM g)""")
 def snap_area_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.snap_area_gated(*_snap_tables(spark, sf_dir), 300.0, 0.1)
+    return network.snap_area_gated(*_snap_tables(spark, sf_dir), 300.0, 0.1).withColumn("dist", F.round("dist", 6))
 
 
 @query("""WITH b AS (SELECT p_partkey AS comid, (p_partkey % 50) * 0.5 AS x0, (p_partkey // 50) * 0.5 AS y0, (p_partkey % 50) * 0.5 + 0.48 AS x1, (p_partkey // 50) * 0.5 + 0.48 AS y1, p_retailprice AS u FROM part), p AS (SELECT s_suppkey AS point_id, (s_suppkey * 7919 % 2400) / 100.0 AS x, (s_suppkey * 104729 % 190) / 100.0 AS y FROM supplier),
@@ -621,9 +627,9 @@ def routing_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT v.preset, b.k AS code FROM v JOIN b ON b.x0 <= v.x1 AND b.x1 >= v.x0 AND b.y0 <= v.y1 AND b.y1 >= v.y0""")
 def region_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, r = F.col("n_nationkey"), F.col("r_regionkey")
-    boxes = table(spark, sf_dir, "nation").select(k.alias("code"), (k * 4.0).alias("x0"), (F.col("n_regionkey") * 5.0).alias("y0"), (k * 4.0 + 6).alias("x1"), (F.col("n_regionkey") * 5.0 + 7).alias("y1")).alias("b")
-    views = table(spark, sf_dir, "region").select(r.alias("preset"), (r * 20.0).alias("x0"), F.lit(0.0).alias("y0"), (r * 20.0 + 15).alias("x1"), F.lit(12.0).alias("y1")).alias("v")
-    return F.broadcast(views).join(boxes, network.boxes_overlap("b", "v")).select("preset", "code").distinct()
+    boxes = table(spark, sf_dir, "nation").select(k.alias("code"), (k * 4.0).alias("x0"), (F.col("n_regionkey") * 5.0).alias("y0"), (k * 4.0 + 6).alias("x1"), (F.col("n_regionkey") * 5.0 + 7).alias("y1"))
+    views = table(spark, sf_dir, "region").select(r.alias("preset"), (r * 20.0).alias("x0"), F.lit(0.0).alias("y0"), (r * 20.0 + 15).alias("x1"), F.lit(12.0).alias("y1"))
+    return network.overlapping(views, boxes)
 
 
 @query(f"""WITH {DAILY} SELECT basin_id, min(d) AS first_day, max(d) AS last_day, count(*) AS n_days, sha256(string_agg(strftime(d, '%Y-%m-%d') || chr(9) || printf('%.6f', q), chr(10) ORDER BY d)) AS digest FROM daily GROUP BY 1""")
@@ -635,7 +641,7 @@ def series_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return streams.run_available(streams.daily_counts(stream), "tarnflow_daily_counts").withColumn("total", F.round("total", 4))
+    return streams.run_available(streams.daily_counts(stream), f"{network.shared_folder(spark)}/daily-counts-{uuid.uuid4().hex}").withColumn("total", F.round("total", 4))
 
 
 @query(f"""WITH {DENSE}, gaps AS (SELECT basin_id, d - CAST(row_number() OVER (PARTITION BY basin_id ORDER BY d) AS INTEGER) AS g FROM dense WHERE q IS NULL), r AS (SELECT basin_id, g, count(*) AS k FROM gaps GROUP BY 1, 2)
@@ -691,12 +697,12 @@ def tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.merge_tiles(t)
 
 
-@query("""SELECT s_suppkey, 'basin:' || substr(sha256(concat_ws('|', 'gauge:' || s_suppkey, 'v1', 'hybrid')), 1, 16) AS ref, s_suppkey % 700 > 300 OR s_suppkey % 9 = 0 OR (100 + s_suppkey % 60) / 100.0 > 1.25 AS unreliable, 80 + s_suppkey % 20 < 0.9 * 100 AS off_reach,
+@query("""SELECT s_suppkey, 'basin:' || substr(sha256(concat_ws('|', 'gauge:' || s_suppkey, 'v1', 'hybrid')), 1, 16) AS ref, s_suppkey % 700 > 300 OR s_suppkey % 9 = 0 OR (100 + s_suppkey % 60) > 1.25 * (60 + (1 - s_suppkey % 10 / 10.0) * 40) AS unreliable, 80 + s_suppkey % 20 < 0.9 * 100 AS off_reach,
 CASE WHEN 3000 < 2 * (s_suppkey * 31 % 4000) THEN 'no_room' WHEN s_suppkey * 31 % 4000 <= 1000 THEN 'fetch' ELSE 'ask' END AS staging FROM supplier""")
 def outlet_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s_suppkey")
     line = F.when(s % 9 != 0, s % 700)
     return table(spark, sf_dir, "supplier").select(
-        "s_suppkey", reliability.basin_ref(F.concat(F.lit("gauge:"), s.cast("string")), F.lit("v1"), F.lit("hybrid")).alias("ref"), reliability.unsnapped_unreliable(100 + s % 60, F.lit(40.0), F.lit(60.0), line).alias("unreliable"),
+        "s_suppkey", reliability.basin_ref(F.concat(F.lit("gauge:"), s.cast("string")), F.lit("v1"), F.lit("hybrid")).alias("ref"), reliability.unsnapped_unreliable(100 + s % 60, F.lit(40.0), F.lit(60.0), line, s % 10 / 10.0).alias("unreliable"),
         reliability.off_reach(80 + s % 20, F.lit(100.0)).alias("off_reach"), reliability.staging(s * 31 % 4000, F.lit(3000.0), "tiered", 1000.0).alias("staging"),
     )

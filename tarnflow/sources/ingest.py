@@ -28,7 +28,8 @@ def read_daily_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """``(basin_id, ring, seq, x, y)`` of the outer rings of a geometry, feature or collection of features."""
+    """``(basin_id, ring, hole, seq, x, y)`` of all rings of a geometry, feature or collection of features; a polygon's later
+    rings are its holes."""
     raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("v"))
     kind = F.try_variant_get("v", "$.type", "string")
     geometries = F.when(kind == "FeatureCollection", F.transform(F.try_variant_get("v", "$.features", "array<variant>"), lambda f: F.try_variant_get(f, "$.geometry", "variant"))).when(kind == "Feature", F.array(F.try_variant_get("v", "$.geometry", "variant"))).otherwise(F.array("v"))
@@ -36,8 +37,9 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     many = F.try_variant_get("g", "$.coordinates", "array<array<array<array<double>>>>")
     one = F.try_variant_get("g", "$.coordinates", "array<array<array<double>>>")
     polygons = F.when(F.try_variant_get("g", "$.type", "string") == "MultiPolygon", many).otherwise(F.array(one))
-    rings = g.select("basin_id", "feature", F.posexplode(polygons).alias("part", "p")).select("basin_id", (F.col("feature") * 100_000 + F.col("part")).alias("ring"), F.posexplode(F.col("p")[0]).alias("seq", "c"))
-    return rings.select("basin_id", "ring", "seq", F.col("c")[0].alias("x"), F.col("c")[1].alias("y"))
+    rings = g.select("basin_id", "feature", F.posexplode(polygons).alias("part", "p")).select("basin_id", "feature", "part", F.posexplode("p").alias("k", "r"))
+    rings = rings.select("basin_id", (F.col("feature").cast("long") * 1_000_000_000_000 + F.col("part") * 1_000_000 + F.col("k")).alias("ring"), (F.col("k") > 0).alias("hole"), F.posexplode("r").alias("seq", "c"))
+    return rings.select("basin_id", "ring", "hole", "seq", F.col("c")[0].alias("x"), F.col("c")[1].alias("y"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -16,9 +16,14 @@ def deduplicated(events: DataFrame, key: str = "event_id", delay: str = "1 day")
     return events.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", delay).dropDuplicatesWithinWatermark([key])
 
 
-def run_available(events: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process all that is there, then return the result table."""
-    spark = events.sparkSession
-    q = events.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_available(events: DataFrame, at: str, mode: str = "complete") -> DataFrame:
+    """Process all that is there into files below ``at``, each batch's result in its own folder, and return the last one's."""
+    spark, written = events.sparkSession, []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/result/{number}")
+        written.append(f"{at}/result/{number}")
+
+    q = events.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(save).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(events.schema).parquet(written[-1]) if written else spark.createDataFrame([], events.schema)
