@@ -281,9 +281,14 @@ def baseflow_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseflow.baseflow_index(_all_regions(spark, sf_dir)).withColumn("baseflow_index", F.round("baseflow_index", 8))
 
 
+def rounded_signatures(s: DataFrame) -> DataFrame:
+    digits = dict.fromkeys(("q_mean", "q_std", "q5", "q_median", "q95", "stream_elas"), 4)
+    return s.select(*(F.round(c, digits.get(c, 6)).alias(c) if kind == "double" else F.col(c) for c, kind in s.dtypes))
+
+
 @query()
 def signatures_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signatures.extract(daily_flow(spark, sf_dir), precipitation(spark, sf_dir), "mm/day")
+    return rounded_signatures(signatures.extract(daily_flow(spark, sf_dir), precipitation(spark, sf_dir), "mm/day"))
 
 
 @query(f"""WITH {DAILY}, f AS (SELECT *, CASE WHEN day(d) % 5 = 0 THEN 'e' WHEN day(d) % 7 = 0 THEN 'e,Ice' WHEN day(d) % 11 = 0 THEN 'Bkw' ELSE '' END AS ql, CASE WHEN year(d) >= 2000 THEN 'P' ELSE 'A' END AS ap FROM daily),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.operators import frequency, geodesy, landsoil, network, periods, reliability, routing, runoff, series, signatures, terrain, uncertainty
-from tarnflow.plans.hydro import _GRID, _MAXIMA, DAILY, PAIRED, QUERIES, SQL, _all_regions, _grid, _maxima, daily_flow, precipitation, query, report_sql, table
+from tarnflow.plans.hydro import _GRID, _MAXIMA, DAILY, PAIRED, QUERIES, SHARE, SQL, _all_regions, _grid, _maxima, daily_flow, precipitation, query, report_sql, rounded_signatures, table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -333,3 +333,37 @@ def completeness_with_absent_days(spark: SparkSession, sf_dir: str) -> DataFrame
     listed = daily.where("day(d) = 13").select("basin_id", "d")
     listed = listed.union(listed.select("basin_id", F.date_add("d", 1)))
     return periods.completeness(daily, "water", calendar="no_leap_dec31", known_absent=listed).select("basin_id", "period", "observed_days", "expected_days")
+
+
+SQL["runoff_ratio_interval"] = f"""WITH {PAIRED}, {_YEARS('paired', 'q', 'p').replace('y AS (', 'y0 AS (')}, y AS (SELECT * FROM y0 WHERE whole), {_DRAWS}, r AS (SELECT basin_id, rep, sum(a) / sum(b) AS r FROM dn GROUP BY 1, 2),
+e AS (SELECT basin_id, quantile_cont(r, 0.05) AS lo, quantile_cont(r, 0.95) AS hi FROM r GROUP BY 1), t AS (SELECT basin_id, sum(a) / sum(b) AS ratio, count(*) AS n FROM y GROUP BY 1)
+SELECT b.basin_id, ratio, CASE WHEN n >= 10 THEN lo END AS ci_low, CASE WHEN n >= 10 THEN hi END AS ci_high, coalesce(n, 0) AS n_years, CASE WHEN coalesce(n, 0) < 10 THEN 'too_few_complete_years' END AS reason FROM (SELECT DISTINCT basin_id FROM paired) b LEFT JOIN t ON t.basin_id = b.basin_id LEFT JOIN e ON e.basin_id = b.basin_id"""
+
+
+def _signatures_sql(q: str, p: str, share: float) -> str:
+    """All signatures from the SQL of each part; flow and rain are scaled by ``q`` and ``p``."""
+    scaled = f"{DAILY.replace('daily AS', 'daily0 AS')}, daily AS (SELECT basin_id, d, q * {q} AS q FROM daily0)"
+    part = lambda name: SQL[name].replace(DAILY, scaled)
+    rain = f"rain AS (SELECT CAST(l_shipdate AS DATE) AS d, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) * {p} AS p FROM lineitem GROUP BY 1)"
+    gate = "gate AS (SELECT CASE WHEN count(*) < 365 THEN 'too_few_days' WHEN min(p) < 0 THEN 'negative' WHEN max(p) > 2000 THEN 'max_out_of_range' WHEN avg(p) < 1e-4 THEN 'effectively_zero' WHEN avg(p) > 35 THEN 'mean_out_of_range' END AS gate FROM rain)"
+    water = f"""WITH {scaled.replace(', daily AS', ', flow AS')}, {rain}, {gate}, paired0 AS (SELECT f.basin_id, f.d, f.q, r.p, count(*) OVER (PARTITION BY f.basin_id) AS n FROM flow f JOIN rain r ON r.d = f.d), daily AS (SELECT basin_id, d, q, p FROM paired0, gate WHERE n >= 365 AND gate IS NULL), {report_sql('water', share)},
+    used AS (SELECT l.* FROM labelled l JOIN judged j ON j.basin_id = l.basin_id AND j.period = l.period AND j.is_complete), n AS (SELECT basin_id, count(*) AS overlap FROM daily GROUP BY 1), a AS (SELECT basin_id, avg(q) / avg(p) AS rr, avg(q) AS tq, avg(p) AS tp, count(DISTINCT period) AS y FROM used GROUP BY 1),
+    ye AS (SELECT basin_id, period, avg(q) AS mq, avg(p) AS mp FROM used GROUP BY 1, 2), el AS (SELECT ye.basin_id, count(*) AS k, median(((mq - tq) / tq) / ((mp - tp) / tp)) AS e FROM ye JOIN a ON a.basin_id = ye.basin_id GROUP BY 1),
+    w AS (SELECT n.basin_id, coalesce(y, 0) AS y, rr, CASE WHEN y IS NULL THEN 'no_complete_water_year' WHEN rr IS NULL THEN 'not_finite' WHEN NOT rr BETWEEN 1e-3 AND 3 THEN 'outside_range' END AS why, e, k FROM n LEFT JOIN a ON a.basin_id = n.basin_id LEFT JOIN el ON el.basin_id = n.basin_id)
+    SELECT b.basin_id, CASE WHEN why IS NULL THEN round(rr, 6) END AS runoff_ratio, y AS water_balance_years, CASE WHEN why IS NULL AND rr IS NOT NULL AND k >= 3 THEN round(e, 4) END AS stream_elas, coalesce('precipitation_' || gate, why, CASE WHEN rr IS NULL THEN 'overlap' END) AS water_balance_reason FROM (SELECT DISTINCT basin_id FROM flow) b CROSS JOIN gate LEFT JOIN w ON w.basin_id = b.basin_id"""
+    base = f"WITH RECURSIVE {_FILTER.replace(_DAILY_REGIONS, scaled)} SELECT basin_id, round(greatest(0, least(1, sum(greatest(0, least(b, q))) / sum(q))), 6) AS baseflow_index FROM base GROUP BY 1"
+    hfd = f"SELECT basin_id, CASE WHEN count(*) >= 2 THEN round(avg(hfd), 6) END AS hfd_mean, CASE WHEN count(*) >= 2 THEN round(stddev_pop(hfd), 6) END AS half_flow_date_std FROM ({part('half_flow_date').replace('n >= 150', 'n >= 300')}) GROUP BY 1"
+    extent = f"WITH {DAILY} SELECT basin_id, min(d) AS first_day, max(d) AS last_day FROM daily GROUP BY 1"
+    joined = " ".join(f"LEFT JOIN ({x}) s{i} ON s{i}.basin_id = x.basin_id" for i, x in enumerate((part("flow_stats"), part("event_runs"), hfd, part("fdc_slopes"), base, water)))
+    return f"SELECT x.*, s0.* EXCLUDE (basin_id), s1.* EXCLUDE (basin_id), s2.* EXCLUDE (basin_id), s3.* EXCLUDE (basin_id), s4.* EXCLUDE (basin_id), n_days BETWEEN 31 AND 364 AS baseflow_warmup_biased, s5.* EXCLUDE (basin_id) FROM ({extent}) x {joined}"
+
+
+SQL["signatures_all"] = _signatures_sql("1", "1", 0.95)
+
+
+@query(_signatures_sql("1e-6", "1e-4", SHARE))
+def signatures_of_plausible_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All signatures where the gate lets the rain pass; years count from half of their days, as the stand-in series has gaps."""
+    q = daily_flow(spark, sf_dir).withColumn("q", F.col("q") * 1e-6)
+    p = precipitation(spark, sf_dir).withColumn("p", F.col("p") * 1e-4)
+    return rounded_signatures(signatures.extract(q, p, "mm/day", min_fraction=SHARE))

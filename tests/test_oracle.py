@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tarnflow.plans import hydro
+from tarnflow.plans import more
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +27,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(hydro.SQL))
+@pytest.mark.parametrize("name", sorted(more.SQL))
 def test_query(spark, duck, name):
     got = entry.queries()[name](spark, SF)
     r = duck.execute(entry.oracle_sql()[name])
