@@ -46,6 +46,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two or three numbers that are broadcast; longer tables are shuffled.
+SMALL_ROWS = 500_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row: broadcast up to a limit, so that wide tables need no shuffle to meet it."""
+    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows
+
+
 def batches_of(spark: SparkSession, rows: int = 4000) -> None:
     """Bound the Arrow batches that the JVM hands to Python workers by rows and bytes; workers get this package."""
     ship(spark)
@@ -77,5 +86,13 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield b.slice(start, at - start)
 
 
+def unused(names: list[str]) -> str:
+    """A column name that none of ``names`` equals, in any case."""
+    name = "c"
+    while name in map(str.lower, names):
+        name += "c"
+    return name
+
+
 def record_batch(names: list[str], arrays: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)

@@ -11,9 +11,13 @@ from tarnflow.llm import _base
 
 
 def release(df: DataFrame) -> None:
-    """Let Spark delete shuffle files of stages whose results are written already: it does so when their handles are collected."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark delete shuffle files of stages whose results are written already: it does so when their handles are collected.
+
+    The first collection on either side frees what holds the handles, the second the handles.
+    """
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def roots(parents: DataFrame) -> DataFrame:

@@ -49,9 +49,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents."""
     from tarnflow.llm import substring_dedup
 
-    return substring_dedup.passages(_base.documents(spark, sf_dir))
+    return substring_dedup.passages(_base.documents(spark, sf_dir), within=False)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators also use for themselves.
-CLASHING = "doc_id long, text string, lang string, source string, n_chars long, n_tokens long, key string, sid string, n long, salt int, component_id string"
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, n_tokens long, key string, sid string, n long, salt int, component_id string, id string, `__id` string, row string, spans string, c string, bucket int"
 
 
 def texts():
@@ -31,7 +31,7 @@ def texts():
 def rows(extra=False):
     out = [(k, t, None if k % 9 == 0 else ("en", "fr")[k % 2], f"s{k % 3}", None) for k, t in enumerate(texts())]
     out += [(None, "a text without an id", "en", None, 1), (3, texts()[3], "fr", "s0", None)]
-    return [r + (1, "k", "s", 2, 3, "c") for r in out] if extra else out
+    return [r + (1, "k", "s", 2, 3, "c", "i", "j", "r", "p", "c", 4) for r in out] if extra else out
 
 
 def table(spark, extra=False):

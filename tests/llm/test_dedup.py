@@ -30,7 +30,7 @@ def test_shared_chunks_are_stored_once(spark):
     rng = random.Random(1)
     common = "".join(rng.choice("abcdefgh \n") for _ in range(30_000))
     docs = spark.createDataFrame([(k, "".join(rng.choice("xyz ") for _ in range(3000 + k)) + common) for k in range(6)], "doc_id long, text string")
-    keyed = docs.selectExpr("doc_id", "xxhash64(text) AS key", "text")
+    keyed = docs.selectExpr("doc_id", "unhex(md5(text)) AS key", "text")
     rows_ = media_chunks._manifests(keyed)
     store = media_chunks._store(keyed, media_chunks._roles(rows_)).collect()
     chunks = [r for r in store if r.key is None]
@@ -38,6 +38,30 @@ def test_shared_chunks_are_stored_once(spark):
     assert sum(len(r.bytes) for r in store) < 6 * 3100 + 2 * 30_000 + 6 * 4096
 
 
+def test_media_digests_are_of_the_stored_bytes(spark):
+    """Put together from the store's rows by plain code."""
+    import random
+
+    rng = random.Random(3)
+    common = "".join(rng.choice("abcdefgh \n") for _ in range(30_000))
+    data = [(r[0], r[1] or "") for r in rows()] + [(900 + k, "".join(rng.choice("xyz ") for _ in range(3000)) + common) for k in range(3)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    keyed = docs.selectExpr("coalesce(doc_id, 0) AS doc_id", "unhex(md5(text)) AS key", "text")
+    store = media_chunks._store(keyed, media_chunks._roles(media_chunks._manifests(keyed))).collect()
+    chunks = {bytes(r.name): bytes(r.bytes) for r in store if r.key is None}
+    want = set()
+    for r in store:
+        if r.key is not None:
+            n, names, lengths = media_chunks.parsed(bytes(r.head))
+            kept, parts = bytes(r.bytes), [bytes(r.head)]
+            for i, (name, size) in enumerate(zip(names, lengths)):
+                part, kept = (chunks[name], kept) if i in r.shared else (kept[:size], kept[size:])
+                parts.append(part)
+            assert not kept and len(b"".join(parts[1:])) % 64 == 0
+            want.add((hashlib.sha256(b"".join(parts[1:])).hexdigest(), hashlib.sha256(b"".join(parts)).hexdigest(), len(b"".join(parts))))
+    assert chunks and want == {(r.payload_sha256, r.media_sha256, r.media_bytes) for r in media_chunks.media(docs).collect()}
+
+
 def test_damaged_chunks_are_noticed():
     with pytest.raises(ValueError, match="damaged"):
         media_chunks.reconstruct([media_chunks.digest(b"abc")], [3], b"abd", {})
@@ -140,16 +164,17 @@ def test_substring_dedup(spark):
     for i, w in words.items():
         for a in range(len(w) - 49):
             runs[tuple(w[a : a + 50])].add(i)
-    flagged = {r.doc_id for r in found}
+    flagged = {r.doc_id for r in found if r.doc_id != r.ref_doc_id}
     for together in runs.values():
         assert len(together - flagged) <= 1
     for r in found:
-        assert r.end_word - r.start_word >= 50 and r.n_matched >= 0.8 * r.n_words and r.doc_id != r.ref_doc_id
+        assert r.end_word - r.start_word >= 50 and r.n_matched >= 0.8 * r.n_words
+        assert r.doc_id != r.ref_doc_id or r.ref_start_word + 50 <= r.start_word
         assert set(words[r.doc_id][r.start_word : r.end_word]) & set(words[r.ref_doc_id][r.ref_start_word : r.ref_end_word])
     cleaned = {r.doc_id: r.text for r in substring_dedup.cleaned(table(spark, True)).collect()}
     assert substring_dedup.cleaned(table(spark, True)).columns == table(spark, True).columns
     for i, t in ((r[0], r[1]) for r in rows()):
-        if i not in flagged and t:
+        if i not in {r.doc_id for r in found} and t:
             assert cleaned[i] == t
     left = defaultdict(set)
     for i, t in cleaned.items():
@@ -284,5 +309,64 @@ def test_jaccard_counts_all_links(spark):
     data += [(1000 + k, " ".join([*w[200:260], f"y{k}"])) for k in range(300)]
     sets = {i: {tuple(t[a : a + 4]) for a in range(len(t) - 3)} or ({tuple(t)} if t else set()) for i, t in ((i, (x or "").split()) for i, x in data)}
     want = {a: sum(a != b and bool(x & y) and 100 * len(x & y) >= 85 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
-    got = {r.doc_id: r.n_links for r in jaccard_join.join(spark.createDataFrame(data, "doc_id long, text string"), 4, 85).collect()}
+    got = {r.doc_id: r.n_links for r in jaccard_join.join(spark.createDataFrame(data, "doc_id long, text string"), 4, 85, count_links=True).collect()}
     assert got == want and want[0] == 5 and want[1000] == 299
+
+
+def test_repeat_inside_one_text(spark):
+    """Its second copy refers to the first; a text of one repeated line keeps one run of it; runs that overlap don't count."""
+    new = fresh(12)
+    passage, line = new(60), new(7)
+    data = [(1, new(30) + passage + new(45) + passage + new(10)), (2, line * 40), (3, new(300)), (4, (new(1) * 60) + new(50))]
+    found = substring_dedup.passages(spark.createDataFrame([(k, " ".join(w)) for k, w in data], "doc_id long, text string")).collect()
+    assert all(r.doc_id == r.ref_doc_id for r in found)
+    assert covered(found, 1) == set(range(135, 195))
+    assert {r.ref_start_word for r in found if r.doc_id == 1} == {30}
+    assert set(range(56, 280)) <= covered(found, 2) and not covered(found, 3) and not covered(found, 4)
+
+
+def test_passage_whose_halves_others_hold(spark):
+    """Thirty groups: A and B share 60 words, C has the first half of them and D the second."""
+    new = fresh(31)
+    data = []
+    for g in range(30):
+        p = new(60)
+        data += [(10 * g, new(40) + p + new(40)), (10 * g + 1, new(25) + p + new(60)), (10 * g + 2, new(50) + p[:30] + new(50)), (10 * g + 3, new(50) + p[30:] + new(50))]
+    found = substring_dedup.passages(spark.createDataFrame([(k, " ".join(w)) for k, w in data], "doc_id long, text string")).collect()
+    assert {r.doc_id // 10 for r in found} == set(range(30)) and {r.doc_id % 10 for r in found} <= {0, 1}
+
+
+def test_passage_of_very_many_texts(spark):
+    """A group larger than what a task keeps apart: all but one have the passage flagged, whole."""
+    new = fresh(77)
+    p = new(55)
+    data = [(k, " ".join(new(10 + k % 7) + p + new(30))) for k in range(400)]
+    found = substring_dedup.passages(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    whole = [k for k in range(400) if set(range(10 + k % 7, 65 + k % 7)) <= covered(found, k)]
+    assert len(whole) == 399 and len({r.doc_id for r in found}) == 399
+
+
+def test_seeds_are_chosen_alike():
+    """Two texts that agree on K + W - 1 words share a seed there; at most W seeds apart, in words of few kinds too."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for kinds in (1, 2, 3, 10**6):
+        for _ in range(50):
+            common = rng.integers(0, kinds, substring_dedup.K + substring_dedup.W - 1)
+            texts = [np.concatenate([rng.integers(0, 10**6, rng.integers(0, 40)), common, rng.integers(0, 10**6, rng.integers(0, 40))]).astype(np.uint32) for _ in range(2)]
+            at = [next(i for i in range(len(t)) if (t[i : i + len(common)] == common).all()) for t in texts]
+            h, text, pos = substring_dedup.seeds(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+            inner = [{(x, p - at[k]) for x, j, p in zip(h.tolist(), text.tolist(), pos.tolist()) if j == k and at[k] <= p < at[k] + substring_dedup.W} for k in (0, 1)]
+            assert inner[0] & inner[1]
+
+
+def test_covering():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(200):
+        rows_ = [(a, a + rng.randint(50, 90)) for a in (rng.randint(0, 400) for _ in range(rng.randint(0, 30)))]
+        some = substring_dedup.covering(rows_)
+        union = lambda rs: {k for a, z in rs for k in range(a, z)}
+        assert union(some) == union(rows_) and set(some) <= set(rows_) and sum(z - a for a, z in some) <= 2 * len(union(rows_)) + 1
