@@ -3,30 +3,29 @@
 For each language, a variable-order byte context tree: contexts of 0 to 3 bytes with counts of what follows, and
 escape probabilities (method C, no exclusions): in a context seen ``n`` times with ``d`` different followers, a follower
 seen ``c`` times costs ``-log2(c / (n + d))`` bits, another one ``-log2(d / (n + d))`` bits and its cost in the next
-shorter context; after the empty context all 256 bytes cost the same.  A context that a language never saw costs
-nothing to leave.  Statistics are frozen after training, so the cost of a byte depends on the byte and the deepest
-context of the tree that ends before it.  All costs are tabulated in 1/1024 bit, and a text's code length under every
-language is one exact integer sum over its bytes.
-
-Training counts on the executors and uses at most ``sample_docs`` documents of each language (those with the smallest
-hash of the id), the ``max_grams`` most frequent contexts with followers and ``max_contexts`` contexts of three bytes:
-the tables have a fixed size bound, whatever the input, and are broadcast.  Scoring reads every whole text, without a
-shuffle.
-
-Null text, or text without a letter: ``und`` with score 0.  Null ids: not held out, not learned from.  Rows without a
-language are not learned from; with nothing to learn from, all rows are ``und``.  Repeated rows give repeated rows.
-Ties go to the language first in order.  Only the named columns are read.
+shorter context; after the empty context an unseen byte costs 8 bits more.  A context that a language never saw costs
+nothing to leave.  Statistics are frozen after training.  Each of these costs is rounded to 1/1024 bit once, so a text's
+code length under every language is one exact integer sum over its bytes.
+
+Training counts on the executors and learns from at most ``sample_docs`` documents of each language, those with the
+smallest hash of the id; everything these hold is kept, as sorted tables of what occurs, which are broadcast.  Their size
+is bounded by the sample, not by the corpus.  A language that most rows have is thinned by hash before it is sorted.
+Scoring reads every whole text, without a shuffle, and looks each different run of four bytes of a batch up once.
+
+Null text, or text without a letter (Unicode class L): ``und`` with score 0.  Null ids: not held out, not learned from.
+Rows without a language are not learned from; with nothing to learn from, all rows are ``und``.  Repeated rows give
+repeated rows.  Ties go to the language first in order.  Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,87 +34,99 @@ from tarnflow.llm import _base
 UNDETERMINED = "und"
 UNIT = 1024  #: parts of a bit
 PAD = b"\n\n\n"  #: what comes before a text
-_letter = re.compile(r"[^\W\d_]").search
+_letter = regex.compile(r"\p{L}").search
 
 
 @dataclass(frozen=True)
 class Training:
     sample_docs: int = 2000  #: labelled documents of each language
-    max_grams: int = 400_000  #: rows (language, three bytes, follower)
-    max_contexts: int = 12_000  #: contexts of three bytes in the tree
+
+
+@dataclass
+class Level:
+    """Contexts of one length: costs of their followers and of leaving them, by language."""
+
+    keys: np.ndarray  #: context and follower, as one number, sorted
+    costs: np.ndarray  #: 1/1024 bit
+    contexts: np.ndarray
+    escapes: np.ndarray
+
+    def cost(self, keys: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Of any followers, given their costs in the next shorter contexts."""
+        known, at = _found(self.contexts, keys >> 8)
+        out = shorter + np.where(known[:, None], self.escapes[at], 0)
+        known, at = _found(self.keys, keys)
+        out[known] = self.costs[at[known]]
+        return out
+
+
+def _found(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return table[at] == x, at
 
 
 @dataclass
 class Model:
     languages: list[str]
-    classes: np.ndarray  #: symbol of each byte; the last symbol stands for all bytes never seen
-    n_symbols: int
-    node: np.ndarray  #: deepest context for the last three symbols
-    costs: np.ndarray  #: (context, symbol, language), 1/1024 bit
+    levels: list[Level]  #: from the empty context to that of three bytes
+
+    def cost(self, grams: np.ndarray) -> np.ndarray:
+        """``(gram, language)``: cost of the last byte of each run of four after the others."""
+        out = np.full((len(grams), len(self.languages)), 8 * UNIT, np.int32)
+        for order, level in enumerate(self.levels):
+            out = level.cost(grams & ((1 << 8 * (order + 1)) - 1), out)
+        return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text under each language."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + len(PAD)
-        raw = np.frombuffer(PAD + PAD.join(texts), np.uint8)
-        s = self.classes[raw]
-        m = self.n_symbols
+        grams, inner = runs(texts, lengths)
+        different, at = np.unique(grams[inner], return_inverse=True)
+        each = np.zeros((len(grams) + 1, len(self.languages)), np.int32)
+        each[:-1][inner] = self.cost(different.astype(np.int64))[at]
         ends = np.cumsum(lengths)
-        each = np.zeros((len(raw) + 1, len(self.languages)), np.int32)
-        before = (s[:-3] * m + s[1:-2]) * m + s[2:-1]
-        each[3:-1] = self.costs[self.node[before] * m + s[3:]]
-        edges = np.stack([ends - lengths + len(PAD), ends], axis=1).ravel()
-        out = np.add.reduceat(each, edges, axis=0, dtype=np.int64)[::2]
+        out = np.add.reduceat(each, np.stack([ends - lengths + len(PAD), ends], axis=1).ravel(), axis=0, dtype=np.int64)[::2]
         out[lengths == len(PAD)] = 0
         return out
 
 
-def _probabilities(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """(context, symbol, language) from counts and the probabilities of the next shorter contexts."""
-    n, d = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-    total = np.maximum(n + d, 1).astype(np.float32)
-    escape = np.where(n > 0, d.astype(np.float32) / total, np.float32(1))
-    return np.where(counts > 0, counts / total, escape * shorter)
+def runs(texts: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of the padded texts, itself and the three before it as one number; and whether it is a text's own."""
+    raw = np.frombuffer(PAD + PAD.join(texts), np.uint8).astype(np.uint32)
+    grams = np.zeros(len(raw), np.uint32)
+    grams[3:] = (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
+    inner = np.ones(len(raw) + len(PAD), bool)
+    starts = np.cumsum(lengths) - lengths
+    for k in range(len(PAD)):
+        inner[starts + k] = False
+    return grams, inner[: len(raw)]
+
 
+def _bits(share: np.ndarray) -> np.ndarray:
+    return np.rint(-np.log2(share) * UNIT).astype(np.int32)
 
-def build(grams: pd.DataFrame, max_contexts: int) -> Model | None:
+
+def build(grams: pd.DataFrame) -> Model | None:
     """The model from rows ``lang, gram, n``; a gram is three bytes and their follower, as a number."""
     if not len(grams):
         return None
-    languages = sorted(grams["lang"].unique())
-    g = grams["gram"].to_numpy(np.int64)
-    seen = np.unique(np.concatenate([g >> 24 & 255, g >> 16 & 255, g >> 8 & 255, g & 255, [10]]))
-    m = len(seen) + 1
-    classes = np.full(256, m - 1, np.int64)
-    classes[seen] = np.arange(m - 1)
-    a, b, c, x = (classes[g >> k & 255] for k in (24, 16, 8, 0))
-    lang = np.searchsorted(languages, grams["lang"].to_numpy(str))
-    n, k = grams["n"].to_numpy(np.float32), len(languages)
-
-    def counted(context: np.ndarray, size: int) -> np.ndarray:
-        out = np.zeros((size, m, k), np.float32)
-        np.add.at(out, (context, x, lang), n)
-        return out
-
-    flat = np.full((1, m, k), 1 / 256, np.float32)
-    zero = _probabilities(counted(np.zeros_like(x), 1), flat)
-    one = _probabilities(counted(c, m), zero)
-    two_keys, two_at = np.unique(b * m + c, return_inverse=True)
-    two = _probabilities(counted(two_at, len(two_keys)), one[two_keys % m])
-    key3 = (a * m + b) * m + c
-    all3, inv3 = np.unique(key3, return_inverse=True)
-    weight = np.bincount(inv3, n)
-    top = np.sort(all3[np.argsort(-weight, kind="stable")[:max_contexts]])
-    inside = np.isin(key3, top)
-    g3 = np.zeros((len(top), m, k), np.float32)
-    np.add.at(g3, (np.searchsorted(top, key3[inside]), x[inside], lang[inside]), n[inside])
-    three = _probabilities(g3, two[np.searchsorted(two_keys, top % (m * m))])
-    costs = np.concatenate([one, two, three])
-    costs = np.minimum(np.rint(-np.log2(costs) * UNIT), 32_000).astype(np.int16)
-    two_nodes = np.tile(np.arange(m), m)
-    two_nodes[two_keys] = m + np.arange(len(two_keys))
-    node = np.tile(two_nodes, m)
-    node[top] = m + len(two_keys) + np.arange(len(top))
-    return Model(languages, classes, m, node.astype(np.int64), costs.reshape(-1, k))
+    names, lang = np.unique(grams["lang"].to_numpy(str), return_inverse=True)
+    g, n = grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64)
+    model = Model(names.tolist(), [])
+    for order in range(4):
+        keys, at = np.unique(g & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        seen = np.zeros((len(keys), len(names)))
+        np.add.at(seen, (at, lang), n)
+        contexts, inside = np.unique(keys >> 8, return_inverse=True)
+        total, different = np.zeros((2, len(contexts), len(names)))
+        np.add.at(total, inside, seen)
+        np.add.at(different, inside, seen > 0)
+        shares = np.maximum(total + different, 1)
+        escapes = np.where(total > 0, _bits(np.maximum(different, 1) / shares), 0)
+        shorter = model.cost(keys) if order else np.full(seen.shape, 8 * UNIT, np.int32)
+        costs = np.where(seen > 0, _bits(np.where(seen > 0, seen, 1) / shares[inside]), escapes[inside] + shorter)
+        model.levels.append(Level(keys, costs.astype(np.int32), contexts, escapes.astype(np.int32)))
+    return model
 
 
 def held_out() -> F.Column:
@@ -127,27 +138,25 @@ def train(docs: DataFrame, training: Training = Training(), id_col: str = "doc_i
     """The frozen model of the labelled rows of ``docs`` outside the held-out fold."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= training.sample_docs).select("doc_id", "lang").distinct()
+    # a share of each language that holds the sample almost surely, so that no language is sorted as a whole
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    thin = rows.select("doc_id", "lang").join(sizes, "lang").where(part * F.col("size") <= 2 * training.sample_docs + 100)
+    order = Window.partitionBy("lang").orderBy(part, "doc_id")
+    chosen = thin.withColumn("r", F.row_number().over(order)).where(F.col("r") <= training.sample_docs).select("doc_id", "lang").distinct()
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _base.sliced(batches, limit=4 << 20):
-            frame = b.to_pandas()
-            for lang, texts in frame.groupby("lang")["text"]:
-                raw = np.frombuffer(PAD + PAD.join(t.encode() for t in texts), np.uint8).astype(np.int64)
-                grams = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-                lengths = np.array([len(t.encode()) for t in texts]) + len(PAD)
-                inner = np.ones(len(raw) + 3, bool)
-                ends = np.cumsum(lengths)
-                for k in range(3):  # the padding itself is not learned
-                    inner[ends + k] = False
-                found, n = np.unique(grams[inner[3 : len(raw)]], return_counts=True)
-                yield _base.record_batch(["lang", "gram", "n"], [pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n)])
+            for lang, frame in b.to_pandas().groupby("lang"):
+                texts = [t.encode() for t in frame["text"]]
+                grams, inner = runs(texts, np.fromiter(map(len, texts), np.int64, len(texts)) + len(PAD))
+                found, n = np.unique(grams[inner], return_counts=True)
+                yield _base.record_batch(["lang", "gram", "n"], [pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))])
 
     _base.batches_of(docs.sparkSession)
     grams = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return build(grams.orderBy(F.desc("n"), "lang", "gram").limit(training.max_grams).toPandas(), training.max_contexts)
+    return build(grams.toPandas())
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

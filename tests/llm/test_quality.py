@@ -71,32 +71,63 @@ def test_verdict_on_a_repeated_half(spark):
     assert got[2].kept and got[2].covered_words == 0
 
 
+def ppm_by_definition(training, text):
+    """Code length in 1/1024 bit with counts in plain dictionaries, one byte at a time."""
+    import math
+    from collections import Counter
+
+    seen = [Counter() for _ in range(4)]
+    for t in training:
+        raw = langid.PAD + t.encode()
+        for i in range(3, len(raw)):
+            for k in range(4):
+                seen[k][raw[i - k : i], raw[i]] += 1
+    followers = [Counter() for _ in range(4)]
+    totals = [Counter() for _ in range(4)]
+    for k in range(4):
+        for (context, _), n in seen[k].items():
+            followers[k][context] += 1
+            totals[k][context] += n
+    bits = lambda share: int(np.rint(-math.log2(share) * langid.UNIT))
+    raw, out = langid.PAD + text.encode(), 0
+    for i in range(3, len(raw)):
+        for k in (3, 2, 1, 0):
+            context = raw[i - k : i]
+            n, d, c = totals[k][context], followers[k][context], seen[k][context, raw[i]]
+            if c:
+                out += bits(c / (n + d))
+                break
+            out += bits(d / (n + d)) if n else 0
+        else:
+            out += 8 * langid.UNIT
+    return out
+
+
 def test_code_lengths_against_definition(spark):
     model = langid.train(table(spark))
     assert model.languages == ["en", "fr"]
-
-    def bits(text):
-        raw, out = langid.PAD + text.encode(), np.zeros(2, np.int64)
-        for i in range(3, len(raw)):
-            a, b, c, x = (int(model.classes[v]) for v in raw[i - 3 : i + 1])
-            out += model.costs[model.node[(a * model.n_symbols + b) * model.n_symbols + c] * model.n_symbols + x]
-        return out.tolist()
-
-    texts = ["hello", "", "é Ñ", "日本", "abc def " * 9]
-    assert model.score([t.encode() for t in texts]).tolist() == [bits(t) for t in texts]
+    learned = {r.doc_id for r in table(spark).where(~langid.held_out()).collect()} - {None}
+    of = {x: [t for i, t, lang, *_ in rows() if lang == x and t is not None and i in learned] for x in model.languages}
+    texts = ["hello", "", "é Ñ", "日本", "abc def " * 9, rows()[3][1], rows()[40][1] or "", "\n\n\nab"]
+    assert model.score([t.encode() for t in texts]).tolist() == [[ppm_by_definition(of[x], t) for x in model.languages] for t in texts]
 
 
 def test_costs_follow_the_escape_rule():
-    """A tiny history, worked out by hand: after 'ab' always 'c'."""
+    """A tiny history, worked out by hand: after 'zab' three times 'c', once 'd'."""
     import pandas as pd
 
     gram = lambda s: int.from_bytes(s.encode(), "big")
-    model = langid.build(pd.DataFrame({"lang": ["x"] * 2, "gram": [gram("zabc"), gram("zabd")], "n": [3, 1]}), 10)
-    node = lambda s: model.node[(model.classes[ord(s[0])] * model.n_symbols + model.classes[ord(s[1])]) * model.n_symbols + model.classes[ord(s[2])]]
-    cost = lambda s: model.costs[node(s) * model.n_symbols + model.classes[ord(s[3])]][0] / langid.UNIT
+    model = langid.build(pd.DataFrame({"lang": ["x"] * 2, "gram": [gram("zabc"), gram("zabd")], "n": [3, 1]}))
+    cost = lambda s: model.cost(np.array([gram(s)]))[0, 0] / langid.UNIT
     assert cost("zabc") == pytest.approx(-np.log2(3 / 6), abs=1e-3)
-    escape = 2 / 6
-    assert cost("zabq") == pytest.approx(-np.log2(escape**4 / 256), abs=1e-2)
+    assert cost("zabq") == pytest.approx(-4 * np.log2(2 / 6) + 8, abs=1e-2)
+    assert cost("yabc") == pytest.approx(-np.log2(3 / 6), abs=1e-3)
+
+
+def test_signs_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² Ⅷ 12 _"), (2, "ªa"), (3, "語")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.train(table(spark))).collect()}
+    assert got[1] == "und" and "und" not in (got[2], got[3])
 
 
 def test_prediction(spark):
