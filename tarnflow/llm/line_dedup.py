@@ -54,8 +54,7 @@ def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", report: bool = True) -> DataFrame:
     """``docs`` with the kept text in ``text_col``; with ``report`` also ``n_lines`` and ``n_dropped``."""
     _base.batches_of(docs.sparkSession)
-    own = docs.select(*(F.col(c) for c in docs.columns))
-    plain = own.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = _base.materialize(_keys(plain, min_chars), "lines")
     shared = keys.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("holder")).where(F.col("n") >= min_docs)
     salted = shared.select("key", "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -63,11 +62,12 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
         .join(salted, ["key", "salt"])
         .where("id <> holder")
-        .groupBy(F.col("id").alias("__drop_id"))
-        .agg(F.collect_set("key").alias("__drop"))
+        .groupBy("id")
+        .agg(F.collect_set("key").alias("drop"))
     )
-    joined = own.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(drops, F.col("__id") == F.col("__drop_id"), "left").drop("__id", "__drop_id")
     names = docs.columns
+    own = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"))
+    joined = own.join(drops, "id", "left").select("row.*", F.col("drop").alias(_base.unused(names)))
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields] + [T.StructField(n, T.LongType()) for n in ("n_lines", "n_dropped") if report])
     at = names.index(text_col)
 
