@@ -3,11 +3,12 @@
 A payload is the text as UTF-8 with zero bytes up to a multiple of 64.  A rolling gear hash over the last 32 bytes cuts
 it, so the same content is cut alike wherever it stands.  Chunks are named by digest.  Spark joins find the digests that
 more than one text uses; their chunks go to chunk rows, each written by one owner, all others stay in the row of their
-text.  Equal texts are one payload.  The stored form of a payload, its media, is the ordered list of its chunks
-(digests and lengths) followed by their bytes.
+text.  Equal texts, by 128-bit digest, are one payload.  The stored form of a payload, its media, is the head that its row
+holds (an ordered list of digests and lengths, in bytes) and the bytes of those chunks, wherever they are stored.
 
-Reading back puts the payload together from its row and the chunk rows it names, checks every chunk against its digest,
-and computes digests and features from what was read.  Only texts that share chunks are shuffled for it.
+Reading back parses the stored head, puts the payload together from its row and the chunk rows that the head names, checks
+every chunk against its digest, and computes digests and features from what was read.  Only texts that share chunks are
+shuffled for it; a chunk that very many texts share is joined to narrow rows, whose large partitions Spark splits.
 
 What each row must do is a table of ids, far smaller than the texts; it is broadcast while it is below
 ``BROADCAST_ROWS`` rows and shuffled with the texts beyond.
@@ -35,7 +36,7 @@ from tarnflow.llm.line_dedup import NO_ID
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 16_384, 11
 WINDOW = 32  #: bytes that the rolling hash looks at; less than the shortest chunk
 ALIGN = 64
-BROADCAST_ROWS = 400_000  #: rows of about 60 bytes
+BROADCAST_ROWS = 300_000  #: rows of about 80 bytes
 #: One random number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(20_240_229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -82,6 +83,15 @@ def chunk_list(n_bytes: int, names: list[bytes], lengths: list[int]) -> bytes:
     return b"CDC1" + struct.pack("<QI", n_bytes, len(names)) + b"".join(d + struct.pack("<I", n) for d, n in zip(names, lengths))
 
 
+def parsed(head: bytes) -> tuple[int, list[bytes], list[int]]:
+    """Bytes of the text, names and lengths of its chunks."""
+    if head[:4] != b"CDC1":
+        raise ValueError("not a chunk list")
+    n_bytes, k = struct.unpack_from("<QI", head, 4)
+    entries = [struct.unpack_from("<16sI", head, 16 + 20 * i) for i in range(k)]
+    return n_bytes, [d for d, _ in entries], [n for _, n in entries]
+
+
 def feature(samples: np.ndarray) -> str:
     """Sum, energy, crossings of the middle and largest step of the 8-bit samples."""
     x = samples.astype(np.int64)
@@ -93,7 +103,7 @@ def _manifests(keyed: DataFrame) -> DataFrame:
     """``(doc_id, key, n_bytes, names)``; within a task only the first row of a text has the names of its chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for b in _base.sliced(batches, limit=8 << 20):
             texts, names = b.column("text").cast(pa.binary()).to_pylist(), [None] * b.num_rows
             new = []
@@ -101,11 +111,13 @@ def _manifests(keyed: DataFrame) -> DataFrame:
                 if key not in seen:
                     seen.add(key)
                     new.append(i)
+            if len(seen) > 200_000:
+                seen.clear()
             for i, chunks in zip(new, chunked([padded(texts[i]) for i in new])):
                 names[i] = [digest(c) for c in chunks]
             yield _base.record_batch(["doc_id", "key", "n_bytes", "names"], [b.column("doc_id"), b.column("key"), pa.array(map(len, texts), pa.int64()), pa.array(names, pa.list_(pa.binary()))])
 
-    return keyed.mapInArrow(run, "doc_id long, key long, n_bytes long, names array<binary>")
+    return keyed.mapInArrow(run, "doc_id long, key binary, n_bytes long, names array<binary>")
 
 
 def _roles(rows: DataFrame) -> DataFrame:
@@ -126,7 +138,7 @@ def _store(keyed: DataFrame, roles: DataFrame) -> DataFrame:
     """Rows of texts (key, chunk names and lengths, shared positions, the bytes of all other chunks) and of shared chunks."""
     side = F.broadcast(roles) if roles.count() <= BROADCAST_ROWS else roles
     joined = keyed.join(side, (F.col("doc_id") == F.col("role_id")) & (F.col("key") == F.col("role_key")), "left").select("key", "text", "writes", "shared")
-    names = ["key", "name", "n_bytes", "names", "lengths", "shared", "bytes"]
+    names = ["key", "name", "head", "shared", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _base.sliced(batches, limit=8 << 20):
@@ -136,16 +148,16 @@ def _store(keyed: DataFrame, roles: DataFrame) -> DataFrame:
             for key, text, chunks, shared in zip(b.column("key").to_pylist(), texts, chunked(list(map(padded, texts))), b.column("shared").to_pylist()):
                 at = {c["pos"]: c["mine"] for c in shared or ()}
                 own = [digest(c) for c in chunks]
-                out += [(None, own[i], None, None, None, None, chunks[i]) for i, mine in at.items() if mine]
-                out.append((key, None, len(text), own, list(map(len, chunks)), sorted(at), b"".join(c for i, c in enumerate(chunks) if i not in at)))
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+                out += [(None, own[i], None, None, chunks[i]) for i, mine in at.items() if mine]
+                out.append((key, None, chunk_list(len(text), own, list(map(len, chunks))), sorted(at), b"".join(c for i, c in enumerate(chunks) if i not in at)))
+            types = [pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary()]
             yield _base.record_batch(names, [pa.array([r[i] for r in out], t) for i, t in enumerate(types)])
 
-    return joined.mapInArrow(run, "key long, name binary, n_bytes long, names array<binary>, lengths array<int>, shared array<int>, bytes binary")
+    return joined.mapInArrow(run, "key binary, name binary, head binary, shared array<int>, bytes binary")
 
 
 _READ = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-_READ_SCHEMA = "key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_READ_SCHEMA = "key binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def reconstruct(names: list[bytes], lengths: list[int], kept: bytes, foreign: dict[int, bytes]) -> bytes:
@@ -161,14 +173,16 @@ def reconstruct(names: list[bytes], lengths: list[int], kept: bytes, foreign: di
     return b"".join(chunks)
 
 
-def _described(key: int, n_bytes: int, names: list[bytes], lengths: list[int], payload: bytes) -> tuple:
-    media = hashlib.sha256(head := chunk_list(n_bytes, names, lengths))
+def _described(key: bytes, head: bytes, kept: bytes, foreign: dict[int, bytes]) -> tuple:
+    n_bytes, names, lengths = parsed(head)
+    payload = reconstruct(names, lengths, kept, foreign)
+    media = hashlib.sha256(head)
     media.update(payload)
     return key, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(head) + len(payload), media.hexdigest(), feature(np.frombuffer(payload, np.uint8))
 
 
 def _as_batch(out: list[tuple]) -> pa.RecordBatch:
-    return _base.record_batch(_READ, [pa.array([r[i] for r in out], pa.string() if c in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for i, c in enumerate(_READ)])
+    return _base.record_batch(_READ, [pa.array([r[i] for r in out], pa.binary() if c == "key" else pa.string() if c in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for i, c in enumerate(_READ)])
 
 
 def read_back(store: DataFrame) -> DataFrame:
@@ -177,43 +191,44 @@ def read_back(store: DataFrame) -> DataFrame:
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _base.sliced(batches, "bytes"):
-            yield _as_batch([_described(k, n, names, lengths, reconstruct(names, lengths, kept, {})) for k, n, names, lengths, kept in zip(*(c.to_pylist() for c in b.columns))])
+            yield _as_batch([_described(k, head, kept, {}) for k, head, kept in zip(*(c.to_pylist() for c in b.columns))])
 
-    simple = texts.where("size(shared) = 0").select("key", "n_bytes", "names", "lengths", "bytes").mapInArrow(alone, _READ_SCHEMA)
+    simple = texts.where("size(shared) = 0").select("key", "head", "bytes").mapInArrow(alone, _READ_SCHEMA)
     sharing = texts.where("size(shared) > 0")
-    wanted = sharing.select("key", "names", F.explode("shared").alias("pos")).select("key", "pos", F.expr("names[pos]").alias("name"))
-    pieces = wanted.join(store.where("key IS NULL").select("name", "bytes"), "name").selectExpr("key", "pos", "0L AS n_bytes", "CAST(NULL AS array<binary>) AS names", "CAST(NULL AS array<int>) AS lengths", "bytes")
-    both = sharing.selectExpr("key", "-1 AS pos", "n_bytes", "names", "lengths", "bytes").union(pieces)
+    # an entry of the head has 16 bytes of digest and 4 of length, after 16 bytes
+    wanted = sharing.select("key", "head", F.explode("shared").alias("pos")).select("key", "pos", F.expr("substring(head, 17 + 20 * pos, 16)").alias("name"))
+    pieces = wanted.join(store.where("key IS NULL").select("name", "bytes"), "name").selectExpr("key", "pos", "CAST(NULL AS binary) AS head", "bytes")
+    both = sharing.selectExpr("key", "-1 AS pos", "head", "bytes").union(pieces)
     n_parts = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, foreign = None, {}
+        now, foreign = None, {}
         for b in batches:
             out = []
-            for key, pos, n_bytes, names, lengths, data in zip(*(c.to_pylist() for c in b.columns)):
+            for key, pos, head, data in zip(*(c.to_pylist() for c in b.columns)):
                 if pos >= 0:
                     foreign[pos] = data
-                elif head is None or key != head[0]:
-                    if head:
-                        out.append(_described(*head[:4], reconstruct(head[2], head[3], head[4], foreign)))
-                    head, foreign = (key, n_bytes, names, lengths, data), {}
+                elif now is None or key != now[0]:
+                    if now:
+                        out.append(_described(*now, foreign))
+                    now, foreign = (key, head, data), {}
             yield _as_batch(out)
-        if head:
-            yield _as_batch([_described(*head[:4], reconstruct(head[2], head[3], head[4], foreign))])
+        if now:
+            yield _as_batch([_described(*now, foreign)])
 
     joined = both.repartition(n_parts, "key").sortWithinPartitions("key", "pos").mapInArrow(assembled, _READ_SCHEMA)
-    return simple.union(joined).dropDuplicates(["key"])
+    return simple.union(joined)
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)`` of each row."""
     _base.batches_of(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
     rows = _base.materialize(_manifests(keyed), "manifests")
     roles = _base.materialize(_roles(rows), "roles")
     graph.release(rows)
     store = _base.materialize(_store(keyed, roles), "media")
     graph.release(rows)
-    found = read_back(store)
+    found = _base.materialize(read_back(store).dropDuplicates(["key"]), "described")
     return rows.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "key").join(found, "key").select("doc_id", *_READ[1:])
