@@ -12,14 +12,17 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent
 
 
-def session(app: str = "tarnflow", cores: int | str = "*", partitions: int | None = None) -> SparkSession:
-    """A local session with the settings that the operators expect: UTC, adaptive plans, Arrow."""
+def session(app: str = "tarnflow", cores: int | str = "*", partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """A local session with the settings that the operators expect: UTC, adaptive plans, Arrow, and a shared folder
+    ``spark.checkpoint.dir`` for tables between steps, by default a new one of this machine."""
+    shared = shared or f"file://{tempfile.mkdtemp(prefix='tarnflow-shared-')}"
     n = partitions or (os.cpu_count() or 8 if cores == "*" else int(cores))
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
