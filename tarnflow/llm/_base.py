@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +40,38 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tarnflow-{name}-{uuid.uuid4().hex}"
 
 
+#: Scratch tables that are there, oldest first.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder: a lost executor then costs a reread, not a recomputation."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    _written.append(path)
+    return out
+
+
+def mark() -> int:
+    """What ``discard`` takes to leave older tables alone."""
+    return len(_written)
+
+
+def discard(since: int, *keep: DataFrame) -> None:
+    """Delete the scratch tables written since a ``mark``, but for those of ``keep``; everything else must have been used.
+
+    Tables in a store that pyarrow cannot open stay there.
+    """
+    kept = {df._scratch_path for df in keep}
+    for path in [p for p in _written[since:] if p not in kept]:
+        _written.remove(path)
+        try:
+            files, at = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+        except pa.ArrowInvalid:
+            continue
+        files.delete_dir(at)
 
 
 #: Rows of two or three numbers that are broadcast; longer tables are shuffled.

@@ -10,8 +10,8 @@ Empty parts say nothing: a set with more of them than a band allows for is dealt
 possible partners, for which the same holds.
 
 Links.  In a tile, the set that is in most shared tiles is the pivot; each set is compared with the pivot it meets most
-often.  Where the classes found so far leave several in one tile, its sets are compared in blocks of ``BLOCK``, sorted
-by size, block against block as far as sizes allow; only pairs of different classes count.  Every comparison first
+often.  Where the classes found so far leave several in one tile, its sets are compared in blocks of about ``BLOCK`` by
+class and size, block against block as far as sizes allow; blocks of one class are not compared with each other.  Every comparison first
 bounds the overlap from above by bit counts of hashed bitmaps, then intersects the sorted arrays exactly.  No link
 between classes is lost, and pairs are never listed.
 
@@ -28,52 +28,35 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm import _base, graph
-from tarnflow.llm.repetition import words_of
+from tarnflow.llm.words import ODD, mix, word_hashes
 
 SEEDS = 4  #: hashes by which a set may be dealt
 GROWTH = 1.5  #: of band limits
 BLOCK = 256  #: sets compared with as many others at once
 COLUMNS = 4096  #: shingles that a count of overlaps takes at once
 SALTS = 8
-BROADCAST_ROWS = 500_000  #: rows of two numbers that are broadcast; more are shuffled
-FILTER_BITS = 1 << 25  #: of the filter that selects documents to read again: a fixed 4 MB, whatever the input
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(32))) * _ODD[0]
-    x = (x ^ (x >> np.uint64(29))) * _ODD[1]
-    return x ^ (x >> np.uint64(32))
+FILTER_BITS = 1 << 20, 1 << 27  #: least and most of the filter that selects documents to read again: 16 MB at most
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.flatten()
-    there = np.asarray(pc.not_equal(flat, "").to_numpy(zero_copy_only=False), bool)
-    starts = np.concatenate([[0], np.cumsum(there)])[offsets - offsets[0]]
-    coded = flat.filter(pa.array(there)).dictionary_encode()
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    w = hashed[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
+    w, starts = word_hashes(texts)
     out = []
     with np.errstate(over="ignore"):
         full = np.zeros(max(0, len(w) - k + 1), np.uint64)
         for i in range(k):
-            full += w[i : len(full) + i] * _ODD[i % 8] + np.uint64(i)
+            full += w[i : len(full) + i] * ODD[i % 8] + np.uint64(i)
         full = mix(full)
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
             if b - a >= k:
                 out.append(np.unique(full[a : b - k + 1]))
             elif b > a:
-                out.append(mix((w[a:b] * _ODD[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(1000 + b - a)))
+                out.append(mix((w[a:b] * ODD[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(1000 + b - a)))
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
@@ -120,13 +103,13 @@ def tiles(s: np.ndarray, percent: int) -> np.ndarray:
                 by = np.argsort(at, kind="stable")
                 at = at[by]
                 first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                base = _ODD[2] * np.uint64(b * SEEDS + seed)
-                out.append(mix(np.add.reduceat(s[by], first) * _ODD[3] + at[first] * _ODD[4] + base))
+                base = ODD[2] * np.uint64(b * SEEDS + seed)
+                out.append(mix(np.add.reduceat(s[by], first) * ODD[3] + at[first] * ODD[4] + base))
                 empty = p - len(first)
                 if empty <= spare:
                     break
                 if seed == SEEDS - 1:
-                    out.append(mix(np.setdiff1d(np.arange(p, dtype=np.uint64), at[first]) * _ODD[4] + base))
+                    out.append(mix(np.setdiff1d(np.arange(p, dtype=np.uint64), at[first]) * ODD[4] + base))
     return np.concatenate(out)
 
 
@@ -230,20 +213,22 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "tile long, sid long")
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bitmap that holds all ``doc_id`` given (and some others), built by Spark; its size is fixed."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+def _filter_of(ids: DataFrame, n_bits: int) -> np.ndarray:
+    """A bitmap that holds all ``doc_id`` given (and some others), built by Spark."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(n_bits))
     words = ids.select(F.floor(at / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bits"))
     rows = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(n_bits // 64, np.int64)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return out
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``(sid, n, bits, shingles)`` of the sets ``wanted (doc_id, sid)``: read again, only documents that pass the filter."""
+    """``(sid, n, bits, shingles)`` of the sets ``wanted (doc_id, sid)``: read again, only documents that pass a filter of
+    at most ``FILTER_BITS``; with more documents than that it passes more of them, and the join alone decides."""
     spark = docs.sparkSession
-    chosen = spark.sparkContext.broadcast(_filter_of(wanted))
+    n_bits = min(max(FILTER_BITS[0], 1 << (16 * wanted.count()).bit_length()), FILTER_BITS[1])
+    chosen = spark.sparkContext.broadcast(_filter_of(wanted, n_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,20 +239,15 @@ def _arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 maps = pa.array([bitmap(x, width(len(x))).tobytes() for x in s], pa.binary())
                 yield _base.record_batch(["doc_id", "sid", "n", "bits", "shingles"], [c.column("doc_id"), pa.array([set_id(x) for x in s], pa.int64()), pa.array([len(x) for x in s], pa.int64()), maps, pa.array([x.tobytes() for x in s], pa.binary())])
 
-    read = docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, "doc_id long, sid long, n long, bits binary, shingles binary")
-    return read.join(_small(wanted), [read.doc_id.eqNullSafe(wanted.doc_id), read.sid == wanted.sid], "left_semi").select("sid", "n", "bits", "shingles")
-
-
-def _small(rows: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row: broadcast up to a limit, so that wide tables need no shuffle to meet it."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    read = docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(n_bits))).mapInArrow(run, "doc_id long, sid long, n long, bits binary, shingles binary")
+    return read.join(_base.small(wanted), [read.doc_id.eqNullSafe(wanted.doc_id), read.sid == wanted.sid], "left_semi").select("sid", "n", "bits", "shingles")
 
 
 def _with_both(pairs: DataFrame, data: DataFrame, columns: list[str]) -> DataFrame:
     """``pairs (v, parent)`` with the columns of both, those of the parent with a prefix; a parent of very many is salted."""
-    left = data.select(F.col("sid").alias("v"), *columns).join(_small(pairs), "v").withColumn("salt", F.pmod(F.col("v"), F.lit(SALTS)))
+    left = data.select(F.col("sid").alias("v"), *columns).join(_base.small(pairs), "v").withColumn("salt", F.pmod(F.col("v"), F.lit(SALTS)))
     named = _base.materialize(pairs.select(F.col("parent").alias("sid")).distinct(), "pivots")
-    parents = data.select("sid", *columns).join(_small(named), "sid", "left_semi")
+    parents = data.select("sid", *columns).join(_base.small(named), "sid", "left_semi")
     right = parents.select(F.col("sid").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in columns), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     return left.join(right, ["parent", "salt"]).select("v", "parent", *columns, *(f"p_{c}" for c in columns))
 
@@ -293,14 +273,28 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return _with_both(left, arrays, ["shingles"]).mapInArrow(exact, "v long, parent long").distinct()
 
 
+def _placed(members: DataFrame) -> DataFrame:
+    """``members`` with a ``block`` of about ``BLOCK`` sets of similar size: parts of one class if that is large, else small
+    classes together.  Only counts decide, so no task sees a whole cluster."""
+    sized = members.withColumn("size", F.floor(F.log2(F.col("n")) * 2))
+    counts = sized.groupBy("cluster", "size", "class").agg(F.count("*").alias("own"))
+    counts = counts.withColumn("large", F.col("own") > BLOCK // 2)
+    small = counts.where("NOT large").groupBy("cluster", "size").agg(F.sum("own").alias("rest"))
+    groups = counts.join(small, ["cluster", "size"], "left").withColumn("parts", F.ceil(F.when(F.col("large"), F.col("own")).otherwise(F.col("rest")) / BLOCK))
+    groups = _base.materialize(groups.select("cluster", "size", "class", "large", "parts"), "groups")
+    part = F.pmod(F.xxhash64(F.when(F.col("large"), F.col("sid")).otherwise(F.col("class"))), F.col("parts"))
+    block = F.xxhash64("size", F.when(F.col("large"), F.col("class")), part)
+    return sized.join(groups, ["cluster", "size", "class"]).withColumn("block", block).select("cluster", "sid", "class", "n", "block")
+
+
 def _block_pairs(members: DataFrame, percent: int, within: bool = False) -> DataFrame:
     """``(cluster, i, j, block, sid, class)``: every pair of blocks of ``members (cluster, sid, class, n)`` that sizes allow;
     blocks that are of one class only ``within`` classes."""
-    order = Window.partitionBy("cluster").orderBy("n", "sid")
-    placed = _base.materialize(members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)), "blocks")
+    placed = _base.materialize(_placed(members), "blocks")
     blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("class").alias("c0"), F.max("class").alias("c1"))
     x, y = blocks.alias("x"), blocks.alias("y")
-    near = x.join(y, F.expr(f"x.cluster = y.cluster AND x.block <= y.block AND 100 * x.hi >= {percent} * y.lo AND ({str(within).lower()} OR x.c0 <> y.c0 OR x.c1 <> y.c1 OR x.c0 <> x.c1)"))
+    sizes = f"100 * x.hi >= {percent} * y.lo AND 100 * y.hi >= {percent} * x.lo"
+    near = x.join(y, F.expr(f"x.cluster = y.cluster AND x.block <= y.block AND {sizes} AND ({str(within).lower()} OR x.c0 <> y.c0 OR x.c1 <> y.c1 OR x.c0 <> x.c1)"))
     sides = near.selectExpr("x.cluster AS cluster", "x.block AS i", "y.block AS j").selectExpr("cluster", "i", "j", "explode(array_distinct(array(i, j))) AS block")
     return _base.materialize(sides.join(placed, ["cluster", "block"]).select("cluster", "i", "j", "block", "sid", "class"), "block-pairs")
 
@@ -357,10 +351,10 @@ def _block_links(members: DataFrame, arrays: DataFrame, percent: int) -> DataFra
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     sized = members.join(arrays.select("sid", "n"), "sid")
-    rows = arrays.select("sid", "n", "bits").join(_small(_block_pairs(sized, percent)), "sid")
+    rows = arrays.select("sid", "n", "bits").join(_base.small(_block_pairs(sized, percent)), "sid")
     alive = _base.materialize(rows.groupBy("cluster", "i", "j").applyInArrow(bounded, "cluster long, sid long, class long").distinct(), "alive")
     again = alive.join(arrays.select("sid", "n"), "sid")
-    rows = arrays.select("sid", "shingles").join(_small(_block_pairs(again, percent)), "sid")
+    rows = arrays.select("sid", "shingles").join(_base.small(_block_pairs(again, percent)), "sid")
     return rows.groupBy("cluster", "i", "j").applyInArrow(exact, "a long, b long").distinct()
 
 
@@ -409,20 +403,21 @@ def _link_counts(tied: DataFrame, arrays: DataFrame, copies: DataFrame, percent:
     one_each = arrays.dropDuplicates(["sid"])
     members = clusters.join(one_each.select("sid", "n"), "sid").withColumn("class", F.col("sid"))
     pairs = _block_pairs(members, percent, within=True)
-    rows = one_each.select("sid", "shingles").join(copies, "sid").join(_small(pairs), "sid")
+    rows = one_each.select("sid", "shingles").join(copies, "sid").join(_base.small(pairs), "sid")
     counted = rows.groupBy("cluster", "i", "j").applyInArrow(count, "sid long, n_links long")
     return _base.materialize(counted.groupBy("sid").agg(F.sum("n_links").alias("n_links")), "link-counts")
 
 
-def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, n_links)`` for each row.
+def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for each row, with ``count_links`` also ``n_links``.
 
     Sets link when ``100 * intersection >= percent * union``.  ``component_id`` is the smallest id that links reach;
-    ``n_links`` counts all links of the row's set: other documents with the same set or one that links with it; null
-    without ``count_links``, for users of the classes alone.
+    ``n_links`` counts all links of the row's set: other documents with the same set or one that links with it.  That
+    takes all pairs of different sets of a class, so its work grows with the square of a class; the classes don't need it.
     """
     spark = docs.sparkSession
     _base.batches_of(spark)
+    began = _base.mark()
     plain = _base.id_text(docs, id_col, text_col)
     rows = _base.materialize(_sets(plain, k), "sets")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -459,15 +454,15 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
         counts = _link_counts(tied, arrays, copies, percent)
         number = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("n_links", F.lit(0))
         named = named.join(copies, "sid", "left").join(counts, "sid", "left").withColumn("n_links", number.cast("long"))
-    else:
-        named = named.withColumn("n_links", F.lit(None).cast("long"))
-    named = _base.materialize(named.select("doc_id", "n", F.coalesce("root", "sid").alias("class"), "n_links"), "named")
+    extra = ["n_links"] if count_links else []
+    named = _base.materialize(named.select("doc_id", "n", F.coalesce("root", "sid").alias("class"), *extra), "named")
+    _base.discard(began, named)
     smallest = named.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("size"), F.min("doc_id").alias("first")).where("size > 1").select("class", "first")
-    return named.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.coalesce("first", "doc_id")).alias("component_id"), "n_links")
+    return named.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.coalesce("first", "doc_id")).alias("component_id"), *extra)
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without the documents whose class holds a smaller id."""
-    found = join(docs, k, percent, id_col, text_col, count_links=False)
-    later = found.where("component_id < doc_id").select(F.col("doc_id").alias("__later_id")).distinct()
-    return docs.join(later, F.col(id_col).cast("long") == F.col("__later_id"), "left_anti")
+    found = join(docs, k, percent, id_col, text_col)
+    later = found.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(later, docs[id_col].cast("long") == later["doc_id"], "left_anti")

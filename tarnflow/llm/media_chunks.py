@@ -225,10 +225,13 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     _base.batches_of(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    began = _base.mark()
     rows = _base.materialize(_manifests(keyed), "manifests")
     roles = _base.materialize(_roles(rows), "roles")
     graph.release(rows)
     store = _base.materialize(_store(keyed, roles), "media")
     graph.release(rows)
     found = _base.materialize(read_back(store).dropDuplicates(["key"]), "described")
+    graph.release(rows)
+    _base.discard(began, rows, found)
     return rows.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "key").join(found, "key").select("doc_id", *_READ[1:])
