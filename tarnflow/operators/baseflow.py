@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -67,6 +69,24 @@ def lyne_hollick(daily: DataFrame, alpha: float = ALPHA, passes: int = PASSES, r
     return series.dense(daily).join(filtered, ["basin_id", "d"], "left")
 
 
+def legacy_clamped(daily: DataFrame, alpha: float = ALPHA, passes: int = PASSES) -> DataFrame:
+    """``(basin_id, d, baseflow)`` by the form used before: baseflow itself recurses, never above the flow, over all valid
+    days in order.  Only to give old numbers again; ``lyne_hollick`` is the published filter."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("d")
+        q = b = np.maximum(frame["q"].to_numpy(float), 0.0)
+        for k in range(passes):
+            y = (b[::-1] if k % 2 else b).tolist()
+            sums = [(1 - alpha) / 2 * (u + v) for u, v in zip(y, y[1:])]
+            out = np.array([*accumulate(zip(sums, y[1:]), lambda last, x: min(alpha * last + x[0], x[1]), initial=y[0])])
+            b = out[::-1] if k % 2 else out
+        return frame[["basin_id", "d"]].assign(baseflow=np.clip(b, 0.0, q))
+
+    kind = dict(daily.dtypes)["basin_id"]
+    return daily.where("q IS NOT NULL").groupBy("basin_id").applyInPandas(run, f"basin_id {kind}, d date, baseflow double")
+
+
 def ukih(daily: DataFrame, block: int = 5, factor: float = 0.9) -> DataFrame:
     """``(basin_id, d, q, baseflow)`` by smoothed minima: turning points among block minima, joined by straight lines.
 

@@ -76,28 +76,44 @@ def touches_edge(mask: DataFrame, rows: int, cols: int, margin: int = 2) -> Data
     return mask.groupBy("raster_id").agg(F.coalesce(F.bool_or(F.when(F.col("inside"), at)), F.lit(True)).alias("touches"))
 
 
-def snap(outlets: DataFrame, cells: DataFrame, radius: float, expected: bool = False) -> DataFrame:
-    """The best stream cell for each outlet ``(outlet_id, x, y, expected_km2)`` among ``(row, col, x, y, upa)``.
+#: Least and most search radius in metres, metres a root of expected area, and from where a snap is far.
+RADIUS, RADIUS_OF_AREA, FAR_M = (3_000.0, 30_000.0), 1_500.0, 5_000.0
 
-    Streams drain at least 1 km2; without one within the radius any draining cell counts, then any.  Near and large
-    cells score low; with an expected area, its relative error and the distance do.  Ties go to the first in row order.
-    Cells are joined by tiles of the radius, so an outlet meets only the nine tiles around it.
+
+def search_radius(expected_km2: Column) -> Column:
+    """Metres around an outlet: more for a large expected area."""
+    return F.when(expected_km2 > 0, F.least(F.lit(RADIUS[1]), F.greatest(F.lit(RADIUS[0]), RADIUS_OF_AREA * F.sqrt(expected_km2)))).otherwise(RADIUS[0])
+
+
+def snap(outlets: DataFrame, cells: DataFrame, radius: float | None, expected: bool = False) -> DataFrame:
+    """The best stream cell for each outlet ``(outlet_id, x, y, expected_km2)`` among ``(row, col, x, y, upa[, wth])``.
+
+    Streams drain at least 1 km2 or have a width; without one within the radius any draining cell counts, then any.  Near
+    and large cells score low; with an expected area, its relative error and the distance do.  Ties go to the first in row
+    order.  Cells are joined by tiles of the radius, so an outlet meets only the nine tiles around it; without a radius each
+    outlet has that of its expected area.  ``quality`` says by what it was chosen, and whether it is far.
     """
-    tile = lambda c: F.floor(F.col(c) / radius)
-    o = outlets.withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    o = o.select("outlet_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "expected_km2", (tile("x") + F.col("dx")).alias("tx"), (tile("y") + F.col("dy")).alias("ty"))
+    size_of_tile = radius or RADIUS[1]
+    tile = lambda c: F.floor(F.col(c) / size_of_tile)
+    near = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    o = outlets.withColumn("dx", near).withColumn("dy", near).withColumn("radius", F.lit(radius) if radius else search_radius(F.col("expected_km2") if expected else F.lit(None).cast("double")))
+    o = o.select("outlet_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "expected_km2", "radius", (tile("x") + F.col("dx")).alias("tx"), (tile("y") + F.col("dy")).alias("ty"))
     c = cells.withColumn("tx", tile("x")).withColumn("ty", tile("y"))
-    j = o.join(c, ["tx", "ty"]).withColumn("dist", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).where(F.col("dist") <= radius)
-    kind = F.when(F.col("upa") >= 1, 0).when(F.col("upa") > 0, 1).otherwise(2)
+    j = o.join(c, ["tx", "ty"]).withColumn("dist", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).where("dist <= radius")
+    stream = F.col("upa") >= 1
+    if "wth" in cells.columns:
+        stream = stream | F.coalesce(F.col("wth") > 0, F.lit(False))
+    kind = F.when((F.col("upa") > 0) & stream, 0).when(F.col("upa") > 0, 1).otherwise(2)
     w = Window.partitionBy("outlet_id")
     j = j.withColumn("kind", kind).withColumn("best_kind", F.min("kind").over(w)).where("kind = best_kind")
     size = F.log1p(F.greatest(F.coalesce("upa", F.lit(0.0)), F.lit(0.0)))
-    if expected:
-        score = F.abs(F.col("upa") - F.col("expected_km2")) / F.greatest(F.col("expected_km2"), F.lit(1.0)) + 0.35 * F.col("dist") / max(radius, 1.0)
-    else:
-        score = F.col("dist") / max(radius, 1.0) - 0.2 * size / F.greatest(F.max(size).over(w), F.lit(1.0))
-    j = j.withColumn("score", score)
-    return j.withColumn("n", F.row_number().over(w.orderBy("score", "row", "col"))).where("n = 1").select("outlet_id", "row", "col", "dist", "upa")
+    away = F.col("dist") / F.greatest("radius", F.lit(1.0))
+    by_area = F.abs(F.col("upa") - F.col("expected_km2")) / F.greatest(F.col("expected_km2"), F.lit(1.0)) + 0.35 * away
+    by_distance = away - 0.2 * size / F.greatest(F.max(size).over(w), F.lit(1.0))
+    targeted = (F.col("expected_km2") > 0) if expected else F.lit(False)
+    j = j.withColumn("score", F.when(targeted, by_area).otherwise(by_distance)).withColumn("n", F.row_number().over(w.orderBy("score", "row", "col"))).where("n = 1")
+    quality = F.concat(F.when(targeted, "area_targeted").otherwise("nearest_merit_stream"), F.when(F.col("dist") > FAR_M, "_far").otherwise(""))
+    return j.select("outlet_id", "row", "col", "dist", "upa", quality.alias("quality"))
 
 
 def snap_area_gated(outlets: DataFrame, cells: DataFrame, radius: float, tolerance: float = 0.1) -> DataFrame:
@@ -110,7 +126,7 @@ def snap_area_gated(outlets: DataFrame, cells: DataFrame, radius: float, toleran
     j = j.select("outlet_id", "row", "col", "upa", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")).alias("dist"), (off / F.col("expected_km2")).alias("rel")).where(F.col("dist") <= radius)
     w = Window.partitionBy("outlet_id").orderBy(F.round("dist", 3), "rel", "row", "col")
     gated = j.withColumn("n", F.row_number().over(w)).where("n = 1").select("outlet_id", "row", "col", "dist", "upa", F.lit("area_gated").alias("quality"))
-    plain = snap(outlets, cells, radius).withColumn("quality", F.lit("nearest_stream_area_gate_no_match"))
+    plain = snap(outlets, cells, radius).withColumn("quality", F.concat("quality", F.lit("_area_gate_no_match")))
     return gated.union(plain.join(gated, "outlet_id", "left_anti"))
 
 
@@ -130,6 +146,48 @@ def locate(points: DataFrame, boxes: DataFrame, near: float = 0.05) -> DataFrame
     return j.withColumn("n", F.row_number().over(w)).where("n = 1").select("point_id", "comid", "dist")
 
 
+def ring_relation(points: DataFrame, rings: DataFrame, near: float, size: float = 1.0) -> DataFrame:
+    """``(point_id, unit, inside, dist)`` of points ``(point_id, x, y)`` and polygons of rings ``(unit, ring, seq, x, y)`` whose
+    box lies within ``near``: whether the point is inside, by crossings, and how far the nearest edge is."""
+    w = Window.partitionBy("unit", "ring").orderBy("seq")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    e = rings.select("unit", F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce(F.lead("x").over(w), F.first("x").over(whole)).alias("x2"), F.coalesce(F.lead("y").over(w), F.first("y").over(whole)).alias("y2"))
+    boxes = rings.groupBy("unit").agg((F.min("x") - near).alias("x0"), (F.min("y") - near).alias("y0"), (F.max("x") + near).alias("x1"), (F.max("y") + near).alias("y1"))
+    p = points.withColumn("tx", F.floor(F.col("x") / size)).withColumn("ty", F.floor(F.col("y") / size))
+    pairs = p.join(in_tiles(boxes, size), ["tx", "ty"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("point_id", "unit", F.col("x").alias("px"), F.col("y").alias("py"))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))))
+    far = F.hypot(F.col("px") - F.col("x1") - t * dx, F.col("py") - F.col("y1") - t * dy)
+    crosses = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < F.col("x1") + F.try_divide((F.col("py") - F.col("y1")) * dx, dy))
+    return pairs.join(e, "unit").groupBy("point_id", "unit").agg((F.count(F.when(crosses, 1)) % 2 == 1).alias("inside"), F.min(far).alias("edge")).select("point_id", "unit", "inside", F.when(F.col("inside"), 0.0).otherwise(F.col("edge")).alias("dist"))
+
+
+def locate_polygons(points: DataFrame, rings: DataFrame, sizes: DataFrame, near: float = 0.05) -> DataFrame:
+    """``(point_id, unit, how)``: the unit that contains a point, else one it touches, else the nearest within ``near``; ties
+    go to the larger ``(unit, uparea)``, then the smaller name.  Points without one have no row."""
+    r = ring_relation(points, rings, near).where(F.col("dist") <= near).join(sizes, "unit", "left")
+    kind = F.when(F.col("inside"), 0).when(F.col("dist") == 0, 1).otherwise(2)
+    w = Window.partitionBy("point_id").orderBy("kind", "dist", F.desc_nulls_last("uparea"), "unit")
+    best = r.withColumn("kind", kind).withColumn("n", F.row_number().over(w)).where("n = 1")
+    return best.select("point_id", "unit", F.element_at(F.array(*map(F.lit, ("contains", "touches", "nearest"))), F.col("kind") + 1).alias("how"))
+
+
+#: Degrees of a generalised coast, and of the zone along a border.
+COAST_DEG, BORDER_DEG = 0.02, 0.25
+
+
+def outlet_zone(points: DataFrame, rings: DataFrame) -> DataFrame:
+    """``(point_id, zone)`` of outlets against the rings of the ``home`` and ``border`` regions: ``conus`` inside home or at
+    its coast, ``conus_border_zone`` there but near the border, else ``non_conus``; ``undetermined`` without coordinates."""
+    known = points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    r = ring_relation(known, rings.withColumnRenamed("region", "unit"), BORDER_DEG)
+    at = lambda unit, d: F.coalesce(F.bool_or((F.col("unit") == unit) & (F.col("dist") <= d)), F.lit(False))
+    z = r.groupBy("point_id").agg(at("home", COAST_DEG).alias("home"), at("border", BORDER_DEG).alias("border"))
+    j = points.join(z, "point_id", "left").join(known.select("point_id", F.lit(True).alias("known")), "point_id", "left")
+    zone = F.when(F.col("known").isNull(), "undetermined").when(~F.coalesce("home", F.lit(False)), "non_conus").when(F.col("border"), "conus_border_zone").otherwise("conus")
+    return j.select("point_id", zone.alias("zone"))
+
+
 def missing_ids(wanted: DataFrame, there: DataFrame) -> DataFrame:
     return wanted.join(there, "comid", "left_anti")
 

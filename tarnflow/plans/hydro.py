@@ -534,12 +534,12 @@ s AS (SELECT *, row_number() OVER (PARTITION BY outlet_id ORDER BY SCORE, r, c)
 
 @query(_SNAP.replace("SCORE", "dist / 300 - 0.2 * ln(1 + upa) / greatest(mx, 1)"))
 def snap_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.snap(*_snap_tables(spark, sf_dir), 300.0).withColumn("dist", F.round("dist", 6))
+    return network.snap(*_snap_tables(spark, sf_dir), 300.0).drop("quality").withColumn("dist", F.round("dist", 6))
 
 
 @query(_SNAP.replace("SCORE", "abs(upa - expected) / greatest(expected, 1) + 0.35 * dist / 300"))
 def snap_expected_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.snap(*_snap_tables(spark, sf_dir), 300.0, expected=True).withColumn("dist", F.round("dist", 6))
+    return network.snap(*_snap_tables(spark, sf_dir), 300.0, expected=True).drop("quality").withColumn("dist", F.round("dist", 6))
 
 
 @query(f"""WITH {_CELLS_XY}, j AS (SELECT o.*, c.r, c.c, c.upa, sqrt((c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y)) AS dist FROM outlets o JOIN cells c ON abs(c.x - o.x) <= 300 AND abs(c.y - o.y) <= 300),
@@ -547,7 +547,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY outlet_id ORDER BY round(dist, 3
 k AS (SELECT *, CASE WHEN upa >= 1 THEN 0 WHEN upa > 0 THEN 1 ELSE 2 END AS kind FROM j WHERE dist <= 300), b AS (SELECT *, min(kind) OVER (PARTITION BY outlet_id) AS bk FROM k), m AS (SELECT *, max(ln(1 + upa)) OVER (PARTITION BY outlet_id) AS mx FROM b WHERE kind = bk),
 s AS (SELECT *, row_number() OVER (PARTITION BY outlet_id ORDER BY dist / 300 - 0.2 * ln(1 + upa) / greatest(mx, 1), r, c) AS n FROM m)
 SELECT outlet_id, r AS "row", c AS col, round(dist, 6) AS dist, upa, 'area_gated' AS quality FROM g WHERE n = 1
-UNION ALL SELECT outlet_id, r, c, round(dist, 6), upa, 'nearest_stream_area_gate_no_match' FROM s WHERE n = 1 AND outlet_id NOT IN (SELECT outlet_id FROM g)""")
+UNION ALL SELECT outlet_id, r, c, round(dist, 6), upa, 'nearest_merit_stream_area_gate_no_match' FROM s WHERE n = 1 AND outlet_id NOT IN (SELECT outlet_id FROM g)""")
 def snap_area_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.snap_area_gated(*_snap_tables(spark, sf_dir), 300.0, 0.1).withColumn("dist", F.round("dist", 6))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.operators import frequency, geodesy, landsoil, network, periods, reliability, routing, runoff, series, signatures, terrain, uncertainty
+from tarnflow.operators import baseflow, frequency, geodesy, landsoil, network, periods, reliability, routing, runoff, series, signatures, terrain, uncertainty
 from tarnflow.plans.hydro import _GRID, _MAXIMA, DAILY, PAIRED, QUERIES, SHARE, SQL, _all_regions, _grid, _maxima, daily_flow, precipitation, query, report_sql, rounded_signatures, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -367,3 +367,61 @@ def signatures_of_plausible_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = daily_flow(spark, sf_dir).withColumn("q", F.col("q") * 1e-6)
     p = precipitation(spark, sf_dir).withColumn("p", F.col("p") * 1e-4)
     return rounded_signatures(signatures.extract(q, p, "mm/day", min_fraction=SHARE))
+
+
+_OLD = lambda name, source, order: f"""{name}i AS (SELECT basin_id, row_number() OVER (PARTITION BY basin_id ORDER BY d {order}) AS t, d, y FROM {source}),
+{name}f(basin_id, t, d, y, b) AS (SELECT basin_id, t, d, y, y FROM {name}i WHERE t = 1 UNION ALL SELECT i.basin_id, i.t, i.d, i.y, least(0.925::DOUBLE * f.b + (1 - 0.925::DOUBLE) / 2 * (i.y + f.y), i.y) FROM {name}f f JOIN {name}i i ON i.basin_id = f.basin_id AND i.t = f.t + 1),
+{name} AS (SELECT basin_id, d, b AS y FROM {name}f)"""
+
+
+@query(f"WITH RECURSIVE {DAILY}, x AS (SELECT basin_id, d, greatest(q, 0) AS y FROM daily), {_OLD('oa', 'x', '')}, {_OLD('ob', 'oa', 'DESC')}, {_OLD('oc', 'ob', '')} SELECT c.basin_id, c.d, round(greatest(0, least(c.y, x.y)), 4) AS baseflow FROM oc c JOIN x ON x.basin_id = c.basin_id AND x.d = c.d")
+def legacy_baseflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseflow.legacy_clamped(daily_flow(spark, sf_dir)).withColumn("baseflow", F.round("baseflow", 4))
+
+
+_HEX = "v AS (SELECT p_partkey AS unit, k AS seq, (p_partkey % 40) * 0.9 + cos(radians(k * 60 + 10)) * 0.5 AS x, (p_partkey // 40) * 0.8 + sin(radians(k * 60 + 10)) * 0.45 AS y FROM part, generate_series(0, 5) g(k))"
+_REL = """e AS (SELECT a.unit, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON b.unit = a.unit AND b.seq = (a.seq + 1) % 6), bx AS (SELECT unit, min(x) - NEAR AS x0, max(x) + NEAR AS x9, min(y) - NEAR AS y0, max(y) + NEAR AS y9 FROM v GROUP BY 1),
+pe AS (SELECT p.point_id, e.*, p.x AS px, p.y AS py, ((p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2) AS t0 FROM p JOIN bx ON p.x BETWEEN x0 AND x9 AND p.y BETWEEN y0 AND y9 JOIN e ON e.unit = bx.unit),
+r0 AS (SELECT point_id, unit, count(*) FILTER ((y1 > py) <> (y2 > py) AND px < x1 + (py - y1) * (x2 - x1) / nullif(y2 - y1, 0)) % 2 = 1 AS inside, min(sqrt((px - x1 - greatest(0, least(1, t0)) * (x2 - x1)) ** 2 + (py - y1 - greatest(0, least(1, t0)) * (y2 - y1)) ** 2)) AS edge FROM pe GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN inside THEN 0 ELSE edge END AS dist FROM r0)"""
+
+
+def _hexagons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("seq")
+    x = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("seq"))
+    return x.select(k.alias("unit"), F.lit(0).alias("ring"), "seq", ((k % 40) * 0.9 + F.cos(F.radians(s * 60 + 10)) * 0.5).alias("x"), (F.floor(k / 40) * 0.8 + F.sin(F.radians(s * 60 + 10)) * 0.45).alias("y"))
+
+
+@query(f"""WITH {_HEX}, p AS (SELECT s_suppkey AS point_id, (s_suppkey * 37 % 3600) / 100.0 AS x, (s_suppkey * 53 % 170) / 100.0 AS y FROM supplier), {_REL.replace('NEAR', '0.05')},
+k AS (SELECT r.*, p_retailprice AS u, CASE WHEN inside THEN 0 WHEN dist = 0 THEN 1 ELSE 2 END AS kind FROM r JOIN part ON p_partkey = unit WHERE dist <= 0.05), n AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY kind, dist, u DESC, unit) AS n FROM k)
+SELECT point_id, unit, ['contains', 'touches', 'nearest'][kind + 1] AS how FROM n WHERE n = 1""")
+def locate_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    points = table(spark, sf_dir, "supplier").select(s.alias("point_id"), ((s * 37 % 3600) / 100.0).alias("x"), ((s * 53 % 170) / 100.0).alias("y"))
+    return network.locate_polygons(points, _hexagons(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit"), F.col("p_retailprice").alias("uparea")))
+
+
+@query(f"""WITH v AS (SELECT unit, k AS seq, cx + cos(radians(k * 60)) * w AS x, cy + sin(radians(k * 60)) * w AS y FROM (VALUES ('home', 0.0, 0.0, 3.0), ('border', 0.0, 4.0, 1.6)) b(unit, cx, cy, w), generate_series(0, 5) g(k)),
+q AS (SELECT p_partkey AS point_id, CASE WHEN p_partkey % 17 > 0 THEN -4 + (p_partkey * 37 % 800) / 100.0 END AS x, -4 + (p_partkey * 53 % 900) / 100.0 AS y FROM part), p AS (SELECT * FROM q WHERE x IS NOT NULL), {_REL.replace('NEAR', '0.25')},
+z AS (SELECT point_id, bool_or(unit = 'home' AND dist <= 0.02) AS home, bool_or(unit = 'border' AND dist <= 0.25) AS border FROM r GROUP BY 1)
+SELECT q.point_id, CASE WHEN q.x IS NULL THEN 'undetermined' WHEN NOT coalesce(home, false) THEN 'non_conus' WHEN border THEN 'conus_border_zone' ELSE 'conus' END AS zone FROM q LEFT JOIN z ON z.point_id = q.point_id""")
+def outlet_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("seq")
+    base = spark.createDataFrame([("home", 0.0, 0.0, 3.0), ("border", 0.0, 4.0, 1.6)], "region string, cx double, cy double, w double").withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    rings = base.select("region", F.lit(0).alias("ring"), "seq", (F.col("cx") + F.cos(F.radians(s * 60)) * F.col("w")).alias("x"), (F.col("cy") + F.sin(F.radians(s * 60)) * F.col("w")).alias("y"))
+    points = table(spark, sf_dir, "part").select(k.alias("point_id"), F.when(k % 17 > 0, -4 + (k * 37 % 800) / 100.0).alias("x"), (-4 + (k * 53 % 900) / 100.0).alias("y"))
+    return network.outlet_zone(points, rings)
+
+
+@query("""WITH c AS (SELECT CAST(p_partkey // 50 AS INTEGER) AS r, CAST(p_partkey % 50 AS INTEGER) AS c, (p_partkey % 50) * 1000.0 AS x, (p_partkey // 50) * 1000.0 AS y, p_retailprice / 1500 AS upa, CASE WHEN p_size > 40 THEN p_size END AS wth FROM part),
+o AS (SELECT s_suppkey AS outlet_id, (s_suppkey * 37 % 50) * 1000.0 + 200 AS x, (s_suppkey * 13 % 4) * 1000.0 + 300 AS y, CASE WHEN s_suppkey % 3 > 0 THEN 0.5 + s_suppkey % 40 END AS e FROM supplier), q AS (SELECT *, CASE WHEN e > 0 THEN least(30000, greatest(3000, 1500 * sqrt(e))) ELSE 3000 END AS rad FROM o),
+j AS (SELECT q.outlet_id, e, rad, c.r, c.c, upa, sqrt((c.x - q.x) ** 2 + (c.y - q.y) ** 2) AS dist, CASE WHEN upa >= 1 OR wth > 0 THEN 0 WHEN upa > 0 THEN 1 ELSE 2 END AS kind FROM q JOIN c ON abs(c.x - q.x) <= rad AND abs(c.y - q.y) <= rad),
+k AS (SELECT *, min(kind) OVER (PARTITION BY outlet_id) AS bk FROM j WHERE dist <= rad), m AS (SELECT *, max(ln(1 + upa)) OVER (PARTITION BY outlet_id) AS mx FROM k WHERE kind = bk),
+s AS (SELECT *, row_number() OVER (PARTITION BY outlet_id ORDER BY CASE WHEN e > 0 THEN abs(upa - e) / greatest(e, 1) + 0.35 * dist / rad ELSE dist / rad - 0.2 * ln(1 + upa) / greatest(mx, 1) END, r, c) AS n FROM m)
+SELECT outlet_id, r AS "row", c AS col, round(dist, 4) AS dist, upa, CASE WHEN e > 0 THEN 'area_targeted' ELSE 'nearest_merit_stream' END || CASE WHEN dist > 5000 THEN '_far' ELSE '' END AS quality FROM s WHERE n = 1""")
+def snap_with_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams by width or area, each outlet with the radius of its expected area."""
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    cells = table(spark, sf_dir, "part").select(F.floor(k / 50).cast("int").alias("row"), (k % 50).cast("int").alias("col"), ((k % 50) * 1000.0).alias("x"), (F.floor(k / 50) * 1000.0).alias("y"), (F.col("p_retailprice") / 1500).alias("upa"), F.when(F.col("p_size") > 40, F.col("p_size")).alias("wth"))
+    outlets = table(spark, sf_dir, "supplier").select(s.alias("outlet_id"), ((s * 37 % 50) * 1000.0 + 200).alias("x"), ((s * 13 % 4) * 1000.0 + 300).alias("y"), F.when(s % 3 > 0, 0.5 + s % 40).alias("expected_km2"))
+    return network.snap(outlets, cells, None, expected=True).withColumn("dist", F.round("dist", 4))

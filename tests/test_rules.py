@@ -190,3 +190,26 @@ def test_stream_without_events(spark, tmp_path):
     spark.createDataFrame([], "ts timestamp, event_type string, value double, event_id long").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("ts timestamp, event_type string, value double, event_id long").parquet(f"{tmp_path}/in")
     assert streams.run_available(streams.daily_counts(stream), f"{tmp_path}/out").count() == 0
+
+
+def test_legacy_filter_by_its_definition(spark):
+    q = np.random.default_rng(4).gamma(1, 3, 90)
+    want = q.copy()
+    for k in range(3):
+        data = want[::-1] if k % 2 else want
+        out = [data[0]]
+        for a, b in zip(data, data[1:]):
+            out.append(min(0.925 * out[-1] + 0.075 / 2 * (b + a), b))
+        want = np.array(out[::-1] if k % 2 else out)
+    rows = [("a", d, float(v)) for d, v in zip(days(90), q)]
+    got = [r.baseflow for r in baseflow.legacy_clamped(spark.createDataFrame(rows, "basin_id string, d date, q double")).orderBy("d").collect()]
+    assert got == pytest.approx(list(np.minimum(want, q)))
+
+
+def test_points_in_and_around_polygons(spark):
+    """Inside, in a hole, on an edge, near and far."""
+    ring = lambda unit, r, a, z: [(unit, r, k, float(x), float(y)) for k, (x, y) in enumerate(((a, a), (z, a), (z, z), (a, z)))]
+    rings = spark.createDataFrame(ring(1, 0, 0, 4) + ring(1, 1, 1, 2) + ring(2, 0, 1, 2), "unit int, ring int, seq int, x double, y double")
+    points = spark.createDataFrame([(1, 3.0, 3.0), (2, 1.5, 1.5), (3, 4.03, 2.0), (4, 4.2, 2.0), (5, 4.0, 2.0)], "point_id int, x double, y double")
+    got = {r.point_id: (r.unit, r.how) for r in network.locate_polygons(points, rings, spark.createDataFrame([(1, 9.0), (2, 1.0)], "unit int, uparea double")).collect()}
+    assert got[1] == (1, "contains") and got[2] == (2, "contains") and got[3] == (1, "nearest") and 4 not in got and got[5][0] == 1
