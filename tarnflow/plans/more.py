@@ -374,9 +374,9 @@ _OLD = lambda name, source, order: f"""{name}i AS (SELECT basin_id, row_number()
 {name} AS (SELECT basin_id, d, b AS y FROM {name}f)"""
 
 
-@query(f"WITH RECURSIVE {DAILY}, x AS (SELECT basin_id, d, greatest(q, 0) AS y FROM daily), {_OLD('oa', 'x', '')}, {_OLD('ob', 'oa', 'DESC')}, {_OLD('oc', 'ob', '')} SELECT c.basin_id, c.d, round(greatest(0, least(c.y, x.y)), 4) AS baseflow FROM oc c JOIN x ON x.basin_id = c.basin_id AND x.d = c.d")
+@query(f"WITH RECURSIVE {DAILY}, x AS (SELECT basin_id, d, greatest(q, 0) AS y FROM daily), {_OLD('oa', 'x', '')}, {_OLD('ob', 'oa', 'DESC')}, {_OLD('oc', 'ob', '')} SELECT c.basin_id, c.d, greatest(0, least(c.y, x.y)) AS baseflow FROM oc c JOIN x ON x.basin_id = c.basin_id AND x.d = c.d")
 def legacy_baseflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseflow.legacy_clamped(daily_flow(spark, sf_dir)).withColumn("baseflow", F.round("baseflow", 4))
+    return baseflow.legacy_clamped(daily_flow(spark, sf_dir))
 
 
 _HEX = "v AS (SELECT p_partkey AS unit, k AS seq, (p_partkey % 40) * 0.9 + cos(radians(k * 60 + 10)) * 0.5 AS x, (p_partkey // 40) * 0.8 + sin(radians(k * 60 + 10)) * 0.45 AS y FROM part, generate_series(0, 5) g(k))"
