@@ -89,6 +89,36 @@ def curve_number_stats(cells: DataFrame) -> DataFrame:
     return a.select("raster_id", "cn_mean", F.col("p")[2].alias("cn_median"), "cn_min", "cn_max", "cn_std", F.col("p")[0].alias("cn_p10"), F.col("p")[1].alias("cn_p25"), F.col("p")[3].alias("cn_p75"), F.col("p")[4].alias("cn_p90"), "low_pct", "medium_pct", "high_pct", "stats_basis")
 
 
+def built_grid(cells: DataFrame) -> DataFrame:
+    """Cells ``(raster_id, ..., class, hydgrp, sand, silt, clay)`` with ``group``, ``undrained``, ``cn`` and ``cn_undrained``.
+
+    A raster that has recorded groups uses these alone, so a cell without one has none; a raster without any has its
+    groups inferred from texture, drained and undrained alike.  ``method`` says which.
+    """
+    recorded = drainage_groups(F.col("hydgrp"))
+    x = cells.withColumn("_g", recorded)
+    has = x.where("_g.drained IS NOT NULL").groupBy("raster_id").agg(F.lit(True).alias("_recorded"))
+    x = x.join(has, "raster_id", "left").withColumn("method", F.when(F.col("_recorded"), "recorded").otherwise("texture_thresholds"))
+    inferred = F.when(F.col("sand").isNotNull() & F.col("silt").isNotNull() & F.col("clay").isNotNull(), texture_group(F.col("sand"), F.col("silt"), F.col("clay")))
+    x = x.withColumn("group", F.when(F.col("_recorded"), F.col("_g.drained")).otherwise(inferred)).withColumn("undrained", F.when(F.col("_recorded"), F.col("_g.undrained")).otherwise(inferred)).drop("_g", "_recorded")
+    wet = F.broadcast(curve_number_table(cells.sparkSession)).select("class", F.col("group").alias("undrained"), F.col("cn").alias("cn_undrained"))
+    return overlay(x).join(wet, ["class", "undrained"], "left")
+
+
+def soil_record(built: DataFrame, nodata: int = 127) -> DataFrame:
+    """Where each raster's soil groups come from: method, whether inferred, the share of land-cover cells without a group,
+    cells and mean curve numbers inside the basin, and flags."""
+    valid = F.col("class").isNotNull() & (F.col("class") != nodata)
+    inside = F.col("inside") & F.col("cn").isNotNull()
+    a = built.groupBy("raster_id").agg(
+        F.max("method").alias("method"), F.avg(F.when(valid, F.when(F.col("group").isNull(), 1.0).otherwise(0.0))).alias("missing"), F.count(F.when(inside, 1)).alias("cells_basin"),
+        F.avg(F.when(inside, F.col("cn"))).alias("cn_mean_basin"), F.avg(F.when(F.col("inside"), F.col("cn_undrained"))).alias("cn_mean_undrained"),
+    )
+    inferred = F.col("method") == "texture_thresholds"
+    flags = F.array_compact(F.array(F.when(F.col("cells_basin") == 0, F.lit("basin_cn_stats_empty")), F.when(inferred, F.lit("hsg_inferred_from_texture"))))
+    return a.select("raster_id", "method", inferred.alias("inferred"), F.when(~inferred, F.col("missing")).alias("missing_fraction"), "cells_basin", "cn_mean_basin", "cn_mean_undrained", F.array_join(flags, ",").alias("flags"))
+
+
 def class_fractions(cells: DataFrame, nodata: int = 127) -> DataFrame:
     """``(raster_id, class, n_cells, fraction)`` over valid cells; class 11 is open water."""
     n = cells.where((F.col("class") != nodata) & F.col("class").isNotNull()).groupBy("raster_id", "class").agg(F.count("*").alias("n_cells"))

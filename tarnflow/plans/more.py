@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.operators import baseflow, frequency, geodesy, landsoil, network, periods, reliability, routing, runoff, series, signatures, terrain, uncertainty
-from tarnflow.plans.hydro import _GRID, _MAXIMA, DAILY, PAIRED, QUERIES, SHARE, SQL, _all_regions, _grid, _maxima, daily_flow, precipitation, query, report_sql, rounded_signatures, table
+from tarnflow.plans.hydro import _CN_SQL, _GRID, _MAXIMA, DAILY, PAIRED, QUERIES, SHARE, SQL, _all_regions, _cells, _grid, _maxima, daily_flow, precipitation, query, report_sql, rounded_signatures, table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -425,3 +425,19 @@ def snap_with_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "part").select(F.floor(k / 50).cast("int").alias("row"), (k % 50).cast("int").alias("col"), ((k % 50) * 1000.0).alias("x"), (F.floor(k / 50) * 1000.0).alias("y"), (F.col("p_retailprice") / 1500).alias("upa"), F.when(F.col("p_size") > 40, F.col("p_size")).alias("wth"))
     outlets = table(spark, sf_dir, "supplier").select(s.alias("outlet_id"), ((s * 37 % 50) * 1000.0 + 200).alias("x"), ((s * 13 % 4) * 1000.0 + 300).alias("y"), F.when(s % 3 > 0, 0.5 + s % 40).alias("expected_km2"))
     return network.snap(outlets, cells, None, expected=True).withColumn("dist", F.round("dist", 4))
+
+
+@query(f"""WITH {_CN_SQL}, x AS (SELECT c.*, p.p_size AS s, CASE WHEN c.raster_id % 2 = 0 AND c.p_partkey % 7 > 0 THEN ['A', 'B/D', 'C', 'D'][c.g] END AS hydgrp FROM cells c JOIN part p ON p.p_partkey = c.p_partkey),
+h AS (SELECT *, max(CASE WHEN hydgrp IS NOT NULL THEN 1 END) OVER (PARTITION BY raster_id) AS has FROM x), sand AS (SELECT *, s * 1.5 AS sand, 15.0 AS clay, 85 - s * 1.5 AS silt FROM h),
+t AS (SELECT *, CASE WHEN has = 1 THEN CASE WHEN hydgrp = 'B/D' THEN 2 WHEN hydgrp IS NOT NULL THEN g END WHEN (sand BETWEEN 50 AND 70 AND clay < 20) OR (silt > 50 AND clay < 27) THEN 2 WHEN sand > 70 AND clay < 10 THEN 1 WHEN clay >= 20 AND clay < 40 THEN 3 ELSE 4 END AS dg FROM sand),
+u AS (SELECT *, CASE WHEN hydgrp = 'B/D' THEN 4 ELSE dg END AS ug FROM t), v AS (SELECT u.*, a.cn, b.cn AS cu FROM u LEFT JOIN cn_table a ON a.class = u.class AND a.g = u.dg LEFT JOIN cn_table b ON b.class = u.class AND b.g = u.ug)
+SELECT raster_id, CASE WHEN max(has) = 1 THEN 'recorded' ELSE 'texture_thresholds' END AS method, max(has) IS NULL AS inferred, CASE WHEN max(has) = 1 THEN round(avg(CASE WHEN dg IS NULL THEN 1.0 ELSE 0 END), 8) END AS missing_fraction, count(*) FILTER (inside AND cn IS NOT NULL) AS cells_basin,
+round(avg(cn) FILTER (inside), 6) AS cn_mean_basin, round(avg(cu) FILTER (inside), 6) AS cn_mean_undrained, concat_ws(',', CASE WHEN count(*) FILTER (inside AND cn IS NOT NULL) = 0 THEN 'basin_cn_stats_empty' END, CASE WHEN max(has) IS NULL THEN 'hsg_inferred_from_texture' END) AS flags FROM v GROUP BY 1""")
+def curve_number_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids from recorded groups or from texture, and where they come from."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    cells = _cells(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    names = F.element_at(F.array(*map(F.lit, ("A", "B/D", "C", "D"))), F.col("group"))
+    cells = cells.withColumn("hydgrp", F.when((F.col("raster_id") % 2 == 0) & (k % 7 > 0), names)).withColumn("sand", s * 1.5).withColumn("clay", F.lit(15.0)).withColumn("silt", 85 - s * 1.5).drop("group", "p_size")
+    r = landsoil.soil_record(landsoil.built_grid(cells))
+    return r.select("raster_id", "method", "inferred", F.round("missing_fraction", 8).alias("missing_fraction"), "cells_basin", F.round("cn_mean_basin", 6).alias("cn_mean_basin"), F.round("cn_mean_undrained", 6).alias("cn_mean_undrained"), "flags")
