@@ -139,7 +139,7 @@ def train(docs: DataFrame, training: Training = Training(), id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     # a share of each language that holds the sample almost surely, so that no language is sorted as a whole
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = _base.small(_base.materialize(rows.groupBy("lang").agg(F.count("*").alias("size")), "languages"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     thin = rows.select("doc_id", "lang").join(sizes, "lang").where(part * F.col("size") <= 2 * training.sample_docs + 100)
     order = Window.partitionBy("lang").orderBy(part, "doc_id")
