@@ -456,8 +456,9 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
         named = named.join(copies, "sid", "left").join(counts, "sid", "left").withColumn("n_links", number.cast("long"))
     extra = ["n_links"] if count_links else []
     named = _base.materialize(named.select("doc_id", "n", F.coalesce("root", "sid").alias("class"), *extra), "named")
-    _base.discard(began, named)
     smallest = named.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("size"), F.min("doc_id").alias("first")).where("size > 1").select("class", "first")
+    smallest = _base.materialize(smallest, "smallest")  # apart from the join, which Spark can then split where one class is large
+    _base.discard(began, named, smallest)
     return named.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.coalesce("first", "doc_id")).alias("component_id"), *extra)
 
 
