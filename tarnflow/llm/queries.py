@@ -93,12 +93,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(_base.documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm import alignment
+
+    return alignment.align(_base.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm import conversation_repair
+
+    return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.93)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_media_chunks, op2_byte_bpe, op3_line_dedup, op4_substring_dedup, op5_token_files, op6_token_counts, op7_packing, op8_language_id, op9_jaccard_join, op10_quality_rules, jaccard_components, pipeline)
+    own = (op1_media_chunks, op2_byte_bpe, op3_line_dedup, op4_substring_dedup, op5_token_files, op6_token_counts, op7_packing, op8_language_id, op9_jaccard_join, op10_quality_rules, op11_token_alignment, op12_conversation_repair, op13_embedding_dedup, jaccard_components, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -141,5 +159,66 @@ SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(r.y) AS
 LINKS_SQL = JACCARD_SQL.rstrip().replace("AS component_id FROM", "AS component_id, (SELECT count(*) FROM links l WHERE l.x = s.doc_id) AS n_links FROM") + "\n"
 
 
+#: Damage, faults and the cheapest edits of op12, one turn after the other over four states.
+REPAIR_SQL = r"""
+WITH RECURSIVE bits(n, k, c) AS (
+    SELECT range, 0, CAST(range AS BIGINT) FROM range(256) UNION ALL
+    SELECT n, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc AS (
+    SELECT list(c ORDER BY n) AS tab FROM bits WHERE k = 8
+), hit AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+            lambda a, b: xor(a >> 8, tab[xor(a, b) % 256 + 1])), 4294967295) % 20 AS h
+    FROM conversations, crc
+), after AS (
+    SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM (SELECT *, unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) FROM hit WHERE h <> 0)
+), ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM after)
+), faults AS (
+    SELECT conv_id, turn, role, text, i, left(role, 1) AS ini, CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM ordered
+), inserted(s, m, cost, audit, more) AS (
+    VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 2, 'I', chr(10) || 'user:'), (1, 2, 2, 'I', chr(10) || 'user:'), (3, 2, 2, 'I', chr(10) || 'user:'),
+        (2, 3, 2, 'I', chr(10) || 'assistant:'), (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+), edits(op, m, t, ini, cost, name) AS (
+    VALUES ('D', 0, 0, NULL, 3, NULL), ('D', 1, 1, NULL, 3, NULL), ('D', 2, 2, NULL, 3, NULL), ('D', 3, 3, NULL, 3, NULL), ('R', 0, 2, NULL, 2, 'user'), ('R', 1, 2, NULL, 2, 'user'), ('R', 3, 2, NULL, 2, 'user'), ('R', 2, 3, NULL, 2, 'assistant'),
+        ('K', 0, 1, 's', 0, NULL), ('K', 0, 2, 'u', 0, NULL), ('K', 1, 2, 'u', 0, NULL), ('K', 3, 2, 'u', 0, NULL), ('K', 2, 3, 'a', 0, NULL)
+), steps(conv_id, i, s, cost, audit, out) AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, 0, '', '' FROM faults UNION ALL
+    SELECT conv_id, i, t, b.cost, b.audit, b.out FROM (
+        SELECT p.conv_id, f.i, e.t, min(struct_pack(cost := p.cost + n.cost + e.cost + CASE WHEN op <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END, audit := p.audit || n.audit || op,
+            out := p.out || CASE WHEN op = 'D' THEN n.more ELSE n.more || chr(10) || coalesce(name, f.role) || ':' || f.text END)) AS b
+        FROM steps p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN inserted n ON n.s = p.s JOIN edits e ON e.m = n.m
+        WHERE op = 'D' OR fault NOT IN ('blank', 'duplicate') AND (op = 'R' OR e.ini = f.ini) GROUP BY ALL)
+), closed AS (
+    SELECT conv_id, min(struct_pack(cost := p.cost + c.cost, audit := p.audit || c.audit, out := p.out || c.more)) AS b
+    FROM steps p JOIN (VALUES (0, 0, '', ''), (1, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 'I', chr(10) || 'assistant:'), (3, 0, '', '')) AS c(s, cost, audit, more) ON c.s = p.s
+    WHERE p.i = (SELECT max(f.i) FROM faults f WHERE f.conv_id IS NOT DISTINCT FROM p.conv_id) GROUP BY conv_id
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM faults GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    CAST(coalesce(b.cost, 0) AS BIGINT) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(b.out[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN closed d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+#: Classes as in the contract of op13, from all pairs of a label.
+EMBEDDING_SQL = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reached(x, y) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y
+)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.x = v.vec_id) AS n_links, min(r.y) AS component_id, min(r.y) = v.vec_id AS kept FROM embeddings v JOIN reached r ON r.x = v.vec_id GROUP BY v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL, "op9_jaccard_join": JACCARD_SQL, "jaccard_components": LINKS_SQL}
+    return {"op3_line_dedup": LINE_DEDUP_SQL, "op9_jaccard_join": JACCARD_SQL, "op12_conversation_repair": REPAIR_SQL, "op13_embedding_dedup": EMBEDDING_SQL, "jaccard_components": LINKS_SQL}
