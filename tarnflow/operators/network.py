@@ -41,23 +41,31 @@ def upstream(edges: DataFrame, outlets: DataFrame, max_rounds: int = 10_000) ->
     raise ValueError("the network is deeper than max_rounds")
 
 
-def upstream_totals(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``(comid, n_upstream, area_km2)``: units and area that drain through each unit, itself included.
+def upstream_sums(edges: DataFrame, sums: list[str], least: list[str] = (), most: list[str] = (), max_rounds: int = 64) -> DataFrame:
+    """``(comid, ...)``: for each of ``edges (comid, nextdown, ...)`` the sums, least and greatest values of the named columns
+    over all that drains through it, itself included.
 
-    After ``k`` rounds a unit has the sum over all that reach it in fewer than ``2 ** k`` steps; it then adds the sums of
-    the units exactly that far above it.  A round has a row for each unit, and rounds are the logarithm of the depth.
+    After ``k`` rounds a row has what reaches it in fewer than ``2 ** k`` steps; it then adds what the rows exactly that
+    far above it have.  A round has a row for each, and rounds are the logarithm of the depth.
     """
-    sums = saved(edges.select("comid", F.lit(1).cast("long").alias("n"), F.col("area_km2").cast("double").alias("a")))
+    of = {**{c: (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))) for c in sums}, **{c: (F.min, F.least) for c in least}, **{c: (F.max, F.greatest) for c in most}}
+    now = saved(edges.select("comid", *of))
     jump = saved(edges.where("nextdown <> comid").select("comid", F.col("nextdown").alias("to")).join(edges.select(F.col("comid").alias("to")), "to", "left_semi").select("comid", "to"))
     for _ in range(max_rounds):
         if jump.isEmpty():
-            return sums.select("comid", F.col("n").alias("n_upstream"), F.col("a").alias("area_km2"))
-        gain = jump.join(sums, "comid").groupBy("to").agg(F.sum("n").alias("dn"), F.sum("a").alias("da"))
-        sums = saved(sums.join(gain, sums["comid"] == gain["to"], "left").select("comid", (F.col("n") + F.coalesce("dn", F.lit(0))).alias("n"), (F.col("a") + F.coalesce("da", F.lit(0.0))).alias("a")))
+            return now
+        gain = jump.join(now, "comid").groupBy(F.col("to").alias("comid")).agg(*(f(c).alias(f"d_{c}") for c, (f, _) in of.items()))
+        now = saved(now.join(gain, "comid", "left").select("comid", *(plus(F.col(c), F.col(f"d_{c}")).alias(c) for c, (_, plus) in of.items())))
         jump = saved(jump.join(jump.select(F.col("comid").alias("to"), F.col("to").alias("further")), "to").select("comid", F.col("further").alias("to")))
     raise ValueError("the network has a cycle or is too deep")
 
 
+def upstream_totals(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``(comid, n_upstream, area_km2)``: units and area that drain through each unit, itself included."""
+    units = edges.select("comid", "nextdown", F.lit(1).cast("long").alias("n_upstream"), F.col("area_km2").cast("double").alias("area_km2"))
+    return upstream_sums(units, ["n_upstream", "area_km2"], max_rounds=max_rounds)
+
+
 def d8_edges(cells: DataFrame) -> DataFrame:
     """``(raster_id, row, col, to_row, to_col)``; cells with other codes drain nowhere."""
     table = F.create_map(*(x for k, (r, c) in D8.items() for x in (F.lit(k), F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")))))
@@ -85,21 +93,21 @@ def search_radius(expected_km2: Column) -> Column:
     return F.when(expected_km2 > 0, F.least(F.lit(RADIUS[1]), F.greatest(F.lit(RADIUS[0]), RADIUS_OF_AREA * F.sqrt(expected_km2)))).otherwise(RADIUS[0])
 
 
-def snap(outlets: DataFrame, cells: DataFrame, radius: float | None, expected: bool = False) -> DataFrame:
+def snap(outlets: DataFrame, cells: DataFrame, radius: float | None, expected: bool = False, same: tuple[str, ...] = ()) -> DataFrame:
     """The best stream cell for each outlet ``(outlet_id, x, y, expected_km2)`` among ``(row, col, x, y, upa[, wth])``.
 
     Streams drain at least 1 km2 or have a width; without one within the radius any draining cell counts, then any.  Near
     and large cells score low; with an expected area, its relative error and the distance do.  Ties go to the first in row
-    order.  Cells are joined by tiles of the radius, so an outlet meets only the nine tiles around it; without a radius each
+    order.  Outlets and cells must agree in the columns ``same``.  Cells are joined by tiles of the radius, so an outlet meets only the nine tiles around it; without a radius each
     outlet has that of its expected area.  ``quality`` says by what it was chosen, and whether it is far.
     """
     size_of_tile = radius or RADIUS[1]
     tile = lambda c: F.floor(F.col(c) / size_of_tile)
     near = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
     o = outlets.withColumn("dx", near).withColumn("dy", near).withColumn("radius", F.lit(radius) if radius else search_radius(F.col("expected_km2") if expected else F.lit(None).cast("double")))
-    o = o.select("outlet_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "expected_km2", "radius", (tile("x") + F.col("dx")).alias("tx"), (tile("y") + F.col("dy")).alias("ty"))
+    o = o.select("outlet_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "expected_km2", "radius", *same, (tile("x") + F.col("dx")).alias("tx"), (tile("y") + F.col("dy")).alias("ty"))
     c = cells.withColumn("tx", tile("x")).withColumn("ty", tile("y"))
-    j = o.join(c, ["tx", "ty"]).withColumn("dist", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).where("dist <= radius")
+    j = o.join(c, ["tx", "ty", *same]).withColumn("dist", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).where("dist <= radius")
     stream = F.col("upa") >= 1
     if "wth" in cells.columns:
         stream = stream | F.coalesce(F.col("wth") > 0, F.lit(False))
@@ -116,18 +124,25 @@ def snap(outlets: DataFrame, cells: DataFrame, radius: float | None, expected: b
     return j.select("outlet_id", "row", "col", "dist", "upa", quality.alias("quality"))
 
 
-def snap_area_gated(outlets: DataFrame, cells: DataFrame, radius: float, tolerance: float = 0.1) -> DataFrame:
-    """The nearest stream cell within ``tolerance`` of the expected area; the plain snap, marked, where there is none."""
+def gated(outlets: DataFrame, cells: DataFrame, radius: float, tolerance: float = 0.1, same: tuple[str, ...] = ()) -> DataFrame:
+    """The nearest stream cell of each outlet whose area is within ``tolerance`` of the expected one; others have no row."""
     near = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
-    o = outlets.withColumn("dx", near).withColumn("dy", near).select("outlet_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "expected_km2", (F.floor(F.col("x") / radius) + F.col("dx")).alias("tx"), (F.floor(F.col("y") / radius) + F.col("dy")).alias("ty"))
-    c = cells.where("upa >= 1").withColumn("tx", F.floor(F.col("x") / radius)).withColumn("ty", F.floor(F.col("y") / radius))
+    tile = lambda c: F.floor(F.col(c) / radius)
+    o = outlets.where("expected_km2 > 0").withColumn("dx", near).withColumn("dy", near)
+    o = o.select("outlet_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "expected_km2", *same, (tile("x") + F.col("dx")).alias("tx"), (tile("y") + F.col("dy")).alias("ty"))
+    c = cells.where("upa >= 1").withColumn("tx", tile("x")).withColumn("ty", tile("y"))
     off = F.abs(F.col("upa") - F.col("expected_km2"))
-    j = o.join(c, ["tx", "ty"]).where(off <= tolerance * F.col("expected_km2"))
+    j = o.join(c, ["tx", "ty", *same]).where(off <= tolerance * F.col("expected_km2"))
     j = j.select("outlet_id", "row", "col", "upa", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")).alias("dist"), (off / F.col("expected_km2")).alias("rel")).where(F.col("dist") <= radius)
     w = Window.partitionBy("outlet_id").orderBy(F.round("dist", 3), "rel", "row", "col")
-    gated = j.withColumn("n", F.row_number().over(w)).where("n = 1").select("outlet_id", "row", "col", "dist", "upa", F.lit("area_gated").alias("quality"))
-    plain = snap(outlets, cells, radius).withColumn("quality", F.concat("quality", F.lit("_area_gate_no_match")))
-    return gated.union(plain.join(gated, "outlet_id", "left_anti"))
+    return j.withColumn("n", F.row_number().over(w)).where("n = 1").select("outlet_id", "row", "col", "dist", "upa", F.lit("area_gated").alias("quality"))
+
+
+def snap_area_gated(outlets: DataFrame, cells: DataFrame, radius: float, tolerance: float = 0.1, plain_radius: float | None = None, same: tuple[str, ...] = ()) -> DataFrame:
+    """The gated snap; the plain one, within ``plain_radius`` and marked, where there is none."""
+    found = gated(outlets, cells, radius, tolerance, same)
+    plain = snap(outlets, cells, plain_radius or radius, same=same).withColumn("quality", F.concat("quality", F.lit("_area_gate_no_match")))
+    return found.union(plain.join(found, "outlet_id", "left_anti"))
 
 
 def locate(points: DataFrame, boxes: DataFrame, near: float = 0.05) -> DataFrame:
@@ -146,20 +161,44 @@ def locate(points: DataFrame, boxes: DataFrame, near: float = 0.05) -> DataFrame
     return j.withColumn("n", F.row_number().over(w)).where("n = 1").select("point_id", "comid", "dist")
 
 
-def ring_relation(points: DataFrame, rings: DataFrame, near: float, size: float = 1.0) -> DataFrame:
-    """``(point_id, unit, inside, dist)`` of points ``(point_id, x, y)`` and polygons of rings ``(unit, ring, seq, x, y)`` whose
-    box lies within ``near``: whether the point is inside, by crossings, and how far the nearest edge is."""
+def tile_size(boxes: DataFrame) -> float:
+    """A size for tiles from the data: the mean longer side of the boxes, so that a box touches few tiles."""
+    side = boxes.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
+    return side if side and side > 0 else 1.0
+
+
+def ring_edges(rings: DataFrame) -> DataFrame:
+    """``(unit, x1, y1, x2, y2)``: the edges of rings ``(unit, ring, seq, x, y)``, each closed by itself."""
     w = Window.partitionBy("unit", "ring").orderBy("seq")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    e = rings.select("unit", F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce(F.lead("x").over(w), F.first("x").over(whole)).alias("x2"), F.coalesce(F.lead("y").over(w), F.first("y").over(whole)).alias("y2"))
+    return rings.select("unit", F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce(F.lead("x").over(w), F.first("x").over(whole)).alias("x2"), F.coalesce(F.lead("y").over(w), F.first("y").over(whole)).alias("y2"))
+
+
+def from_segment(px: Column, py: Column) -> tuple[Column, Column]:
+    """Distance of a point from the segment ``(x1, y1, x2, y2)``, and how far along the segment, from 0 to 1, it is nearest."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide((px - F.col("x1")) * dx + (py - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))))
+    return F.hypot(px - F.col("x1") - t * dx, py - F.col("y1") - t * dy), t
+
+
+def ring_relation(points: DataFrame, rings: DataFrame, near: float) -> DataFrame:
+    """``(point_id, unit, inside, dist)`` of points ``(point_id, x, y)`` and polygons of rings ``(unit, ring, seq, x, y)``:
+    whether the point is inside, by crossings, and how far the nearest edge is; exact up to ``near``, polygons farther
+    away may be left out.
+
+    Points meet boxes by tiles whose size follows from the data; edges are dealt to bands of height, so a point meets
+    only those of its band and within ``near`` of it.
+    """
     boxes = rings.groupBy("unit").agg((F.min("x") - near).alias("x0"), (F.min("y") - near).alias("y0"), (F.max("x") + near).alias("x1"), (F.max("y") + near).alias("y1"))
+    size, e = tile_size(boxes), ring_edges(rings)
+    height = max(e.agg(F.avg(F.abs(F.col("y2") - F.col("y1")))).first()[0] or 0.0, near, size / 64)
     p = points.withColumn("tx", F.floor(F.col("x") / size)).withColumn("ty", F.floor(F.col("y") / size))
-    pairs = p.join(in_tiles(boxes, size), ["tx", "ty"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("point_id", "unit", F.col("x").alias("px"), F.col("y").alias("py"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))))
-    far = F.hypot(F.col("px") - F.col("x1") - t * dx, F.col("py") - F.col("y1") - t * dy)
-    crosses = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < F.col("x1") + F.try_divide((F.col("py") - F.col("y1")) * dx, dy))
-    return pairs.join(e, "unit").groupBy("point_id", "unit").agg((F.count(F.when(crosses, 1)) % 2 == 1).alias("inside"), F.min(far).alias("edge")).select("point_id", "unit", "inside", F.when(F.col("inside"), 0.0).otherwise(F.col("edge")).alias("dist"))
+    band = lambda c: F.floor(c / height)
+    pairs = p.join(in_tiles(boxes, size), ["tx", "ty"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("point_id", "unit", F.col("x").alias("px"), F.col("y").alias("py"), band(F.col("y")).alias("band"))
+    e = e.withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2") - near), band(F.greatest("y1", "y2") + near))))
+    far, _ = from_segment(F.col("px"), F.col("py"))
+    crosses = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < F.col("x1") + F.try_divide((F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1")))
+    return pairs.join(e, ["unit", "band"]).groupBy("point_id", "unit").agg((F.count(F.when(crosses, 1)) % 2 == 1).alias("inside"), F.min(far).alias("edge")).select("point_id", "unit", "inside", F.when(F.col("inside"), 0.0).otherwise(F.col("edge")).alias("dist"))
 
 
 def locate_polygons(points: DataFrame, rings: DataFrame, sizes: DataFrame, near: float = 0.05) -> DataFrame:
