@@ -117,11 +117,13 @@ def precipitation_problem(p: DataFrame, unit: str | None = None) -> DataFrame:
 
 
 def extent(daily: DataFrame) -> DataFrame:
-    """Extent and digest of each series; the digest is over lines of day, tab and value to 6 places, in order of days."""
-    line = F.concat_ws("\t", F.date_format("d", "yyyy-MM-dd"), F.format_string("%.6f", "q"))
-    valid = daily.where("q IS NOT NULL").withColumn("_l", F.struct("d", line.alias("l")))
-    joined = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("_l")), lambda s: s["l"]))
-    return valid.groupBy("basin_id").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("n_days"), F.sha2(joined, 256).alias("digest"))
+    """Extent and digest of each series ``(basin_id, d, q)`` in m3/s: over all days, missing ones included, lines of day, tab
+    and the shortest text of the value, each ended by a line feed, in order of days; a missing value is ``nan``."""
+    value = F.when(F.col("q").isNull() | F.isnan("q"), "nan").otherwise(python_repr(F.col("q").cast("double")))
+    line = F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit("\t"), value, F.lit("\n"))
+    joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("d", line.alias("l")))), lambda s: s["l"]))
+    valid = F.count_if(F.col("q").isNotNull() & ~F.isnan("q") & (F.abs("q") < float("inf")))
+    return daily.groupBy("basin_id").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("n_days"), valid.alias("n_valid_days"), F.concat(F.lit("sha256:"), F.sha2(joined, 256)).alias("digest"), F.lit("m3/s").alias("units"))
 
 
 def python_repr(x: Column) -> Column:

@@ -637,9 +637,9 @@ def region_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.overlapping(views, boxes)
 
 
-@query(f"""WITH {DAILY} SELECT basin_id, min(d) AS first_day, max(d) AS last_day, count(*) AS n_days, sha256(string_agg(strftime(d, '%Y-%m-%d') || chr(9) || printf('%.6f', q), chr(10) ORDER BY d)) AS digest FROM daily GROUP BY 1""")
+@query(f"""WITH {DENSE} SELECT basin_id, min(d) AS first_day, max(d) AS last_day, count(*) AS n_days, count(q) AS n_valid_days, 'sha256:' || sha256(string_agg(strftime(d, '%Y-%m-%d') || chr(9) || coalesce(CAST(q AS VARCHAR), 'nan') || chr(10), '' ORDER BY d)) AS digest, 'm3/s' AS units FROM dense GROUP BY 1""")
 def series_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.extent(daily_flow(spark, sf_dir))
+    return series.extent(series.dense(daily_flow(spark, sf_dir)))
 
 
 @query("""SELECT CAST(ts AS DATE) AS d, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")

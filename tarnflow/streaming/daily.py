@@ -17,13 +17,19 @@ def deduplicated(events: DataFrame, key: str = "event_id", delay: str = "1 day")
 
 
 def run_available(events: DataFrame, at: str, mode: str = "complete") -> DataFrame:
-    """Process all that is there into files below ``at``, each batch's result in its own folder, and return the last one's."""
-    spark, written = events.sparkSession, []
+    """Process all that is there into files below ``at``, each batch's result in its own folder, and return the last one's.
+
+    The last result is the folder of the highest number, whichever run wrote it; so a restart without new events gives
+    what the run before it gave.
+    """
+    spark = events.sparkSession
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/result/{number}")
-        written.append(f"{at}/result/{number}")
 
     q = events.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(save).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(events.schema).parquet(written[-1]) if written else spark.createDataFrame([], events.schema)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/result")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = [int(f.getPath().getName()) for f in (store.listStatus(path) if store.exists(path) else ()) if store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return spark.read.schema(events.schema).parquet(f"{at}/result/{max(whole)}") if whole else spark.createDataFrame([], events.schema)
