@@ -103,6 +103,88 @@ def pearson3_ppf(p: float, skew: float) -> float:
     return skew / 2 * (q - a)
 
 
+def pearson3_quantiles(chances: np.ndarray, skews: np.ndarray) -> np.ndarray:
+    """``pearson3_ppf`` of every skew (rows) at every chance (columns), all at once.
+
+    Newton's rule on the gamma distribution from Wilson and Hilferty's cube, kept inside shrinking bounds; slight skews
+    take the cube itself, where it differs from the quantile by less than a hundred-thousandth of a deviation.
+    """
+    z = normal_ppf(chances)[None, :] + np.zeros((len(skews), 1))
+    k = skews[:, None] + np.zeros_like(z)
+    flat = np.abs(k) < 1e-5
+    k6 = np.where(flat, 1.0, k) / 6
+    out = np.where(flat, z, (2 / (6 * k6)) * ((1 + k6 * z - k6**2) ** 3 - 1))
+    steep = np.abs(k) >= 0.02
+    if not steep.any():
+        return out
+    g = np.abs(k[steep])
+    a, p = 4 / g**2, np.where(k[steep] > 0, (chances[None, :] + np.zeros_like(z))[steep], 1 - (chances[None, :] + np.zeros_like(z))[steep])
+    lgamma = np.vectorize(math.lgamma, otypes=[float])(a)
+    x = a + np.sign(k[steep]) * out[steep] * 2 / g
+    lo, hi = np.zeros_like(x), np.full_like(x, np.inf)
+    x = np.where(x > 0, x, a * p ** (1 / a) * 0.5 + 1e-300)
+    for _ in range(100):
+        f = _gamma_cdfs(x, a, lgamma) - p
+        lo, hi = np.where(f < 0, x, lo), np.where(f >= 0, x, hi)
+        slope = np.exp((a - 1) * np.log(x) - x - lgamma)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            new = x - f / slope
+        new = np.where((new > lo) & (new < hi), new, np.where(np.isfinite(hi), (lo + hi) / 2, 2 * x))
+        if (np.abs(new - x) <= 1e-14 * x).all():
+            break
+        x = new
+    out[steep] = np.sign(k[steep]) * g / 2 * (x - a)
+    return out
+
+
+def _gamma_cdfs(x: np.ndarray, a: np.ndarray, lgamma: np.ndarray) -> np.ndarray:
+    """``gamma_cdf`` of arrays; ``lgamma`` is that of ``a``."""
+    lead = np.exp(a * np.log(x) - x - lgamma)
+    low = x < a + 1
+    out = np.zeros_like(x)
+    u, n = x[low], a[low].copy()
+    term = 1 / n
+    total = term.copy()
+    while len(u) and (term > 1e-16 * total).any():
+        n += 1
+        term = term * u / n
+        total = total + term
+    out[low] = total * lead[low]
+    u, v = x[~low], a[~low]
+    b = u + 1 - v
+    c, d = np.full_like(b, 1e300), 1 / b
+    h = d.copy()
+    for i in range(1, 10_000):
+        if not len(u):
+            break
+        an = -i * (i - v)
+        b = b + 2
+        d = 1 / (an * d + b)
+        c = b + an / c
+        h = h * c * d
+        if (np.abs(c * d - 1) < 1e-15).all():
+            break
+    out[~low] = 1 - lead[~low] * h
+    return out
+
+
+def gumbel_mles(x: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """``gumbel_mle`` of every row at once; a row without spread has a scale of 0 at its value."""
+    low, mean = x.min(axis=1), x.mean(axis=1)
+    s = np.maximum(x.std(axis=1, ddof=1) * math.sqrt(6) / math.pi, 1e-300)
+    spread = (x - low[:, None]).any(axis=1)
+    y, s = x - low[:, None], np.where(spread, s, 1.0)
+    for _ in range(rounds):
+        w = np.exp(-y / s[:, None])
+        total = w.sum(axis=1)
+        m = (y * w).sum(axis=1) / total
+        v = ((y * y * w).sum(axis=1) / total - m * m) / (s * s)
+        new = s + (mean - low - m - s) / (v + 1)
+        s = np.where(spread, np.where(new > 0, new, s / 2), 1.0)
+    scale = np.where(spread, s, 0.0)
+    return low - scale * np.log(np.exp(-y / s[:, None]).mean(axis=1)), scale
+
+
 def gumbel_mom(x: np.ndarray) -> tuple[float, float]:
     scale = float(x.std(ddof=1)) * math.sqrt(6) / math.pi
     return float(x.mean()) - EULER * scale, scale

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,18 +12,20 @@ from pyspark.sql import functions as F
 D8 = {1: (0, 1), 2: (1, 1), 4: (1, 0), 8: (1, -1), 16: (0, -1), 32: (-1, -1), 64: (-1, 0), 128: (-1, 1)}
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder; only a session without ``spark.checkpoint.dir`` gets one of its own."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnflow-"))
-    return df.checkpoint()
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a session without it gets one of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarnflow-"))
+        at = spark.sparkContext.getCheckpointDir()
+    return at.rstrip("/")
 
 
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share."""
-    saved(spark.range(0))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder, which is computed once and which a lost executor's tasks read again."""
+    path = f"{shared_folder(df.sparkSession)}/tarnflow-step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def upstream(edges: DataFrame, outlets: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -49,14 +52,15 @@ def upstream_sums(edges: DataFrame, sums: list[str], least: list[str] = (), most
     far above it have.  A round has a row for each, and rounds are the logarithm of the depth.
     """
     of = {**{c: (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))) for c in sums}, **{c: (F.min, F.least) for c in least}, **{c: (F.max, F.greatest) for c in most}}
-    now = saved(edges.select("comid", *of))
-    jump = saved(edges.where("nextdown <> comid").select("comid", F.col("nextdown").alias("to")).join(edges.select(F.col("comid").alias("to")), "to", "left_semi").select("comid", "to"))
+    ids = edges.select(F.col("comid").alias("nextdown"), F.lit(True).alias("there"))
+    now = saved(edges.join(ids, "nextdown", "left").select("comid", F.when(F.col("there") & (F.col("nextdown") != F.col("comid")), F.col("nextdown")).alias("to"), *of))
     for _ in range(max_rounds):
-        if jump.isEmpty():
-            return now
-        gain = jump.join(now, "comid").groupBy(F.col("to").alias("comid")).agg(*(f(c).alias(f"d_{c}") for c, (f, _) in of.items()))
-        now = saved(now.join(gain, "comid", "left").select("comid", *(plus(F.col(c), F.col(f"d_{c}")).alias(c) for c, (_, plus) in of.items())))
-        jump = saved(jump.join(jump.select(F.col("comid").alias("to"), F.col("to").alias("further")), "to").select("comid", F.col("further").alias("to")))
+        moving = now.where("to IS NOT NULL")
+        if moving.isEmpty():
+            return now.drop("to")
+        gain = moving.groupBy(F.col("to").alias("comid")).agg(*(f(c).alias(f"d_{c}") for c, (f, _) in of.items()))
+        far = now.select(F.col("comid").alias("to"), F.col("to").alias("further"))
+        now = saved(now.join(gain, "comid", "left").join(far, "to", "left").select("comid", F.col("further").alias("to"), *(plus(F.col(c), F.col(f"d_{c}")).alias(c) for c, (_, plus) in of.items())))
     raise ValueError("the network has a cycle or is too deep")
 
 

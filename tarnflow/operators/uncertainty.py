@@ -13,27 +13,57 @@ from tarnflow.operators import periods
 RESAMPLES, LEVEL, MIN_YEARS, COMPLETE = 2000, 0.9, 10, 0.95
 
 
-def _statistics(q: np.ndarray) -> dict[str, float]:
-    m = q.mean()
-    return {"q_mean": m, "q_median": np.median(q), "q5": np.quantile(q, 0.05), "q95": np.quantile(q, 0.95), "flow_variability": q.std() / m if m > 0 else np.nan}
+def draws(resamples: int, n: int) -> np.ndarray:
+    """Which of ``n`` things each draw takes, a row a resample: by number and place alone, as ``drawn_years`` has it."""
+    x = np.arange(resamples, dtype=np.int64)[:, None] * 7919 + np.arange(n, dtype=np.int64)[None, :] * 104729 + 12345
+    for _ in range(2):
+        x = x * 48271 % 2147483647
+    return x // 65536 % n
 
 
-def flow_intervals(daily: DataFrame, resamples: int = RESAMPLES, level: float = LEVEL, min_years: int = MIN_YEARS, seed: int = 0) -> DataFrame:
-    """``(basin_id, statistic, value, ci_low, ci_high, n_years, reason)``; refused below ``min_years`` complete years."""
+def _drawn_statistics(q: np.ndarray, year: np.ndarray, n_years: int, times: np.ndarray) -> dict[str, np.ndarray]:
+    """The statistics of each resample (row of ``times``, how often it takes each year) of days ``q``, sorted by value.
+
+    Sums come from sums of years; a quantile is where the running count of days, each as often as its year, passes it.
+    """
+    sums = lambda v: times @ np.bincount(year, v, n_years)
+    n = sums(np.ones(len(q)))
+    mean = sums(q) / n
+    spread = np.sqrt(np.maximum(sums((q - q.mean()) ** 2) / n - (mean - q.mean()) ** 2, 0))
+    out = {"q_mean": mean, "q_median": 0.5, "q5": 0.05, "q95": 0.95, "flow_variability": np.where(mean > 0, spread / np.where(mean > 0, mean, 1), np.nan)}
+    running = np.cumsum(times[:, year], axis=1)
+    for name in ("q_median", "q5", "q95"):
+        h = (n - 1) * out[name]
+        low = np.floor(h)
+        below, above = (np.array([np.searchsorted(r, k, side="right") for r, k in zip(running, i)]) for i in (low, np.minimum(low + 1, n - 1)))
+        out[name] = q[below] + (h - low) * (q[above] - q[below])
+    return out
+
+
+AT_ONCE = 1 << 22  #: days of resamples in memory at once
+
+
+def flow_intervals(daily: DataFrame, resamples: int = RESAMPLES, level: float = LEVEL, min_years: int = MIN_YEARS) -> DataFrame:
+    """``(basin_id, statistic, value, ci_low, ci_high, n_years, reason)``; refused below ``min_years`` complete years.
+
+    Whole water years are drawn, partial ones too, by the fixed rule; no resample is put together, its years are counted.
+    """
     x = daily.where("q IS NOT NULL").withColumn("wy", periods.label(F.col("d"), "water"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("d")
+        frame = frame.sort_values(["q", "d"])
         q, wy = frame["q"].to_numpy(float), frame["wy"].to_numpy()
-        years, starts, n = np.unique(wy, return_index=True, return_counts=True)
-        groups = [q[s : s + k] for s, k in zip(starts, n)]
-        whole = int(sum(k >= COMPLETE * (366 if y % 4 == 0 and (y % 100 or y % 400 == 0) else 365) for y, k in zip(years, n)))
-        point = _statistics(q)
+        years, year, n = np.unique(wy, return_inverse=True, return_counts=True)
+        whole = int(sum(k >= COMPLETE * (366 if y % 4 == 0 and (y % 100 or y % 400 == 0) else 365) - 1e-9 for y, k in zip(years, n)))
+        point = {k: v[0] for k, v in _drawn_statistics(q, year, len(years), np.ones((1, len(years)), np.int64)).items()}
         lo = hi = dict.fromkeys(point, np.nan)
         if whole >= min_years:
-            rng = np.random.default_rng(seed)
-            drawn = pd.DataFrame([_statistics(np.concatenate([groups[i] for i in rng.integers(0, len(groups), len(groups))])) for _ in range(resamples)])
-            lo, hi = (drawn.quantile((1 + s * level) / 2).to_dict() for s in (-1, 1))
+            taken = draws(resamples, len(years))
+            times = np.stack([np.bincount(t, minlength=len(years)) for t in taken])
+            step = max(1, AT_ONCE // len(q))
+            parts = [_drawn_statistics(q, year, len(years), times[a : a + step]) for a in range(0, resamples, step)]
+            drawn = {k: np.concatenate([p[k] for p in parts]) for k in point}
+            lo, hi = ({k: np.quantile(v[~np.isnan(v)], (1 + s * level) / 2) if (~np.isnan(v)).any() else np.nan for k, v in drawn.items()} for s in (-1, 1))
         return pd.DataFrame([{"basin_id": frame["basin_id"].iloc[0], "statistic": k, "value": v, "ci_low": lo[k], "ci_high": hi[k], "n_years": whole, "reason": None if whole >= min_years else "too_few_complete_years"} for k, v in point.items()])
 
     kind = dict(daily.dtypes)["basin_id"]

@@ -214,9 +214,22 @@ def plotting_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.plotting_positions(_maxima(spark, sf_dir))
 
 
-@query()
+#: Which year each draw takes, by the fixed rule, of ``u (basin_id, m)`` basins of ``m`` years.
+_DRAW = "((((rep * 7919 + i * 104729 + 12345) * 48271) % 2147483647) * 48271 % 2147483647) // 65536 % m"
+
+
+@query(f"""WITH RECURSIVE {_MAXIMA}, u AS (SELECT basin_id, list(value ORDER BY period) AS xs, count(*) AS m FROM m GROUP BY 1 HAVING count(*) >= 5),
+s AS (SELECT basin_id, m, -1 AS rep, xs FROM u UNION ALL SELECT basin_id, m, rep, list(xs[{_DRAW} + 1] ORDER BY i) FROM u CROSS JOIN generate_series(0, 499) r(rep) CROSS JOIN generate_series(0, 99) q(i) WHERE i < m GROUP BY basin_id, m, rep),
+y AS (SELECT basin_id, m, rep, list_min(xs) AS low, list_avg(xs) - list_min(xs) AS mean, list_transform(xs, lambda x: x - list_min(xs)) AS y, list_max(xs) > list_min(xs) AS varied, list_stddev_samp(xs) * sqrt(6.0) / pi() AS s0 FROM s),
+n(k, basin_id, m, rep, low, mean, y, varied, s) AS (SELECT 0, basin_id, m, rep, low, mean, y, varied, CASE WHEN varied THEN s0 ELSE 1 END FROM y UNION ALL
+    SELECT k + 1, basin_id, m, rep, low, mean, y, varied, CASE WHEN NOT varied THEN 1 WHEN t > 0 THEN t ELSE s / 2 END FROM (SELECT *, s + (mean - a / w - s) / ((b / w - (a / w) * (a / w)) / (s * s) + 1) AS t
+        FROM (SELECT *, list_sum(list_transform(y, lambda v: exp(-v / s))) AS w, list_sum(list_transform(y, lambda v: v * exp(-v / s))) AS a, list_sum(list_transform(y, lambda v: v * v * exp(-v / s))) AS b FROM n WHERE k < 40))),
+f AS (SELECT basin_id, m, rep, CASE WHEN varied THEN s ELSE 0 END AS scale, low - CASE WHEN varied THEN s ELSE 0 END * ln(list_avg(list_transform(y, lambda v: exp(-v / s)))) AS loc FROM n WHERE k = 40),
+l AS (SELECT basin_id, m, rep, t, loc - scale * ln(-ln(1 - 1 / t)) AS level FROM f CROSS JOIN (VALUES (2), (5), (10), (25), (50), (100), (200), (500)) p(t))
+SELECT basin_id, m AS n_years, CAST(t AS INTEGER) AS return_period, round(max(level) FILTER (rep = -1), 3) AS level, round(quantile_cont(level, 0.05) FILTER (rep >= 0), 3) AS ci_low, round(quantile_cont(level, 0.95) FILTER (rep >= 0), 3) AS ci_high FROM l GROUP BY 1, 2, 3""")
 def flood_frequency_mle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.flood_frequency(_maxima(spark, sf_dir), "gumbel", "mle")
+    f = frequency.flood_frequency(_maxima(spark, sf_dir), "gumbel", "mle")
+    return f.select("basin_id", "n_years", "return_period", *(F.round(c, 3).alias(c) for c in ("level", "ci_low", "ci_high")))
 
 
 @query()
@@ -302,9 +315,17 @@ def qualifier_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uncertainty.exposure(daily_flow(spark, sf_dir).withColumn("qualifiers", marks).withColumn("approval", F.when(F.year("d") >= 2000, "P").otherwise("A")))
 
 
-@query()
+@query(f"""WITH {DAILY.replace("daily AS", "daily0 AS")}, daily AS (SELECT 0 AS basin_id, d, sum(q) AS q FROM daily0 GROUP BY d), x AS (SELECT basin_id, q, CAST(year(d) + CASE WHEN month(d) >= 10 THEN 1 ELSE 0 END AS INTEGER) AS wy FROM daily),
+y AS (SELECT basin_id, wy, row_number() OVER (PARTITION BY basin_id ORDER BY wy) - 1 AS k, count(*) >= 0.95 * date_diff('day', make_date(wy - 1, 10, 1), make_date(wy, 10, 1)) AS whole FROM x GROUP BY 1, 2), u AS (SELECT basin_id, count(*) AS m, count(*) FILTER (whole) AS n_years FROM y GROUP BY 1),
+t AS (SELECT basin_id, -1 AS rep, wy, 1 AS times FROM y UNION ALL SELECT d.basin_id, rep, wy, count(*) FROM (SELECT basin_id, rep, {_DRAW} AS k FROM u CROSS JOIN generate_series(0, 1999) r(rep) CROSS JOIN generate_series(0, 99) q(i) WHERE i < m AND n_years >= 3) d JOIN y ON y.basin_id = d.basin_id AND y.k = d.k GROUP BY 1, 2, 3),
+e AS (SELECT t.basin_id, rep, q, unnest(range(times)) FROM t JOIN x ON x.basin_id = t.basin_id AND x.wy = t.wy),
+s AS (SELECT basin_id, rep, avg(q) AS q_mean, median(q) AS q_median, quantile_cont(q, 0.05) AS q5, quantile_cont(q, 0.95) AS q95, CASE WHEN avg(q) > 0 THEN stddev_pop(q) / avg(q) END AS flow_variability FROM e GROUP BY 1, 2),
+v AS (UNPIVOT s ON q_mean, q_median, q5, q95, flow_variability INTO NAME statistic VALUE v)
+SELECT v.basin_id, statistic, round(max(v) FILTER (rep = -1), 4) AS value, round(quantile_cont(v, 0.05) FILTER (rep >= 0), 4) AS ci_low, round(quantile_cont(v, 0.95) FILTER (rep >= 0), 4) AS ci_high, any_value(n_years) AS n_years, CASE WHEN any_value(n_years) < 3 THEN 'too_few_complete_years' END AS reason FROM v JOIN u ON u.basin_id = v.basin_id GROUP BY 1, 2""")
 def flow_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return uncertainty.flow_intervals(_all_regions(spark, sf_dir), min_years=3)
+    out = uncertainty.flow_intervals(_all_regions(spark, sf_dir), min_years=3)
+    number = lambda c: F.round(F.when(~F.isnan(c), F.col(c)), 4).alias(c)
+    return out.select("basin_id", "statistic", *map(number, ("value", "ci_low", "ci_high")), "n_years", "reason")
 
 
 @query()

@@ -105,3 +105,34 @@ def test_route_and_states(spark):
     rows = [(1, 1, "a", 10.0, False), (1, 2, "b", 20.0, True), (1, 3, "c", 30.0, True), (2, 1, "a", 10.0, False)]
     got = {r.outlet_id: (r.tier, r.area_km2, r.n_tried, r.disagrees, r.last_resort) for r in reliability.route(spark.createDataFrame(rows, "outlet_id int, tier_rank int, tier string, area_km2 double, ok boolean")).collect()}
     assert got == {1: ("b", 20.0, 2, True, False), 2: ("a", 10.0, 1, False, True)}
+
+
+def test_all_fits_at_once_equal_one_by_one():
+    from tarnflow.functions import special as sp
+
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.gumbel(1000, 300, (20, 12)), np.full((1, 12), 7.0), rng.lognormal(5, 1, (20, 12))])
+    loc, scale = sp.gumbel_mles(x)
+    for k in [*range(20), *range(21, 41)]:
+        assert (loc[k], scale[k]) == pytest.approx(sp.gumbel_mle(x[k]), rel=1e-9)
+    assert (loc[20], scale[20]) == (7.0, 0.0)
+    chances, skews = np.array([0.01, 0.2, 0.5, 0.9, 0.99, 0.998]), np.array([0.0, 1e-6, 0.005, -0.005, 0.021, -0.03, 0.3, -0.7, 1.5, -2.2, 4.0])
+    got = sp.pearson3_quantiles(chances, skews)
+    for i, k in enumerate(skews):
+        assert got[i] == pytest.approx([sp.pearson3_ppf(p, k) for p in chances], abs=1e-5 if abs(k) < 0.02 else 1e-9)
+
+
+def test_drawn_quantiles_equal_those_of_drawn_days():
+    from tarnflow.operators import uncertainty as u
+
+    rng = np.random.default_rng(3)
+    wy = np.sort(rng.integers(0, 6, 400))
+    q = np.round(rng.gamma(1, 3, 400), 1)
+    by = np.argsort(q, kind="stable")
+    taken = u.draws(50, 6)
+    times = np.stack([np.bincount(t, minlength=6) for t in taken])
+    got = u._drawn_statistics(q[by], wy[by], 6, times)
+    for r, t in enumerate(taken):
+        days = np.concatenate([q[wy == k] for k in t])
+        want = (days.mean(), np.median(days), np.quantile(days, 0.05), np.quantile(days, 0.95), days.std() / days.mean())
+        assert [got[k][r] for k in ("q_mean", "q_median", "q5", "q95", "flow_variability")] == pytest.approx(want)

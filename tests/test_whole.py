@@ -1,6 +1,7 @@
 """Registered queries do the whole job: all units, the full number of draws."""
 
 import os
+from unittest.mock import MagicMock
 
 import pytest
 
@@ -21,7 +22,7 @@ def test_draws_are_the_default(monkeypatch, name):
     seen = []
     monkeypatch.setattr(hydro, "_maxima", lambda *a: None)
     monkeypatch.setattr(hydro, "_all_regions", lambda *a: None)
-    monkeypatch.setattr(frequency, "flood_frequency", lambda df, *a, **k: seen.append(k.get("n_bootstrap", 500)))
-    monkeypatch.setattr(uncertainty, "flow_intervals", lambda df, **k: seen.append(k.get("resamples", 2000)))
+    monkeypatch.setattr(frequency, "flood_frequency", lambda df, *a, **k: seen.append(k.get("n_bootstrap", 500)) or MagicMock())
+    monkeypatch.setattr(uncertainty, "flow_intervals", lambda df, **k: seen.append(k.get("resamples", 2000)) or MagicMock())
     hydro.QUERIES[name](None, "")
     assert seen in ([500], [2000])
