@@ -62,10 +62,10 @@ def shape_indices(area: Column, perimeter: Column, length: Column) -> dict[str,
 def relief(cells: DataFrame, outlets: DataFrame, radius: int = 3) -> DataFrame:
     """``(raster_id, z_max, z_outlet, h_m)``: the outlet's height is the least in the smallest ring that has a value."""
     tops = cells.groupBy("raster_id").agg(F.max("value").alias("z_max"))
-    near = cells.alias("c").join(outlets.alias("o"), F.expr(f"c.raster_id = o.raster_id AND abs(c.row - o.row) <= {radius} AND abs(c.col - o.col) <= {radius} AND c.value IS NOT NULL"))
-    ring = F.greatest(F.abs(F.col("c.row") - F.col("o.row")), F.abs(F.col("c.col") - F.col("o.col")))
-    ring = F.when(ring <= 1, F.when(ring == 0, 0).otherwise(1)).otherwise(ring)
-    low = near.groupBy("c.raster_id").agg(F.min(F.struct(ring.alias("ring"), F.col("c.value").alias("z")))["z"].alias("z_outlet"))
+    # an outlet asks for the cells around it by their keys
+    asks = F.explode(F.array(*(F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col"), F.lit(max(abs(r), abs(c))).alias("ring")) for r in range(-radius, radius + 1) for c in range(-radius, radius + 1))))
+    near = outlets.select("raster_id", asks.alias("a")).select("raster_id", "a.*").join(cells.where("value IS NOT NULL").select("raster_id", "row", "col", "value"), ["raster_id", "row", "col"])
+    low = near.groupBy("raster_id").agg(F.min(F.struct("ring", F.col("value").alias("z")))["z"].alias("z_outlet"))
     j = tops.join(low, "raster_id", "left")
     h = F.when(F.col("z_outlet").isNotNull(), F.greatest(F.lit(0.0), F.col("z_max") - F.col("z_outlet")))
     return j.withColumn("h_m", h)

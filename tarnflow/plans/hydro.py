@@ -280,8 +280,8 @@ def ukih_baseflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One series without gaps between most days: orders of all regions."""
-    return daily_flow(spark, sf_dir).groupBy("d").agg(F.sum("q").alias("q")).select(F.lit(0).alias("basin_id"), "d", "q")
+    """Two series with few gaps: orders of the even regions, and of the odd ones."""
+    return daily_flow(spark, sf_dir).groupBy((F.col("basin_id") % 2).alias("basin_id"), "d").agg(F.sum("q").alias("q"))
 
 
 @query()
@@ -315,7 +315,7 @@ def qualifier_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uncertainty.exposure(daily_flow(spark, sf_dir).withColumn("qualifiers", marks).withColumn("approval", F.when(F.year("d") >= 2000, "P").otherwise("A")))
 
 
-@query(f"""WITH {DAILY.replace("daily AS", "daily0 AS")}, daily AS (SELECT 0 AS basin_id, d, sum(q) AS q FROM daily0 GROUP BY d), x AS (SELECT basin_id, q, CAST(year(d) + CASE WHEN month(d) >= 10 THEN 1 ELSE 0 END AS INTEGER) AS wy FROM daily),
+@query(f"""WITH {DAILY.replace("daily AS", "daily0 AS")}, daily AS (SELECT basin_id % 2 AS basin_id, d, sum(q) AS q FROM daily0 GROUP BY 1, 2), x AS (SELECT basin_id, q, CAST(year(d) + CASE WHEN month(d) >= 10 THEN 1 ELSE 0 END AS INTEGER) AS wy FROM daily),
 y AS (SELECT basin_id, wy, row_number() OVER (PARTITION BY basin_id ORDER BY wy) - 1 AS k, count(*) >= 0.95 * date_diff('day', make_date(wy - 1, 10, 1), make_date(wy, 10, 1)) AS whole FROM x GROUP BY 1, 2), u AS (SELECT basin_id, count(*) AS m, count(*) FILTER (whole) AS n_years FROM y GROUP BY 1),
 t AS (SELECT basin_id, -1 AS rep, wy, 1 AS times FROM y UNION ALL SELECT d.basin_id, rep, wy, count(*) FROM (SELECT basin_id, rep, {_DRAW} AS k FROM u CROSS JOIN generate_series(0, 1999) r(rep) CROSS JOIN generate_series(0, 99) q(i) WHERE i < m AND n_years >= 3) d JOIN y ON y.basin_id = d.basin_id AND y.k = d.k GROUP BY 1, 2, 3),
 e AS (SELECT t.basin_id, rep, q, unnest(range(times)) FROM t JOIN x ON x.basin_id = t.basin_id AND x.wy = t.wy),
@@ -508,10 +508,13 @@ def geomorphic_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *(F.round(c, digits.get(n, 8)).alias(n) for n, c in (shape | streams_ | more).items()))
 
 
-@query(f"""WITH {_GRID}, o AS (SELECT 5 AS r, 5 AS c), n AS (SELECT greatest(abs(g.r - o.r), abs(g.c - o.c)) AS ring, g.v FROM grid g, o WHERE abs(g.r - o.r) <= 3 AND abs(g.c - o.c) <= 3)
-SELECT 0 AS raster_id, (SELECT max(v) FROM grid) AS z_max, (SELECT v FROM n ORDER BY ring, v LIMIT 1) AS z_outlet, greatest(0, (SELECT max(v) FROM grid) - (SELECT v FROM n ORDER BY ring, v LIMIT 1)) AS h_m""")
+@query("""WITH g AS (SELECT p_partkey // 500 AS ra, p_partkey // 50 AS r, p_partkey % 50 AS c, CAST(p_size AS DOUBLE) AS v FROM part), t AS (SELECT ra, max(v) AS z FROM g GROUP BY 1),
+n AS (SELECT o.ra, arg_min(g.v, struct_pack(ring := greatest(abs(g.r - o.r), abs(g.c - o.c)), v := g.v)) AS zo FROM g o JOIN g ON g.ra = o.ra AND abs(g.r - o.r) <= 3 AND abs(g.c - o.c) <= 3 WHERE o.r % 10 = 5 AND o.c = 5 GROUP BY 1)
+SELECT CAST(t.ra AS INTEGER) AS raster_id, z AS z_max, zo AS z_outlet, CASE WHEN zo IS NOT NULL THEN greatest(0, z - zo) END AS h_m FROM t LEFT JOIN n ON n.ra = t.ra""")
 def relief_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terrain.relief(_grid(spark, sf_dir), spark.createDataFrame([(0, 5, 5)], "raster_id int, row int, col int"))
+    """Relief of rasters of ten rows, each above an outlet of its own."""
+    cells = _grid(spark, sf_dir).withColumn("raster_id", F.floor(F.col("row") / 10).cast("int"))
+    return terrain.relief(cells, cells.where((F.col("row") % 10 == 5) & (F.col("col") == 5)).select("raster_id", "row", "col"))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:

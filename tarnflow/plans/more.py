@@ -191,7 +191,7 @@ dr AS (SELECT basin_id, rep, i, ((((rep * 7919 + i * 104729 + 12345) * 48271) %
 dn AS (SELECT d.basin_id, d.rep, x.n, x.a, x.b FROM dr d JOIN ix x ON x.basin_id = d.basin_id AND x.k = d.k)"""
 _OUT = "SELECT g.basin_id, round(value, 6) AS value, CASE WHEN n_years >= 3 THEN round(lo, 6) END AS ci_low, CASE WHEN n_years >= 3 THEN round(hi, 6) END AS ci_high, CAST(n_days AS BIGINT) AS n_days, n_years, n_partial, n_years < 3 AS refused"
 _COUNTS = "g AS (SELECT basin_id, count(*) FILTER (whole) AS n_years, count(*) FILTER (NOT whole) AS n_partial, sum(n) AS n_days FROM y GROUP BY 1)"
-_DAILY_REGIONS = DAILY.replace("daily AS", "daily0 AS") + ", daily AS (SELECT 0 AS basin_id, d, sum(q) AS q FROM daily0 GROUP BY d)"
+_DAILY_REGIONS = DAILY.replace("daily AS", "daily0 AS") + ", daily AS (SELECT basin_id % 2 AS basin_id, d, sum(q) AS q FROM daily0 GROUP BY 1, 2)"
 _WET = "p AS (SELECT CAST(l_shipdate AS DATE) AS d, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS p FROM lineitem GROUP BY 1), pair AS (SELECT a.basin_id, a.d, a.q, p.p FROM daily a JOIN p ON p.d = a.d)"
 
 

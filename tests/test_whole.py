@@ -6,7 +6,7 @@ from unittest.mock import MagicMock
 import pytest
 
 from tarnflow.operators import frequency, uncertainty
-from tarnflow.plans import hydro
+from tarnflow.plans import basins, hydro
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +26,11 @@ def test_draws_are_the_default(monkeypatch, name):
     monkeypatch.setattr(uncertainty, "flow_intervals", lambda df, **k: seen.append(k.get("resamples", 2000)) or MagicMock())
     hydro.QUERIES[name](None, "")
     assert seen in ([500], [2000])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["relief_metrics", "runoff_ratio_years", "elasticity_years", "locate_polygon", "nearest_reach", "adaptive_windows", "unit_drainage", "resampled_raster"])
+def test_joins_have_keys(spark, name):
+    df = basins.QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
