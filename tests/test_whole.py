@@ -6,7 +6,7 @@ from unittest.mock import MagicMock
 import pytest
 
 from tarnflow.operators import frequency, uncertainty
-from tarnflow.plans import basins, hydro
+from tarnflow.plans import basins, hydro, more
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +31,6 @@ def test_draws_are_the_default(monkeypatch, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", ["relief_metrics", "runoff_ratio_years", "elasticity_years", "locate_polygon", "nearest_reach", "adaptive_windows", "unit_drainage", "resampled_raster"])
 def test_joins_have_keys(spark, name):
-    df = basins.QUERIES[name](spark, SF)
+    df = (basins.QUERIES | more.QUERIES)[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
