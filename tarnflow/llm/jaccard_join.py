@@ -10,10 +10,11 @@ Empty parts say nothing: a set with more of them than a band allows for is dealt
 possible partners, for which the same holds.
 
 Links.  In a tile, the set that is in most shared tiles is the pivot; each set is compared with the pivot it meets most
-often.  Where the classes found so far leave several in one tile, its sets are compared in blocks of about ``BLOCK`` by
-class and size, block against block as far as sizes allow; blocks of one class are not compared with each other.  Every comparison first
-bounds the overlap from above by bit counts of hashed bitmaps, then intersects the sorted arrays exactly.  No link
-between classes is lost, and pairs are never listed.
+often.  Where the classes found so far leave several in one tile, its sets are compared with each other; of tiles with
+the same sets, one is enough.  A tile of more than ``BLOCK`` sets is cut into blocks by class and size, block against
+block as far as sizes allow; blocks of one class are not compared with each other.  Every comparison first bounds the
+overlap from above by bit counts of hashed bitmaps, then intersects the sorted arrays exactly.  Only sets that share a
+tile meet, no link between classes is lost, and pairs are never listed.
 
 Null or empty text, or no word: an empty set, linked with nothing.  Fewer words than a shingle: one shingle of all.
 Null ids: smaller than all others.  Rows that repeat an id are separate rows of one document.  An empty table gives no
@@ -40,6 +41,7 @@ GROWTH = 1.5  #: of band limits
 BLOCK = 256  #: sets compared with as many others at once
 COLUMNS = 4096  #: shingles that a count of overlaps takes at once
 SALTS = 8
+BUNDLE = 1024, 1 << 20  #: rows, and shingles, of comparisons that one call handles
 FILTER_BITS = 1 << 20, 1 << 27  #: least and most of the filter that selects documents to read again: 16 MB at most
 
 
@@ -274,16 +276,17 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
 
 def _placed(members: DataFrame) -> DataFrame:
-    """``members`` with a ``block`` of about ``BLOCK`` sets of similar size: parts of one class if that is large, else small
-    classes together.  Only counts decide, so no task sees a whole cluster."""
+    """``members`` with a ``block``: one for a cluster of up to ``BLOCK`` sets, else of about ``BLOCK`` sets of similar size,
+    parts of one class if that is large, else small classes together.  Only counts decide, so no task sees a whole cluster."""
     sized = members.withColumn("size", F.floor(F.log2(F.col("n")) * 2))
     counts = sized.groupBy("cluster", "size", "class").agg(F.count("*").alias("own"))
     counts = counts.withColumn("large", F.col("own") > BLOCK // 2)
     small = counts.where("NOT large").groupBy("cluster", "size").agg(F.sum("own").alias("rest"))
     groups = counts.join(small, ["cluster", "size"], "left").withColumn("parts", F.ceil(F.when(F.col("large"), F.col("own")).otherwise(F.col("rest")) / BLOCK))
-    groups = _base.materialize(groups.select("cluster", "size", "class", "large", "parts"), "groups")
+    groups = groups.join(counts.groupBy("cluster").agg((F.sum("own") <= BLOCK).alias("one")), "cluster")
+    groups = _base.materialize(groups.select("cluster", "size", "class", "large", "parts", "one"), "groups")
     part = F.pmod(F.xxhash64(F.when(F.col("large"), F.col("sid")).otherwise(F.col("class"))), F.col("parts"))
-    block = F.xxhash64("size", F.when(F.col("large"), F.col("class")), part)
+    block = F.when(F.col("one"), F.lit(0).cast("long")).otherwise(F.xxhash64("size", F.when(F.col("large"), F.col("class")), part))
     return sized.join(groups, ["cluster", "size", "class"]).withColumn("block", block).select("cluster", "sid", "class", "n", "block")
 
 
@@ -320,42 +323,76 @@ def _facing(table: pa.Table, group: np.ndarray) -> Iterator[tuple[int, np.ndarra
             yield a, others
 
 
+def _bundled(rows: DataFrame, n_rows: int, n_shingles: int) -> DataFrame:
+    """``rows`` with the ``bundle`` of their comparison ``(cluster, i, j)``, so that one call handles many small ones."""
+    n = max(1, -(-n_rows // BUNDLE[0]), -(-n_shingles // BUNDLE[1]))
+    return rows.withColumn("bundle", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(n)))
+
+
+def _comparisons(table: pa.Table) -> Iterator[pa.Table]:
+    """The rows of each comparison of a bundle."""
+    keys = [table[c].to_numpy() for c in ("j", "i", "cluster")]
+    by = np.lexsort(keys)
+    ends = np.flatnonzero(np.logical_or.reduce([np.diff(k[by]) != 0 for k in keys])) + 1
+    table = table.take(pa.array(by)).combine_chunks()
+    at = [0, *ends.tolist(), len(by)]
+    for a, b in zip(at[:-1], at[1:]):
+        if b - a > 1:
+            yield table.slice(a, b - a)
+
+
+def _distinct_tiles(left: DataFrame) -> DataFrame:
+    """``left (tile, sid, class)`` without tiles that hold the same sets as another one; 128 bits tell sets of sets apart."""
+    seen = left.groupBy("tile").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
+    first = seen.groupBy("m", "x", "y").agg(F.min("tile").alias("tile")).select("tile")
+    return left.join(first, "tile", "left_semi")
+
+
 def _block_links(members: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between classes among ``members (cluster, sid, class)``, block against block.
+    """Links ``(a, b)`` between classes among the sets of each cluster of ``members (cluster, sid, class)``.
 
     First by bitmaps alone, which leaves the sets that still have a possible partner; then these by their arrays.
     """
 
-    def bounded(table: pa.Table) -> pa.Table:
-        n, group = table["n"].to_numpy(), np.unique(table["class"].to_numpy(), return_inverse=True)[1]
-        raw = [_words64(v) for v in table["bits"]]
-        w = min(map(len, raw))
-        maps, alive = np.stack([folded(x, w) for x in raw]), np.zeros(len(n), bool)
-        for a, others in _facing(table, group):
-            left = _candidates_of(maps, n, a, others, percent)
-            if len(left):
-                alive[a] = alive[left] = True
-        return table.select(["cluster", "sid", "class"]).filter(pa.array(alive))
-
-    def exact(table: pa.Table) -> pa.Table:
-        sid, group = table["sid"].to_numpy(), np.unique(table["class"].to_numpy(), return_inverse=True)[1]
-        sets = [_words64(v) for v in table["shingles"]]
-        n = np.array([len(x) for x in sets])
-        w = width(int(n.max()))
-        maps, out = np.stack([bitmap(x, w) for x in sets]), []
-        for a, others in _facing(table, group):
-            for b in _candidates_of(maps, n, a, others, percent).tolist():
-                if group[a] != group[b] and linked(sets[a], sets[b], percent):
-                    out.append((sid[a], sid[b]))
-                    group[group == group[b]] = group[a]
+    def bounded(bundle: pa.Table) -> pa.Table:
+        out = []
+        for table in _comparisons(bundle):
+            n, group = table["n"].to_numpy(), np.unique(table["class"].to_numpy(), return_inverse=True)[1]
+            raw = [_words64(v) for v in table["bits"]]
+            w = min(map(len, raw))
+            maps, alive = np.stack([folded(x, w) for x in raw]), np.zeros(len(n), bool)
+            for a, others in _facing(table, group):
+                left = _candidates_of(maps, n, a, others, percent)
+                if len(left):
+                    alive[a] = alive[left] = True
+            if alive.any():
+                out.append(table.select(["cluster", "sid", "class"]).filter(pa.array(alive)))
+        return pa.concat_tables(out) if out else bundle.select(["cluster", "sid", "class"]).slice(0, 0)
+
+    def exact(bundle: pa.Table) -> pa.Table:
+        out = []
+        for table in _comparisons(bundle):
+            sid, group = table["sid"].to_numpy(), np.unique(table["class"].to_numpy(), return_inverse=True)[1]
+            sets = [_words64(v) for v in table["shingles"]]
+            n = np.array([len(x) for x in sets])
+            w = width(int(n.max()))
+            maps = np.stack([bitmap(x, w) for x in sets])
+            for a, others in _facing(table, group):
+                for b in _candidates_of(maps, n, a, others, percent).tolist():
+                    if group[a] != group[b] and linked(sets[a], sets[b], percent):
+                        out.append((sid[a], sid[b]))
+                        group[group == group[b]] = group[a]
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    sized = members.join(arrays.select("sid", "n"), "sid")
-    rows = arrays.select("sid", "n", "bits").join(_base.small(_block_pairs(sized, percent)), "sid")
-    alive = _base.materialize(rows.groupBy("cluster", "i", "j").applyInArrow(bounded, "cluster long, sid long, class long").distinct(), "alive")
-    again = alive.join(arrays.select("sid", "n"), "sid")
-    rows = arrays.select("sid", "shingles").join(_base.small(_block_pairs(again, percent)), "sid")
-    return rows.groupBy("cluster", "i", "j").applyInArrow(exact, "a long, b long").distinct()
+    def sides(members: DataFrame, column: str) -> DataFrame:
+        pairs = _block_pairs(members.join(arrays.select("sid", "n"), "sid"), percent)
+        rows = arrays.select("sid", "n", column).join(_base.small(pairs), "sid")
+        size = pairs.join(arrays.select("sid", "n"), "sid").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        return _bundled(rows, *size).groupBy("bundle")
+
+    alive = sides(members, "bits").applyInArrow(bounded, "cluster long, sid long, class long").distinct()
+    alive = _base.materialize(alive, "alive")
+    return sides(alive, "shingles").applyInArrow(exact, "a long, b long").distinct()
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -437,13 +474,12 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     # tiles that still hold several classes
     known = ranked.select("tile", "sid").join(classes.withColumnRenamed("v", "sid"), "sid", "left").select("tile", "sid", F.coalesce("root", "sid").alias("class"))
     known = _base.materialize(known, "classes")
-    split = known.groupBy("tile").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.min("sid").alias("low")).where("c0 <> c1").select("tile", "low")
+    split = known.groupBy("tile").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("tile")
     left = _base.materialize(known.join(split, "tile"), "unsettled")
     all_links = links.select(F.col("v").alias("a"), F.col("parent").alias("b"))
     graph.release(met)
     if left.limit(1).count():
-        clusters = graph.components(left.select(F.col("sid").alias("a"), F.col("low").alias("b")))
-        members = left.select("sid", "class").distinct().join(clusters.select(F.col("v").alias("sid"), F.col("root").alias("cluster")), "sid")
+        members = _base.materialize(_distinct_tiles(left).select(F.col("tile").alias("cluster"), "sid", "class"), "members")
         more = _base.materialize(_block_links(members, arrays, percent), "block-links")
         all_links = all_links.union(more)
         classes = graph.components(all_links)
