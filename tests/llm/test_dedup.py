@@ -118,24 +118,6 @@ def classes_by_definition(data, k, percent):
     return Counter((i, len(s), least.get(find(a)) if s else i) for a, (i, s) in enumerate(sets))
 
 
-def test_jaccard_join_with_many_blocks_a_tile(spark, monkeypatch):
-    """Tiles of several blocks and bundles of several comparisons give the classes of all pairs."""
-    import numpy as np
-
-    rng = np.random.default_rng(5)
-    shared, data = [f"s{i}" for i in range(60)], []
-    for d in range(120):
-        words = list(shared)
-        for at in rng.choice(60, 4 + d % 9, replace=False):
-            words[at] = f"w{rng.integers(3) if d % 2 else d}"
-        data.append((d, " ".join(words)))
-    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
-    monkeypatch.setattr(jaccard_join, "BUNDLE", (60, 1 << 20))
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(data, "doc_id long, text string"), 2, 70).collect())
-    want = classes_by_definition(data, 2, 70)
-    assert got == want and 2 < len({c for _, _, c in want}) < 119
-
-
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (2, 50)])
 def test_jaccard_join(spark, k, percent):
     data = [(r[0], r[1]) for r in rows()]
