@@ -370,3 +370,52 @@ def test_covering():
         some = substring_dedup.covering(rows_)
         union = lambda rs: {k for a, z in rs for k in range(a, z)}
         assert union(some) == union(rows_) and set(some) <= set(rows_) and sum(z - a for a, z in some) <= 2 * len(union(rows_)) + 1
+
+
+def test_passage_of_seeds_that_many_texts_have(spark):
+    """Two texts share an edited passage, each run of four of whose words stands in sixty other texts that share nothing else."""
+    new = fresh(91)
+    p = new(60)
+    q = [x if i % 7 < 6 else new(1)[0] for i, x in enumerate(p)]
+    data = [(1, new(40) + p + new(40)), (2, new(30) + q + new(50))]
+    data += [(100 * (i + 1) + j, new(25) + p[i : i + 4] + new(25)) for i in range(57) for j in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in data], "doc_id long, text string").repartition(4)
+    found = substring_dedup.passages(docs).collect()
+    assert {(r.doc_id, r.ref_doc_id) for r in found} in ({(1, 2)}, {(2, 1)})
+    assert len(found) == 1 and found[0].n_words >= 50 and found[0].n_matched >= 0.8 * found[0].n_words
+
+
+def test_open_pairs_meet_every_text_before():
+    """However many texts have a pair, whatever the size of blocks; pairs that are not open ask nothing."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    h, k, p = rng.integers(0, 4, 400).astype(np.uint64), rng.integers(0, 90, 400), rng.integers(0, 1000, 400)
+    d, asks = rng.integers(1, 49, 400), rng.random(400) < 0.4
+    want = {(k[i], k[j], p[i], p[j], p[i] + d[i], p[j] + d[j]) for i in np.flatnonzero(asks) for j in range(400) if h[i] == h[j] and k[j] < k[i]}
+    size = substring_dedup.EMITTED
+    for substring_dedup.EMITTED in (50, size):
+        got = {r for block in substring_dedup.met(h, k, p | np.where(asks, substring_dedup.MARK, 0), d) for r in zip(*(c.tolist() for c in block))}
+        assert got == want
+
+
+def test_few_texts_of_a_seed_all_meet():
+    import numpy as np
+
+    n = substring_dedup.FEW
+    for texts, hot in ((n, False), (n + 1, True)):
+        key, holder, _, _, _, heat = substring_dedup.matched(np.ones(texts, np.int64), np.arange(texts), np.arange(texts), near=True)
+        pairs = {(a, b) for a, b in zip(key.tolist(), holder.tolist()) if a != b}
+        assert heat.all() == hot and (hot or pairs == {(a, b) for a in range(texts) for b in range(a)})
+
+
+def test_passage_around_a_line_of_many_texts(spark):
+    """Two texts agree on a line that a hundred have, and on 25 of the 32 words beside it, but on no other four in a row."""
+    new = fresh(17)
+    line, p = new(20), new(32)
+    q = [x if i % 4 < 3 else new(1)[0] for i, x in enumerate(p)]
+    data = [(1, new(40) + line + p + new(40)), (2, new(30) + line + q + new(50))]
+    data += [(10 + j, new(40) + line + new(40)) for j in range(100)]
+    found = substring_dedup.passages(spark.createDataFrame([(k, " ".join(w)) for k, w in data], "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.ref_doc_id) for r in found} in ({(1, 2)}, {(2, 1)})
+    assert all(r.n_words >= 50 and r.n_matched >= 0.8 * r.n_words for r in found)
