@@ -13,6 +13,8 @@ a join has to look only at the pairs at both ends of its window.
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import json
 import os
 import re
@@ -357,6 +359,17 @@ def word_end_coder(path: str) -> Coder:
 _coders: dict[tuple, Coder] = {}
 
 
+def forget() -> None:
+    """Let go of this worker process's coder, and give its memory back, before an operator that needs none."""
+    if _coders:
+        _coders.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def coder(kind: str, *args: str) -> Coder:
     """One coder for each worker process, and only the last one used: what another operator left is let go."""
     key = (kind, *args)

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.llm import _base
+from tarnflow.llm import _base, bpe
 
 UNDETERMINED = "und"
 UNIT = 1024  #: parts of a bit
@@ -147,6 +147,7 @@ def train(docs: DataFrame, training: Training = Training(), id_col: str = "doc_i
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         for b in _base.sliced(batches, limit=4 << 20):
             for lang, frame in b.to_pandas().groupby("lang"):
                 texts = [t.encode() for t in frame["text"]]
@@ -164,6 +165,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         m = shared.value
         for b in _base.sliced(batches, limit=4 << 20):
             lang, score = judge(m, b.column("text"))
@@ -194,6 +196,7 @@ def keep_known(docs: DataFrame, model: Model | None, min_score: float = 0.5, tex
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         for b in _base.sliced(batches, text_col, limit=4 << 20):
             lang, score = judge(shared.value, b.column(at))
             keep = [x != UNDETERMINED and s >= min_score for x, s in zip(lang.to_pylist(), score.to_pylist())]

@@ -120,3 +120,23 @@ def test_run(spark, folder):
     kept = {r.doc_id for r in got}
     letters = {r[0] for r in rows() if any(c.isalpha() for c in r[1] or "")}
     assert kept <= letters and len(kept) > 30
+
+
+def test_language_id_lets_go_of_coders(spark):
+    """A worker that packed before keeps no coder, with its memory of pieces, while it works on languages."""
+    import pyarrow as pa
+
+    from tarnflow.llm import bpe, langid, packing
+    from tarnflow.llm.queries import vocabulary
+
+    docs = spark.createDataFrame([(k, f"some words of text {k}", "en", "s", 1) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    packing.pieces(docs, vocabulary("byte_bpe_50k.json"), 0, 2048).count()
+    model = langid.train(docs)
+    kept = langid.keep_known(docs, model, min_score=0.0)
+
+    def coders(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe._coders)] * b.num_rows, pa.int64())], names=["n"])
+
+    assert kept.count() == 40
+    assert {r.n for r in kept.mapInArrow(coders, "n long").collect()} == {0}
