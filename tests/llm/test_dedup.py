@@ -2,6 +2,8 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from common import LOWER, SCHEMA, WORD, empty, rows, table
 
@@ -419,3 +421,50 @@ def test_passage_around_a_line_of_many_texts(spark):
     found = substring_dedup.passages(spark.createDataFrame([(k, " ".join(w)) for k, w in data], "doc_id long, text string").repartition(3)).collect()
     assert {(r.doc_id, r.ref_doc_id) for r in found} in ({(1, 2)}, {(2, 1)})
     assert all(r.n_words >= 50 and r.n_matched >= 0.8 * r.n_words for r in found)
+
+
+def test_screen_keeps_every_passage():
+    rng = np.random.default_rng(3)
+    n, rows = 200, []
+    for k in range(400):
+        x, y = rng.integers(0, 1 << 32, (2, n), dtype=np.uint32)
+        a, b, size = (int(v) for v in (rng.integers(0, 60), rng.integers(0, 60), rng.integers(9, 110)))
+        y[b : b + size] = np.where(rng.random(size) < rng.choice([0, 0.1, 0.2]), y[b : b + size], x[a : a + size])
+        pick = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(x[a : a + size] == y[b : b + size], substring_dedup.K).all(axis=1))[:4]
+        if len(pick) > 1 and np.diff(pick).max() <= substring_dedup.MAX_GAP:
+            rows.append((x, y, a + pick, b + pick))
+    x0, y0 = ([max(0, int(r[c][0]) - substring_dedup.MARGIN) for r in rows] for c in (2, 3))
+    x1, y1 = ([min(n, int(r[c][-1]) + substring_dedup.K + substring_dedup.MARGIN) for r in rows] for c in (2, 3))
+    whole = [bool(substring_dedup.aligned(x[i:j], y[k:m], list(zip((p - i).tolist(), (q - k).tolist())), 50, 0.8)) for (x, y, p, q), i, j, k, m in zip(rows, x0, x1, y0, y1)]
+    lists = {"p": [r[2] for r in rows], "q": [r[3] for r in rows], "sizes": [[len(r[2])] for r in rows]}
+    base = {c: pa.array(v, pa.list_(pa.int32())) for c, v in lists.items()} | {c: pa.array(v, pa.int32()) for c, v in (("x0", x0), ("x1", x1), ("y0", y0), ("y1", y1))}
+    for bits in (False, True):
+        cut = lambda w, a, z: np.packbits((w & np.uint32(1)).astype(np.uint8)).tobytes()[a >> 3 : (z + 7) >> 3] if bits else w[a:z].tobytes()  # noqa: B023, E731
+        data = {"x": pa.array([cut(r[0], a, z) for r, a, z in zip(rows, x0, x1)], pa.binary()), "y": pa.array([cut(r[1], a, z) for r, a, z in zip(rows, y0, y1)], pa.binary())}
+        b = pa.RecordBatch.from_pydict(base | data)
+        keep = substring_dedup.hopeful(b, 50, 0.8, bits)
+        assert not (np.array(whole) & ~keep).any() and keep.mean() < 0.9
+        left = substring_dedup.only_hopeful(b, 50, 0.8, bits)
+        assert left.column("p").to_pylist() == [r[2].tolist() for r, k in zip(rows, keep) if k]
+    assert any(whole)
+
+
+def test_plain_chains_are_those_of_a_search():
+    rng = np.random.default_rng(4)
+    k, h, p, q = [], [], [], []
+    for pair in range(60):
+        at = np.unique(rng.integers(0, 90, rng.integers(2, 7)))
+        shift = np.where(rng.random(len(at)) < 0.1, 1, 0)
+        k += [pair] * len(at)
+        h += [-1 - pair] * len(at)
+        p += at.tolist()
+        q += (at + 5 + shift).tolist()
+    k, h, p, q = (np.array(c, np.int64) for c in (k, h, p, q))
+    edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+    a, z = edges[:-1], edges[1:]
+    a, z = a[z - a > 1], z[z - a > 1]
+    plain, columns = substring_dedup.plain_chains(k, h, p, q, a, z)
+    assert 0 < plain.sum() < len(a)
+    for i, (key, ps, qs, size) in enumerate(zip(*(columns[c].to_pylist() for c in (0, 2, 3, 4)))):
+        j = int(np.flatnonzero(plain)[i])
+        assert substring_dedup.chains(p[a[j] : z[j]], q[a[j] : z[j]]) == [list(zip(ps, qs))] and size == [len(ps)] and key == k[a[j]]
