@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from common import LOWER, SCHEMA, WORD, empty, rows, table
 
-from tarnflow.llm import jaccard_join, line_dedup, media_chunks, substring_dedup
+from tarnflow.llm import graph, jaccard_join, line_dedup, media_chunks, substring_dedup
 
 
 @pytest.mark.parametrize("extra", [False, True])
@@ -468,3 +468,10 @@ def test_plain_chains_are_those_of_a_search():
     for i, (key, ps, qs, size) in enumerate(zip(*(columns[c].to_pylist() for c in (0, 2, 3, 4)))):
         j = int(np.flatnonzero(plain)[i])
         assert substring_dedup.chains(p[a[j] : z[j]], q[a[j] : z[j]]) == [list(zip(ps, qs))] and size == [len(ps)] and key == k[a[j]]
+
+
+def test_components_let_go_of_shuffles(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(graph, "release", calls.append)
+    links = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
+    assert {r.root for r in graph.components(links).collect()} == {0} and len(calls) > 1
