@@ -32,7 +32,8 @@ LEAF = 3  #: up to so many symbols are merged directly
 REMEMBERED = 10  #: longer strings are not kept in the memo of a tree
 MEMO = 150_000  #: strings that a tree remembers before it starts anew
 PIECES = 120_000  #: pieces in a generation beyond which a worker starts a new one; it keeps two
-LONGEST = 64  #: characters of a piece that is remembered
+WORDS = 200_000  #: the same for the words of pieces
+LONGEST = 64  #: characters of a piece or word that is remembered
 SHORT = 24  #: symbols up to which a scan for the lowest rank is faster than a heap
 END = 256  #: offset of the symbols that carry the end-of-word mark
 
@@ -193,11 +194,11 @@ class Coder:
     ``pieces(chunks, first)`` gives the ids of each piece as a bytes object of little-endian 32-bit ids;
     ``whole(text)`` those of a text where cuts at spaces could change the result: one in which a piece before the
     last is empty or ends in white space, so that the cut lies inside a run of white space.  Two generations of short
-    pieces outlive a batch, bounded in number and length.
+    pieces outlive a batch, bounded in number and length, unless ``pieces`` remembers what it needs itself.
     """
 
-    def __init__(self, pieces: Callable[[list[str], bool], list[bytes]], whole: Callable[[str], bytes], first_differs: bool = True, runs_matter: bool = True):
-        self.pieces, self.whole, self.first_differs, self.runs_matter = pieces, whole, first_differs, runs_matter
+    def __init__(self, pieces: Callable[[list[str], bool], list[bytes]], whole: Callable[[str], bytes], first_differs: bool = True, runs_matter: bool = True, remember: bool = True):
+        self.pieces, self.whole, self.first_differs, self.runs_matter, self.remember = pieces, whole, first_differs, runs_matter, remember
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -222,22 +223,17 @@ class Coder:
         offsets = offsets - offsets[0]
         coded = flat.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        units = self._remembered(words)
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        units = self._remembered(words) if self.remember else self.pieces(words, False)
         starts_at = offsets[:-1]
         if self.first_differs:
             firsts, where = np.unique(index[starts_at], return_inverse=True)
             index = index.copy()
             index[starts_at] = len(units) + where
             units = units + self.pieces([words[k] for k in firsts], True)
-        lengths = np.fromiter(map(len, units), np.int64, len(units)) >> 2
-        values = np.frombuffer(b"".join(units), "<u4")
-        begins = np.cumsum(lengths) - lengths
-        n = lengths[index]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = values[np.arange(total) - np.repeat(ends - n - begins[index], n)]
-        bounds = np.concatenate([[0], ends])[offsets]
+        _, ends, data = pa.array(units, pa.large_binary()).take(pa.array(index)).buffers()
+        bounds = np.frombuffer(ends, np.int64, len(index) + 1)[offsets] >> 2 if len(index) else np.zeros(len(offsets), np.int64)
+        ids = np.frombuffer(data, "<u4", int(bounds[-1])) if bounds[-1] else np.zeros(0, "<u4")
         out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         if self.runs_matter:
             odd = np.fromiter((not w or w[-1].isspace() for w in words), bool, len(words))
@@ -340,7 +336,8 @@ _unusual = re.compile("[^\\x00-\\x1b\\x20-\\xff]|<\\|").search
 
 def word_end_coder(path: str) -> Coder:
     """The ids of the tokenizer library for a lower-casing file with end-of-word marks, which drops white space.  It gets
-    the words of many pieces at a time; the last token of a word, and no other, carries the mark."""
+    the words of many pieces at a time, each different one in lower case once while two generations of them remember it; the
+    last token of a word, and no other, carries the mark."""
     library = _library(path)
     with open(path, encoding="utf-8") as f:
         mark = json.load(f)["model"]["end_of_word_suffix"]
@@ -348,12 +345,45 @@ def word_end_coder(path: str) -> Coder:
     encode = lambda text: library.encode_batch_fast([text], add_special_tokens=False)[0].ids
     find = regex.compile(WORD_END_PATTERN).findall
 
+    known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
+
+    def remembered(words: list[str]) -> list[bytes]:
+        nonlocal known, older
+        if len(known) > WORDS:
+            known, older = {}, known
+        new = set(words).difference(known)
+        known.update((w, older[w]) for w in new.intersection(older))
+        new = list(new.difference(older))
+        known.update(zip(new, _by_borders(encode, " ".join, border, True, new)))
+        out = list(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
+
     def pieces(chunks: list[str], first: bool) -> list[bytes]:
-        words = [[c] if _word(c) else None if _unusual(c) else find(c.lower()) for c in chunks]
-        each = iter(_by_borders(encode, " ".join, border, True, [w for ws in words if ws for w in ws]))
-        return [packed(encode(c)) if ws is None else next(each) if len(ws) == 1 else b"".join(next(each) for _ in ws) for c, ws in zip(chunks, words)]
+        words, counts = [], []
+        for c in chunks:
+            if _word(c):
+                words.append(c.lower())
+                counts.append(1)
+            elif _unusual(c):
+                counts.append(-1)
+            else:
+                found = find(c.lower())
+                words += found
+                counts.append(len(found))
+        ids, out, at = remembered(words), [], 0
+        for c, n in zip(chunks, counts):
+            if n == 1:
+                out.append(ids[at])
+            else:
+                out.append(packed(encode(c)) if n < 0 else b"".join(ids[at : at + n]))
+            at += max(n, 0)
+        return out
 
-    return Coder(pieces, lambda text: packed(encode(text)), first_differs=False, runs_matter=False)
+    return Coder(pieces, lambda text: packed(encode(text)), first_differs=False, runs_matter=False, remember=False)
 
 
 _coders: dict[tuple, Coder] = {}

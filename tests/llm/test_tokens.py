@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from common import empty, rows, table
 
@@ -193,3 +194,16 @@ def test_random_strings_against_the_libraries():
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     for k, want in ((("ranks", PATH("byte_bpe_50k.tiktoken"), PATTERN), tiktoken_ids()), (("merges", PATH("byte_bpe_50k.json")), library_ids("byte_bpe_50k.json")), (("word_end", PATH("word_bpe_49k.json")), library_ids("word_bpe_49k.json"))):
         assert [x.tolist() for x in bpe.coder(*k).encode(pa.array(texts))] == [want(t) for t in texts]
+
+
+def test_words_go_to_the_library_once(monkeypatch):
+    asked, borders = [], bpe._by_borders
+    monkeypatch.setattr(bpe, "_by_borders", lambda encode, text, border, at_end, words: asked.extend(words) or borders(encode, text, border, at_end, words))
+    coder = bpe.word_end_coder(PATH("word_bpe_49k.json"))
+    texts = ["The inn, the INN. the", "", "Inn\nthe the's " + "b" * 200, "b" * 200 + " THE"]
+    for _ in range(2):
+        got = [x.tolist() for x in coder.encode(pa.array(texts))]
+        assert got == [coder.encode(pa.array([t]))[0].tolist() for t in texts]
+        assert got == [np.frombuffer(coder.whole(t), "<u4").tolist() for t in texts]
+    short = [w for w in asked if len(w) < 200]
+    assert sorted(short) == sorted(set(short)) and set(short) == {"the", "inn", ",", ".", "'s"}
