@@ -475,3 +475,53 @@ def test_components_let_go_of_shuffles(spark, monkeypatch):
     monkeypatch.setattr(graph, "release", calls.append)
     links = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
     assert {r.root for r in graph.components(links).collect()} == {0} and len(calls) > 1
+
+
+def test_pairs_of_a_line_meet_only_where_a_passage_may_be():
+    """Three hundred texts have a line and nothing else in common but for two, which go on alike: few pairs are left to look
+    at, that one among them; no run that may be a passage is missed by bytes."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 1 << 32, 113, dtype=np.uint32) for _ in range(300)]
+    for t in texts:
+        t[50:63] = np.arange(13)
+    texts[7][63:103] = texts[200][63:103]
+    texts[7][66:103:5] += np.uint32(1)
+    w, bounds = np.concatenate(texts), 113 * np.arange(301)
+    k, p, d = np.arange(300), np.full(300, 52), np.full(300, 5)
+    bits = substring_dedup.sides(w, bounds[:-1], bounds[1:], k, p, d)
+    found = {(a, b) for block in substring_dedup.met(np.zeros(300, np.uint64), k, p | substring_dedup.MARK, d, list(bits)) for a, b in zip(*(c.tolist() for c in block[:2]))}
+    assert (200, 7) in found and len(found) < 0.1 * 300 * 299 / 2
+
+    left, right = (rng.random((2, 400, 64)) < rng.uniform(0.5, 0.9, (2, 400, 1)))
+    n = rng.integers(9, 53, 400)
+    may = substring_dedup.may_reach(*(np.packbits(c, axis=1, bitorder="little").view("<u8")[:, 0] for c in (left, right)), n, 50, 0.8)
+    sums = [np.concatenate([np.zeros((400, 1), int), np.cumsum(c, axis=1)], axis=1) for c in (left, right)]
+    a, b = np.mgrid[:65, :65]
+    long = a + b + n[:, None, None]
+    plain = ((long >= 50) & (10 * (sums[0][:, :, None] + sums[1][:, None, :] + n[:, None, None]) >= 8 * long)).any(axis=(1, 2))
+    assert may[plain].all() and plain.any() and not may.all()
+
+
+def test_second_tiles_keep_clear_of_the_first():
+    """Each pair of tiles is told apart as its words are."""
+    import numpy as np
+
+    m = substring_dedup
+    place = lambda i, size, count: {(i >= count, j) for j in range(i % count * size, (i % count + 1) * size)}
+    first, second = (x.ravel() for x in np.mgrid[: 2 * m.TILES, : 2 * m.SECONDS])
+    want = [not place(a, m.TILE, m.TILES) & place(b, m.SECOND, m.SECONDS) for a, b in zip(first.tolist(), second.tolist())]
+    assert m.apart(first, second).tolist() == want
+
+
+def test_passage_in_a_crowded_tile(spark, monkeypatch):
+    """As a passage around a line of many texts, with a limit at which the tiles inside that line are left for second ones."""
+    monkeypatch.setattr(substring_dedup, "CROWDED", 8)
+    new = fresh(18)
+    line, p = new(20), new(32)
+    q = [x if i % 4 < 3 else new(1)[0] for i, x in enumerate(p)]
+    data = [(1, new(40) + line + p + new(40)), (2, new(30) + line + q + new(50))]
+    data += [(10 + j, new(40) + line + new(40)) for j in range(100)]
+    found = substring_dedup.passages(spark.createDataFrame([(k, " ".join(w)) for k, w in data], "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.ref_doc_id) for r in found} in ({(1, 2)}, {(2, 1)})
