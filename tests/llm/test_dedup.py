@@ -525,3 +525,33 @@ def test_passage_in_a_crowded_tile(spark, monkeypatch):
     data += [(10 + j, new(40) + line + new(40)) for j in range(100)]
     found = substring_dedup.passages(spark.createDataFrame([(k, " ".join(w)) for k, w in data], "doc_id long, text string").repartition(3)).collect()
     assert {(r.doc_id, r.ref_doc_id) for r in found} in ({(1, 2)}, {(2, 1)})
+
+
+def test_screen_of_bent_chains():
+    """No chain across diagonals that holds a passage goes; of texts that agree on a few words only, nearly all go."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    rows, whole, alike = [], [], []
+    for i in range(400):
+        x = rng.integers(0, 1 << 32, 160, dtype=np.uint32)
+        y = rng.integers(0, 1 << 32, 170, dtype=np.uint32)
+        more, size = int(rng.integers(1, 6)), int(rng.integers(6, 45))
+        a = 80
+        y[a + 10 - size : a + 10] = x[a - size : a]
+        y[a + 10 + more : a + 10 + more + size] = x[a : a + size]
+        y[rng.random(170) < rng.uniform(0, 0.3)] += np.uint32(1)
+        chain = [(j, j + 10) for j in range(a - size, a - 3, 3) if (x[j : j + 4] == y[j + 10 : j + 14]).all()]
+        chain += [(j, j + 10 + more) for j in range(a, a + size - 3, 3) if (x[j : j + 4] == y[j + 10 + more : j + 14 + more]).all()]
+        if len({q - p for p, q in chain}) < 2:
+            continue
+        rows.append((x, y, chain))
+        whole.append(bool(substring_dedup.aligned(x, y, chain, 50, 0.8)))
+        alike.append(size)
+    lists = [pa.array([[m[c] for m in r[2]] for r in rows], pa.list_(pa.int32())) for c in (0, 1)]
+    zero = pa.array([0] * len(rows), pa.int32())
+    sizes = pa.array([[len(r[2])] for r in rows], pa.list_(pa.int32()))
+    b = pa.record_batch({"p": lists[0], "q": lists[1], "sizes": sizes, "x0": zero, "y0": zero} | {c: pa.array([r[i].tobytes() for r in rows], pa.binary()) for i, c in enumerate("xy")})
+    keep, whole, alike = substring_dedup.hopeful(b, 50, 0.8), np.array(whole), np.array(alike)
+    assert keep[whole].all() and whole.sum() > 50 and (alike < 15).sum() > 20 and not keep[alike < 15].any()
