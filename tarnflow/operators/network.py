@@ -152,7 +152,8 @@ def snap_area_gated(outlets: DataFrame, cells: DataFrame, radius: float, toleran
 def locate(points: DataFrame, boxes: DataFrame, near: float = 0.05) -> DataFrame:
     """The unit of each point ``(point_id, x, y)`` among boxes ``(comid, x0, y0, x1, y1, uparea)``.
 
-    One that holds the point, else the nearest within ``near``; ties go to the larger upstream area, then the smaller id.
+    One that holds the point, else the nearest within ``near``; ties, of distances equal to nine decimals, go to the larger
+    upstream area, then the smaller id.
     """
     dx = F.greatest(F.col("x0") - F.col("x"), F.lit(0.0), F.col("x") - F.col("x1"))
     dy = F.greatest(F.col("y0") - F.col("y"), F.lit(0.0), F.col("y") - F.col("y1"))
@@ -161,7 +162,7 @@ def locate(points: DataFrame, boxes: DataFrame, near: float = 0.05) -> DataFrame
     b = boxes.withColumn("tx", F.explode(tiles("x0", "x1"))).withColumn("ty", F.explode(tiles("y0", "y1")))
     p = points.withColumn("tx", F.floor(F.col("x") / size)).withColumn("ty", F.floor(F.col("y") / size))
     j = p.join(b, ["tx", "ty"]).withColumn("dist", F.hypot(dx, dy)).where(F.col("dist") <= near)
-    w = Window.partitionBy("point_id").orderBy("dist", F.desc("uparea"), "comid")
+    w = Window.partitionBy("point_id").orderBy(F.round("dist", 9), F.desc("uparea"), "comid")
     return j.withColumn("n", F.row_number().over(w)).where("n = 1").select("point_id", "comid", "dist")
 
 

@@ -213,3 +213,11 @@ def test_points_in_and_around_polygons(spark):
     points = spark.createDataFrame([(1, 3.0, 3.0), (2, 1.5, 1.5), (3, 4.03, 2.0), (4, 4.2, 2.0), (5, 4.0, 2.0)], "point_id int, x double, y double")
     got = {r.point_id: (r.unit, r.how) for r in network.locate_polygons(points, rings, spark.createDataFrame([(1, 9.0), (2, 1.0)], "unit int, uparea double")).collect()}
     assert got[1] == (1, "contains") and got[2] == (2, "contains") and got[3] == (1, "nearest") and 4 not in got and got[5][0] == 1
+
+
+def test_equally_near_boxes_go_to_the_larger(spark):
+    """0.49 lies midway between boxes that end at 0.48 and begin at 0.5, but not in binary."""
+    boxes = [(k, k * 0.5, 0.0, k * 0.5 + 0.48, 1.0, float(k)) for k in range(44)]
+    points = [(k, k * 0.5 + 0.49, 0.5) for k in range(43)]
+    got = network.locate(spark.createDataFrame(points, "point_id int, x double, y double"), spark.createDataFrame(boxes, "comid int, x0 double, y0 double, x1 double, y1 double, uparea double"))
+    assert {r.point_id: r.comid for r in got.collect()} == {k: k + 1 for k in range(43)}
