@@ -28,6 +28,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is shuffled and never broadcast.
+
+    Spark takes a table for as large as its compressed files, and a table after ``explode`` for no larger than before, so
+    tables of a million cells come out small enough for the driver to collect.  What grows with the input goes through here.
+    """
+    return df.hint("merge")
+
+
 def upstream(edges: DataFrame, outlets: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """``(outlet, comid)`` of all that drains through each of ``outlets (comid)``, itself included; cycles end by themselves.
 
@@ -53,14 +62,14 @@ def upstream_sums(edges: DataFrame, sums: list[str], least: list[str] = (), most
     """
     of = {**{c: (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))) for c in sums}, **{c: (F.min, F.least) for c in least}, **{c: (F.max, F.greatest) for c in most}}
     ids = edges.select(F.col("comid").alias("nextdown"), F.lit(True).alias("there"))
-    now = saved(edges.join(ids, "nextdown", "left").select("comid", F.when(F.col("there") & (F.col("nextdown") != F.col("comid")), F.col("nextdown")).alias("to"), *of))
+    now = saved(edges.join(shuffled(ids), "nextdown", "left").select("comid", F.when(F.col("there") & (F.col("nextdown") != F.col("comid")), F.col("nextdown")).alias("to"), *of))
     for _ in range(max_rounds):
         moving = now.where("to IS NOT NULL")
         if moving.isEmpty():
             return now.drop("to")
         gain = moving.groupBy(F.col("to").alias("comid")).agg(*(f(c).alias(f"d_{c}") for c, (f, _) in of.items()))
         far = now.select(F.col("comid").alias("to"), F.col("to").alias("further"))
-        now = saved(now.join(gain, "comid", "left").join(far, "to", "left").select("comid", F.col("further").alias("to"), *(plus(F.col(c), F.col(f"d_{c}")).alias(c) for c, (_, plus) in of.items())))
+        now = saved(now.join(shuffled(gain), "comid", "left").join(shuffled(far), "to", "left").select("comid", F.col("further").alias("to"), *(plus(F.col(c), F.col(f"d_{c}")).alias(c) for c, (_, plus) in of.items())))
     raise ValueError("the network has a cycle or is too deep")
 
 
@@ -199,17 +208,17 @@ def ring_relation(points: DataFrame, rings: DataFrame, near: float) -> DataFrame
     height = max(e.agg(F.avg(F.abs(F.col("y2") - F.col("y1")))).first()[0] or 0.0, near, size / 64)
     p = points.withColumn("tx", F.floor(F.col("x") / size)).withColumn("ty", F.floor(F.col("y") / size))
     band = lambda c: F.floor(c / height)
-    pairs = p.join(in_tiles(boxes, size), ["tx", "ty"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("point_id", "unit", F.col("x").alias("px"), F.col("y").alias("py"), band(F.col("y")).alias("band"))
+    pairs = p.join(shuffled(in_tiles(boxes, size)), ["tx", "ty"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("point_id", "unit", F.col("x").alias("px"), F.col("y").alias("py"), band(F.col("y")).alias("band"))
     e = e.withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2") - near), band(F.greatest("y1", "y2") + near))))
     far, _ = from_segment(F.col("px"), F.col("py"))
     crosses = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < F.col("x1") + F.try_divide((F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1")))
-    return pairs.join(e, ["unit", "band"]).groupBy("point_id", "unit").agg((F.count(F.when(crosses, 1)) % 2 == 1).alias("inside"), F.min(far).alias("edge")).select("point_id", "unit", "inside", F.when(F.col("inside"), 0.0).otherwise(F.col("edge")).alias("dist"))
+    return pairs.join(shuffled(e), ["unit", "band"]).groupBy("point_id", "unit").agg((F.count(F.when(crosses, 1)) % 2 == 1).alias("inside"), F.min(far).alias("edge")).select("point_id", "unit", "inside", F.when(F.col("inside"), 0.0).otherwise(F.col("edge")).alias("dist"))
 
 
 def locate_polygons(points: DataFrame, rings: DataFrame, sizes: DataFrame, near: float = 0.05) -> DataFrame:
     """``(point_id, unit, how)``: the unit that contains a point, else one it touches, else the nearest within ``near``; ties
     go to the larger ``(unit, uparea)``, then the smaller name.  Points without one have no row."""
-    r = ring_relation(points, rings, near).where(F.col("dist") <= near).join(sizes, "unit", "left")
+    r = ring_relation(points, rings, near).where(F.col("dist") <= near).join(shuffled(sizes), "unit", "left")
     kind = F.when(F.col("inside"), 0).when(F.col("dist") == 0, 1).otherwise(2)
     w = Window.partitionBy("point_id").orderBy("kind", "dist", F.desc_nulls_last("uparea"), "unit")
     best = r.withColumn("kind", kind).withColumn("n", F.row_number().over(w)).where("n = 1")

@@ -5,7 +5,7 @@ from unittest.mock import MagicMock
 
 import pytest
 
-from tarnflow.operators import frequency, uncertainty
+from tarnflow.operators import frequency, network, uncertainty
 from tarnflow.plans import basins, hydro, more
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,14 @@ def test_joins_have_keys(spark, name):
     df = (basins.QUERIES | more.QUERIES)[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["locate_polygon"])
+def test_growing_tables_are_not_broadcast(spark, monkeypatch, name):
+    """Spark finds the tables here small, and by their files it also does so where they are not."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, saved = [], network.saved
+    monkeypatch.setattr(network, "saved", lambda df: plans.append(plan(df)) or saved(df))
+    plans.append(plan((basins.QUERIES | more.QUERIES)[name](spark, SF)))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
