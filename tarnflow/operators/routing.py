@@ -49,7 +49,7 @@ def filled(cells: DataFrame, tile: int = TILE, max_rounds: int = 100_000) -> Dat
     sent = there.select("raster_id", F.explode(F.array(*(F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in network.D8.values()))).alias("t")).select("raster_id", "t.*")
     n = sent.groupBy("raster_id", "row", "col").agg(F.count("*").alias("n"))
     rim = F.coalesce("n", F.lit(0)) < 8
-    now = network.saved(there.join(n, ["raster_id", "row", "col"], "left").select("raster_id", "row", "col", "value", F.when(rim, F.col("value")).otherwise(FAR).alias("level"), F.lit(0).cast("long").alias("steps")))
+    now = network.saved(there.join(network.shuffled(n), ["raster_id", "row", "col"], "left").select("raster_id", "row", "col", "value", F.when(rim, F.col("value")).otherwise(FAR).alias("level"), F.lit(0).cast("long").alias("steps")))
     of = lambda c: F.floor(F.col(c) / tile)
     kind = dict(now.dtypes)
 
@@ -75,11 +75,11 @@ def directions(levels: DataFrame) -> DataFrame:
     first of equals in order of codes; cells at the rim without a lower neighbour drain nowhere."""
     moves = F.array(*(F.struct(F.lit(k).alias("k"), (F.col("row") - r).alias("row"), (F.col("col") - c).alias("col"), F.lit(float(np.hypot(r, c))).alias("dist")) for k, (r, c) in enumerate(network.D8.values())))
     seen = levels.select("raster_id", F.explode(moves).alias("m"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("level").alias("nl"), F.col("steps").alias("ns")).select("raster_id", "m.k", "m.row", "m.col", "m.dist", "to_row", "to_col", "nl", "ns")
-    j = levels.join(seen, ["raster_id", "row", "col"])
+    j = levels.join(network.shuffled(seen), ["raster_id", "row", "col"])
     falls, flat = F.col("nl") < F.col("level"), (F.col("nl") == F.col("level")) & (F.col("ns") == F.col("steps") - 1)
     rank = F.struct(F.when(falls & (F.col("steps") == 0), 0).otherwise(1).alias("a"), F.when(falls, (F.col("nl") - F.col("level")) / F.col("dist")).otherwise(0.0).alias("b"), "k", "to_row", "to_col")
     best = j.where((falls & (F.col("steps") == 0)) | flat).groupBy("raster_id", "row", "col").agg(F.min(rank).alias("t"))
-    return levels.select("raster_id", "row", "col").join(best, ["raster_id", "row", "col"], "left").select("raster_id", "row", "col", "t.to_row", "t.to_col")
+    return levels.select("raster_id", "row", "col").join(network.shuffled(best), ["raster_id", "row", "col"], "left").select("raster_id", "row", "col", "t.to_row", "t.to_col")
 
 
 def accumulation(flow: DataFrame, width: int = 1 << 20) -> DataFrame:
@@ -94,4 +94,4 @@ def wetness(cells: DataFrame, size: float, tile: int = TILE) -> DataFrame:
     """``(raster_id, row, col, n_cells, slope_deg, twi)`` after filling, directions and accumulation; square cells of ``size`` metres."""
     acc = accumulation(directions(filled(cells, tile)))
     slope = terrain.slope_gradient(cells, size, size)
-    return acc.join(slope, ["raster_id", "row", "col"]).withColumn("twi", terrain.wetness_index(F.col("n_cells"), F.col("slope_deg"), size))
+    return acc.join(network.shuffled(slope), ["raster_id", "row", "col"]).withColumn("twi", terrain.wetness_index(F.col("n_cells"), F.col("slope_deg"), size))

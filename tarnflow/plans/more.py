@@ -174,7 +174,7 @@ def _relief(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filled levels and flow directions; a raster of any size, in tiles of 16 cells here so that several rounds run."""
     levels = routing.filled(_relief(spark, sf_dir), 16)
-    return levels.join(routing.directions(levels), ["raster_id", "row", "col"])
+    return levels.join(network.shuffled(routing.directions(levels)), ["raster_id", "row", "col"])
 
 
 @query(f"""WITH RECURSIVE {_LEVELS}, dn(r, c, tr, tc) AS (SELECT r, c, r, c FROM flow UNION ALL SELECT d.r, d.c, f.tr, f.tc FROM dn d JOIN flow f ON f.r = d.tr AND f.c = d.tc WHERE f.tr IS NOT NULL), acc AS (SELECT tr AS r, tc AS c, count(*) AS n FROM dn GROUP BY 1, 2),
