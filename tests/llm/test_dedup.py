@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from common import LOWER, SCHEMA, WORD, empty, rows, table
 
-from tarnflow.llm import graph, jaccard_join, line_dedup, media_chunks, substring_dedup
+from tarnflow.llm import graph, jaccard_join, line_dedup, media_chunks, substring_dedup, words
 
 
 @pytest.mark.parametrize("extra", [False, True])
@@ -555,3 +555,18 @@ def test_screen_of_bent_chains():
     b = pa.record_batch({"p": lists[0], "q": lists[1], "sizes": sizes, "x0": zero, "y0": zero} | {c: pa.array([r[i].tobytes() for r in rows], pa.binary()) for i, c in enumerate("xy")})
     keep, whole, alike = substring_dedup.hopeful(b, 50, 0.8), np.array(whole), np.array(alike)
     assert keep[whole].all() and whole.sum() > 50 and (alike < 15).sum() > 20 and not keep[alike < 15].any()
+
+
+def test_blocks_give_their_columns_back_in_few_bytes():
+    """Positions in texts are small: their upper bytes must not reach the disk."""
+    g = np.random.default_rng(5)
+    n = 20_000
+    bucket, key = g.integers(0, 3, n), g.integers(-(1 << 62), 1 << 62, 40)[g.integers(0, 40, n)]
+    h, p = g.integers(0, 1 << 32, n).astype("<u4"), g.integers(0, 1 << 11, n).astype("<u4")
+    b = words.blocks(bucket, [key], [h, p, (p % 7).astype("u1")])
+    got = {k: words.unblocked(x, 1, ["<u4", "<u4", "u1"]) for k, x in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist())}
+    for k, columns in got.items():
+        for c, want in zip(columns, (key, h, p, p % 7)):
+            assert c.tolist() == want[bucket == k].tolist()
+    assert sum(len(pa.compress(x, "lz4", asbytes=True)) for x in b.column("block").to_pylist()) < 9.5 * n
+    assert words.unblocked(words.blocks(bucket[:1], [key[:1]], [h[:1]]).column("block")[0].as_py(), 1, ["<u4"])[1].tolist() == h[:1].tolist()
