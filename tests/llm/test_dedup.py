@@ -570,3 +570,18 @@ def test_blocks_give_their_columns_back_in_few_bytes():
             assert c.tolist() == want[bucket == k].tolist()
     assert sum(len(pa.compress(x, "lz4", asbytes=True)) for x in b.column("block").to_pylist()) < 9.5 * n
     assert words.unblocked(words.blocks(bucket[:1], [key[:1]], [h[:1]]).column("block")[0].as_py(), 1, ["<u4"])[1].tolist() == h[:1].tolist()
+
+
+def test_both_sides_of_alignment_read_one_shuffle_of_the_texts(spark):
+    texts = spark.createDataFrame([(1, 60, b"", b"")], "key long, n long, words binary, bits binary")
+    pairs = spark.createDataFrame([], "key long, holder long, p array<int>, q array<int>, sizes array<int>, x0 int, x1 int, y0 int, y1 int")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for step in (substring_dedup._aligned, substring_dedup._screened):
+            assert "ReusedExchange" in step(pairs, texts, 50, 0.8)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
