@@ -23,14 +23,14 @@ def windows(points: DataFrame, dem: DataFrame, half: float, size: float) -> Data
     tile = lambda c: F.floor(F.col(c) / half)
     near = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
     p = points.withColumn("i", near).withColumn("j", near).select("outlet_id", F.col("x").alias("px"), F.col("y").alias("py"), (tile("x") + F.col("i")).alias("tx"), (tile("y") + F.col("j")).alias("ty"))
-    j = p.join(dem.withColumn("tx", tile("x")).withColumn("ty", tile("y")), ["tx", "ty"]).where((F.abs(F.col("x") - F.col("px")) <= half) & (F.abs(F.col("y") - F.col("py")) <= half))
+    j = p.join(network.shuffled(dem.withColumn("tx", tile("x")).withColumn("ty", tile("y"))), ["tx", "ty"]).where((F.abs(F.col("x") - F.col("px")) <= half) & (F.abs(F.col("y") - F.col("py")) <= half))
     return j.select(F.col("outlet_id").alias("raster_id"), "row", "col", F.col("value").cast("double").alias("value"), F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")).alias("dist"))
 
 
 def notched(cells: DataFrame) -> DataFrame:
     """``cells`` with the least height within ``SOURCE_M`` of the point at all cells within ``NOTCH_M``, and that ``notch``."""
     low = cells.where(F.col("value").isNotNull() & (F.col("dist") <= SOURCE_M)).groupBy("raster_id").agg(F.min("value").alias("notch"))
-    return cells.join(low, "raster_id").withColumn("value", F.when(F.col("value").isNotNull() & (F.col("dist") <= NOTCH_M), F.col("notch")).otherwise(F.col("value")))
+    return cells.join(network.shuffled(low), "raster_id").withColumn("value", F.when(F.col("value").isNotNull() & (F.col("dist") <= NOTCH_M), F.col("notch")).otherwise(F.col("value")))
 
 
 def routed(cells: DataFrame, size: float, snap_m: float, tile: int) -> DataFrame:
@@ -43,7 +43,7 @@ def routed(cells: DataFrame, size: float, snap_m: float, tile: int) -> DataFrame
     basin = network.upstream_sums(edges, ["n"], ["r0", "c0"], ["r1", "c1"]).select(F.col("comid.g").alias("raster_id"), F.col("comid.r").alias("row"), F.col("comid.c").alias("col"), "n", "r0", "r1", "c0", "c1")
     frame = cells.groupBy("raster_id").agg(*(f(c).alias(a) for a, f, c in (("t", F.min, "row"), ("b", F.max, "row"), ("l", F.min, "col"), ("r", F.max, "col"))))
     w = Window.partitionBy("raster_id").orderBy(F.desc("n"), "row", "col")
-    best = there.where(F.col("dist") <= snap_m).select("raster_id", "row", "col", "dist").join(basin, ["raster_id", "row", "col"]).withColumn("k", F.row_number().over(w)).where("k = 1").join(frame, "raster_id")
+    best = there.where(F.col("dist") <= snap_m).select("raster_id", "row", "col", "dist").join(network.shuffled(basin), ["raster_id", "row", "col"]).withColumn("k", F.row_number().over(w)).where("k = 1").join(network.shuffled(frame), "raster_id")
     touches = (F.col("r0") == F.col("t")) | (F.col("r1") == F.col("b")) | (F.col("c0") == F.col("l")) | (F.col("c1") == F.col("r"))
     return best.select("raster_id", "row", "col", F.col("dist").alias("snap_m"), F.col("n").alias("n_cells"), touches.alias("touches"))
 
@@ -59,16 +59,16 @@ def catchments(points: DataFrame, dem: DataFrame, size: float, notch: bool = Tru
     for k, half in enumerate(halves, 1):
         cells = windows(left, dem, half, size)
         cells = network.saved(notched(cells) if notch else cells.withColumn("notch", F.lit(None).cast("double")))
-        found = network.saved(routed(cells, size, snap_m, tile).join(cells.groupBy("raster_id").agg(F.max("notch").alias("notch")), "raster_id"))
+        found = network.saved(routed(cells, size, snap_m, tile).join(network.shuffled(cells.groupBy("raster_id").agg(F.max("notch").alias("notch"))), "raster_id"))
         last = k == len(halves)
         done.append((found if last else found.where("NOT touches")).select("*", F.lit(half).alias("half_m"), F.lit(k).alias("n_windows")))
-        left = left.join(found.where("touches").select(F.col("raster_id").alias("outlet_id")), "outlet_id", "left_semi")
+        left = left.join(network.shuffled(found.where("touches").select(F.col("raster_id").alias("outlet_id"))), "outlet_id", "left_semi")
         if last or left.isEmpty():
             break
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
-    out = points.select("outlet_id").join(out.withColumnRenamed("raster_id", "outlet_id"), "outlet_id", "left")
+    out = points.select("outlet_id").join(network.shuffled(out.withColumnRenamed("raster_id", "outlet_id")), "outlet_id", "left")
     area = F.col("n_cells") * size * size / 1e6
     flags = F.concat_ws(",", F.when(F.lit(notch) & F.col("n_cells").isNotNull(), "EMBANKMENT_NOTCH_APPLIED"), F.when(F.col("touches"), "BASIN_TOUCHES_MAX_WINDOW"), F.when(area < DITCH_KM2, "LIKELY_DITCH_SNAP"))
     status = F.when(F.col("n_cells").isNull(), "no_dem").when(F.col("touches"), "touches_max_window").otherwise("ok")

@@ -37,7 +37,7 @@ def test_joins_have_keys(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["flow_routing", "locate_polygon", "wetness_of_relief"])
+@pytest.mark.parametrize("name", ["flow_routing", "small_catchments", "locate_polygon", "wetness_of_relief"])
 def test_growing_tables_are_not_broadcast(spark, monkeypatch, name):
     """Spark finds the tables here small, and by their files it also does so where they are not."""
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
