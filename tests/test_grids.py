@@ -151,3 +151,16 @@ def test_stream_restarted_without_new_events(spark, tmp_path):
     spark.createDataFrame([(dt.datetime(2020, 1, 1, 5), "a", 2.0, 1)], schema).write.parquet(f"{tmp_path}/in")
     once = [sorted(map(tuple, streams.run_available(streams.daily_counts(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out").collect())) for _ in range(2)]
     assert once[0] == once[1] == [(dt.date(2020, 1, 1), "a", 1, 2.0)]
+
+
+def test_nearest_lines_sort_nothing_that_met(spark, monkeypatch):
+    """Points go out once, and the rows of points and lines that meet are not sorted by point, which would write them all."""
+    plans, saved = [], network.saved
+    monkeypatch.setattr(network, "saved", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or saved(df))
+    lines = spark.createDataFrame([(k, s, float(k), float(s)) for k in range(5) for s in range(2)], "line int, seq int, x double, y double")
+    points = spark.createDataFrame([(k, k * 0.3 + 0.1, 0.5) for k in range(9)], "point_id int, x double, y double")
+    got = {r.point_id: r.line for r in network.nearest_lines(points, lines, decimals=6).collect()}
+    assert got == {k: round(k * 0.3 + 0.1) for k in range(9)}
+    first = [p for p in plans if "SortMergeJoin" in p and "HashAggregate" in p]
+    assert first and all("HashAggregate" in p and "SortAggregate" not in p for p in first)
+    assert not any("-1, 0, 1" in p or "[-1,0,1]" in p for p in plans)
